@@ -6,35 +6,35 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 DEDUP_KEY = ("target", "file_path", "rule_id", "matched_text", "commit_sha")
 
-_BUCKETS = 4096
+# Bits of ``seq`` below which the search for the cut-off descends, level by level.
+_BLOCK_BITS = (26, 13, 0)
 
 
 def newest_commits(patches: DataFrame, depth: int | None, repo: str = "repo", seq: str = "seq") -> DataFrame:
-    """The patches of the ``depth`` newest commits of every repository (``seq`` ascends from the newest).
+    """The patches of the ``depth`` newest commits of every repository.
 
-    Finds each repository's cut-off by counting commits per ``seq`` bucket, so only commits of the
-    bucket that holds the cut-off are ranked, however many commits one repository has.
+    ``seq`` is an integer, unique per commit of a repository and ascending from the newest. Each
+    repository's cut-off is found by counting commits per block of ``seq`` values and descending
+    into the block that holds it, so no task sorts all commits of a large repository.
     """
     if depth is None:
         return patches
     if depth <= 0:
         return patches.limit(0)
-    commits = patches.select(F.col(repo).alias("__repo"), F.col(seq).alias("__seq")).distinct()
-    span = commits.groupBy("__repo").agg(F.min("__seq").alias("__low"), F.max("__seq").alias("__high"))
-    width = (F.col("__high") - F.col("__low") + 1) / F.lit(_BUCKETS)
-    commits = commits.join(span, "__repo").select(
-        "__repo", "__seq", F.floor((F.col("__seq") - F.col("__low")) / width).alias("__bucket"))
-    before = F.sum("__n").over(
-        Window.partitionBy("__repo").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    cut = (commits.groupBy("__repo", "__bucket").agg(F.count("*").alias("__n"))
-           .withColumn("__before", F.coalesce(before, F.lit(0)))
-           .where((F.col("__before") < depth) & (F.col("__before") + F.col("__n") >= depth)))
-    rank = F.row_number().over(Window.partitionBy("__repo", "__bucket").orderBy("__seq"))
-    last = (commits.join(cut, ["__repo", "__bucket"])
-            .withColumn("__rank", rank)
-            .where(F.col("__rank") == depth - F.col("__before"))
-            .select("__repo", F.col("__seq").alias("__last")))
-    kept = patches.join(last, F.col(repo).eqNullSafe(F.col("__repo")), "left")
+    commits = patches.select(F.col(repo).alias("__repo"), F.col(seq).cast("long").alias("__seq")).distinct()
+    before = F.coalesce(F.sum("__n").over(
+        Window.partitionBy("__repo").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    level, cut = commits.withColumn("__need", F.lit(depth).cast("long")), None
+    for bits in _BLOCK_BITS:
+        counts = (level.groupBy("__repo", "__need", F.shiftright("__seq", bits).alias("__block"))
+                  .agg(F.count("*").alias("__n")).withColumn("__before", before))
+        cut = counts.where(
+            (F.col("__before") < F.col("__need")) & (F.col("__before") + F.col("__n") >= F.col("__need"))
+        ).select("__repo", "__block", (F.col("__need") - F.col("__before")).alias("__need"))
+        level = (commits.withColumn("__block", F.shiftright("__seq", bits))
+                 .join(cut, ["__repo", "__block"]).drop("__block"))
+    last = cut.select("__repo", F.col("__block").alias("__last"))
+    kept = patches.join(last, F.col(repo) == F.col("__repo"), "left")
     return (kept.where(F.col("__last").isNull() | (F.col(seq) <= F.col("__last")))
             .drop("__repo", "__last"))
 
@@ -45,8 +45,7 @@ def first_occurrences(findings: DataFrame, order: tuple[str, ...] = ("patch_pos"
     An aggregation with map-side partial results rather than a window: a secret that repeats
     in many rows is reduced before the shuffle.
     """
-    rest = [c for c in findings.columns if c not in DEDUP_KEY]
-    payload = [c for c in rest if c not in order]
-    first = F.min_by(F.struct(*rest), F.struct(*order, *payload)).alias("__first")
+    rest = [*order, *[c for c in findings.columns if c not in DEDUP_KEY and c not in order]]
+    first = F.min(F.struct(*rest)).alias("__first")
     return findings.groupBy(*DEDUP_KEY).agg(first).select(
         *[F.col(c) if c in DEDUP_KEY else F.col(f"__first.{c}").alias(c) for c in findings.columns])

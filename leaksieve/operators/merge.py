@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 FINDING_COLUMNS = (
     ("source_type", "string"), ("target", "string"), ("source_id", "string"), ("file_path", "string"),
     ("line_number", "int"), ("ord", "int"), ("rule_id", "string"), ("rule_name", "string"),
-    ("severity", "string"), ("severity_rank", "int"), ("snippet", "string"), ("matched_text", "string"),
-    ("commit_sha", "string"), ("commit_author", "string"), ("commit_date", "string"), ("description", "string"),
+    ("severity", "string"), ("severity_rank", "int"), ("snippet", "string"), ("masked_snippet", "string"),
+    ("matched_text", "string"), ("commit_sha", "string"), ("commit_author", "string"), ("commit_date", "string"), ("description", "string"),
 )
 LOG_SCHEMA = "source_type string, target string, source_id string"
 ERROR_SCHEMA = "source_type string, target string, source_id string, stage string, message string"

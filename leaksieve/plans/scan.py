@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from leaksieve.functions.redact import redact_all
 from leaksieve.functions.text import long_enough, split_lines, strip
 from leaksieve.operators.match import candidate_rules, line_hits
 from leaksieve.plans.partitioning import spread_if_small
@@ -12,7 +13,8 @@ from leaksieve.rules import RuleSet
 
 def find_hits(df: DataFrame, text: str, rules: RuleSet, *, added_lines_only: bool = False,
               keep_plus_plus: bool = False) -> DataFrame:
-    """One row per (line, rule) hit: the other columns of ``df`` plus line_number, snippet, ord, matched_text.
+    """One row per (line, rule) hit: the other columns of ``df`` plus line_number, snippet,
+    masked_snippet (every match of the line masked), ord and matched_text.
 
     With ``added_lines_only`` the text is a patch: lines starting with ``+`` are scanned without it,
     and lines starting with ``+++`` are left out unless ``keep_plus_plus``.
@@ -29,11 +31,11 @@ def find_hits(df: DataFrame, text: str, rules: RuleSet, *, added_lines_only: boo
         lines = _added(lines, keep_plus_plus)
     lines = lines.where(long_enough(col("__line")))
     lines = lines.select(*keep, "__rules", "__pos", "__line", F.lower("__line").alias("__low"))
-    hits = lines.select(
-        *keep, "__pos", "__line",
-        F.explode(line_hits("__line", "__low", "__rules", rules)).alias("__hit"))
+    hits = lines.select(*keep, "__pos", "__line", line_hits("__line", "__low", "__rules", rules).alias("__hits"))
+    hits = hits.select(*keep, "__pos", "__line", "__hits", F.explode("__hits").alias("__hit"))
     return hits.select(
         *keep, (col("__pos") + 1).alias("line_number"), strip(col("__line")).alias("snippet"),
+        strip(redact_all(col("__line"), col("__hits.matched_text"))).alias("masked_snippet"),
         col("__hit.ord").alias("ord"), col("__hit.matched_text").alias("matched_text"))
 
 
