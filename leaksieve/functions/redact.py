@@ -31,8 +31,7 @@ def redact_snippet(snippet: Column, matched: Column) -> Column:
 
 def redact_all(snippet: Column, matches: Column) -> Column:
     """``snippet`` with every text of the array ``matches`` masked wherever it occurs, longest first."""
-    longest_first = F.array_sort(
-        F.array_distinct(matches), lambda a, b: F.length(b) - F.length(a))
-    return F.aggregate(
-        longest_first, snippet,
-        lambda acc, m: F.when(F.length(m) > 0, F.replace(acc, m, redact(m, ellipsis=True))).otherwise(acc))
+    longest_first = F.array_sort(F.transform(
+        F.array_distinct(matches), lambda m: F.struct((-F.length(m)).alias("order"), m.alias("text"))))
+    return F.aggregate(longest_first, snippet, lambda acc, m: F.when(
+        F.length(m["text"]) > 0, F.replace(acc, m["text"], redact(m["text"], ellipsis=True))).otherwise(acc))

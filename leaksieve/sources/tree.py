@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from leaksieve.deploy import ship_package
 from leaksieve.operators.files import (
     SNIFF_BYTES,
     ScanConfig,
@@ -101,6 +102,7 @@ def _size(path: str) -> int | None:
 
 def list_tree(spark: SparkSession, path: str, config: ScanConfig = ScanConfig()) -> DataFrame:
     """Every file below ``path`` outside the excluded directories, or ``path`` itself if it is a file."""
+    ship_package(spark)
     spark.dataSource.register(TreeListing)
     return (spark.read.format("tree_listing")
             .option("path", path)
@@ -137,6 +139,7 @@ def read_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
     be uneven; only paths and sizes are shuffled.
     """
     spark = files.sparkSession
+    ship_package(spark)
     if tasks is None:
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                     2 * spark.sparkContext.defaultParallelism)
