@@ -62,6 +62,10 @@ if __name__ == "__main__":
             n, problem, kinds = compare(session, database, sf, key, call, oracles.get(key))
         except Exception as exc:  # report and go on with the next query
             n, problem, kinds = -1, f"{type(exc).__name__}: {str(exc)[:1500]}", None
+        if kinds:
+            names = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "boolean": "BOOLEAN", "double": "DOUBLE"}
+            odd = [(a, b[1]) for a, b in zip(*kinds) if names.get(a[1], a[1]) != b[1]]
+            problem = problem or (f"types {odd}" if odd else None)
         failed += problem is not None
         print(f"{'FAIL' if problem else 'ok  '} {key} rows={n} {time.time() - start:.1f}s {problem or ''}", flush=True)
     sys.exit(1 if failed else 0)

@@ -1,0 +1,138 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from leaksieve.operators import rollup
+from leaksieve.operators.merge import files_scanned
+from leaksieve.operators.order import report_order, severity_order
+from leaksieve.plans.sources import scan_history, scan_table
+from leaksieve.sinks.documents import report_documents, sarif_documents, write_report, write_sarif
+from leaksieve.sinks.tables import JSON_COLUMNS, report_rows, write_json, write_table
+
+SECRET = "abcdefghijklmnop"
+TEXTS = [
+    ("b.py", f"x\ndb_password='{SECRET}'\ntoken = '{SECRET}'"),
+    ("a.py", f"  key-{SECRET}{SECRET} and -----BEGIN RSA PRIVATE KEY-----"),
+    ("clean.py", "nothing to see here"),
+]
+
+
+@pytest.fixture(scope="module")
+def scan(spark):
+    return scan_table(spark.createDataFrame(TEXTS, "path string, text string"), "text", "path", "t")
+
+
+@pytest.fixture(scope="module")
+def findings(spark, scan, tmp_path_factory):
+    return write_table(scan.findings, str(tmp_path_factory.mktemp("run") / "findings"))
+
+
+def expected_order():
+    return [("a.py", 1, 38), ("a.py", 1, 54), ("a.py", 1, 65), ("b.py", 2, 28), ("b.py", 2, 34), ("b.py", 3, 36)]
+
+
+def test_orders(findings):
+    assert [(r.file_path, r.line_number, r.ord) for r in report_order(findings).collect()] == expected_order()
+    ranks = [r.severity_rank for r in severity_order(findings).collect()]
+    assert ranks == sorted(ranks, reverse=True)
+
+
+def test_rollups(scan, findings):
+    total = rollup.totals(findings).first()
+    assert (total.finding_count, total.has_findings, total.critical_count, total.high_count) == (6, True, 2, 2)
+    assert {r.severity: r.n for r in rollup.by_severity(findings).collect()} == {"critical": 2, "high": 2, "medium": 2}
+    assert {r.file_path: r.n for r in rollup.by_file(findings).collect()} == {"a.py": 3, "b.py": 3}
+    assert [(r.severity, r.n) for r in rollup.severity_table(findings).collect()] == [
+        ("critical", 2), ("high", 2), ("medium", 2)]
+    summary = rollup.json_summary(findings).first()
+    assert (summary.total_findings, summary.critical, summary.high) == (6, 2, 2)
+    assert summary.by_severity == {"critical": 2, "high": 2, "medium": 2}
+    used = rollup.rules_used(findings).collect()
+    assert [r.rule_id for r in used] == ["private-key-rsa", "github-app-private-key", "mailgun-api-key",
+                                         "database-password-assignment", "generic-password-assignment",
+                                         "generic-token-assignment"]
+    assert used[0].level == "error" and used[0].security_severity == "9.5"
+    assert rollup.verdict(findings).first().asDict() == {
+        "has_findings": True, "critical": 2, "high": 2, "medium": 2, "low": 0, "verdict": "fail"}
+    assert [(r.source_type, r.files_scanned) for r in files_scanned(scan.scan_log).collect()] == [("table", 3)]
+
+
+def test_rollups_of_nothing(findings):
+    none = findings.limit(0)
+    assert rollup.verdict(none).first().verdict == "pass"
+    assert rollup.totals(none).first().has_findings is False
+    summary = rollup.json_summary(none).first()
+    assert summary.total_findings == 0 and summary.by_severity == {}
+
+
+def test_merge(spark, scan):
+    patch = spark.createDataFrame(
+        [("r", "c1", None, 0, "A", "d", "x.py", 0, f"+token = '{SECRET}'"), ("r", "c2", None, 1, "A", "d", None, 0, None)],
+        "repo string, commit_sha string, parent_sha string, seq long, author string, committed_at string, "
+        "file_path string, patch_pos int, patch string")
+    merged = scan.merge(scan, scan_history(patch))
+    assert merged.findings.count() == 13
+    assert {r.source_type: r.files_scanned for r in files_scanned(merged.scan_log).collect()} == {"table": 6, "history": 2}
+    assert merged.errors.count() == 0
+
+
+def test_json_lines(spark, findings, tmp_path):
+    write_json(findings, str(tmp_path / "masked"))
+    lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "masked")).collect()]
+    assert len(lines) == 6 and all(set(line) == set(JSON_COLUMNS) and line["commit_sha"] is None for line in lines)
+    assert SECRET not in json.dumps(lines)
+    write_json(findings, str(tmp_path / "raw"), redact_snippets=False)
+    raw = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "raw")).collect()]
+    assert SECRET in json.dumps([r["snippet"] for r in raw]) and SECRET not in json.dumps([r["matched_text"] for r in raw])
+
+
+def test_json_report(spark, scan, findings, tmp_path):
+    errors = spark.createDataFrame([("tree", "t", None, "list", "Path not found: x")],
+                                   "source_type string, target string, source_id string, stage string, message string")
+    write_report(findings, scan.scan_log, str(tmp_path / "r"), errors, target="t", scan_type="table", duration_seconds=1.23456)
+    reports = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "r")).collect()]
+    assert sum(len(r["findings"]) for r in reports) == 6
+    for report in reports:
+        assert report["scan"] == {"target": "t", "type": "table", "files_scanned": 3, "duration_seconds": 1.235}
+        assert report["summary"] == {"total_findings": 6, "critical": 2, "high": 2,
+                                     "by_severity": {"critical": 2, "high": 2, "medium": 2}}
+        assert report["errors"] == ["Path not found: x"]
+    empty = report_documents(findings.limit(0), scan.scan_log, target="t", scan_type="table").collect()
+    assert [json.loads(r.value)["findings"] for r in empty] == [[]]
+
+
+def test_sarif(spark, findings, tmp_path):
+    write_sarif(findings.coalesce(1), str(tmp_path / "s"), redact_snippets=False)
+    [document] = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "s")).collect()]
+    assert document["version"] == "2.1.0" and document["$schema"].endswith("sarif-schema-2.1.0.json")
+    [run] = document["runs"]
+    assert run["invocations"] == [{"executionSuccessful": True, "toolExecutionNotifications": []}]
+    assert len(run["results"]) == 6
+    ids = [r["id"] for r in run["tool"]["driver"]["rules"]]
+    assert ids == list(dict.fromkeys(r["ruleId"] for r in run["results"]))
+    rule = run["tool"]["driver"]["rules"][0]
+    assert set(rule) == {"id", "name", "shortDescription", "fullDescription", "defaultConfiguration", "properties"}
+    for result in run["results"]:
+        assert set(result) == {"ruleId", "level", "message", "locations"}
+        region = result["locations"][0]["physicalLocation"]["region"]
+        assert region["startLine"] >= 1 and region["snippet"]["text"]
+
+
+def test_sarif_of_history_and_slices(spark, findings):
+    history = findings.withColumns({"commit_sha": F.lit("abc"), "line_number": F.lit(0)})
+    documents = [json.loads(r.value) for r in sarif_documents(history, max_results=4).collect()]
+    results = [r for d in documents for r in d["runs"][0]["results"]]
+    assert len(results) == 6 and all(len(d["runs"][0]["results"]) <= 4 for d in documents)
+    assert len(documents) >= 2
+    for result in results:
+        assert result["properties"] == {"commit_sha": "abc", "commit_author": "", "commit_date": ""}
+        assert "region" not in result["locations"][0]["physicalLocation"]
+    [empty] = [json.loads(r.value) for r in sarif_documents(findings.limit(0)).collect()]
+    assert empty["runs"][0]["results"] == []
+
+
+def test_report_rows(findings):
+    rows = report_rows(findings).collect()
+    assert [(r.file_path, r.line_number, r.ord) for r in rows] == expected_order()
+    assert rows[3].label == "Line 2" and rows[3].badge == "HIGH" and rows[3].snippet == "db_pas" + "*" * 20 + "…"

@@ -118,7 +118,7 @@ def rule_catalogue(spark, sf_dir):
     return listing.join(counts, "ord", "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-@query("SELECT rules.severity, count(DISTINCT rules.ord) AS rules, sum(f.n) AS findings FROM "
+@query("SELECT rules.severity, count(DISTINCT rules.ord) AS rules, CAST(sum(f.n) AS BIGINT) AS findings FROM "
        + rules_values(RuleSet.builtin()) + f" JOIN ({_RULE_COUNTS}) f ON f.ord = rules.ord GROUP BY rules.severity")
 def rule_catalogue_summary(spark, sf_dir):
     counted = rollup.rule_counts(RuleSet.builtin().to_frame(spark)).withColumnRenamed("n", "rules")
@@ -419,7 +419,8 @@ def sarif_rules(spark, sf_dir):
 
 
 @query(_planted(
-    "SELECT sum(n) AS total_findings, sum(n) FILTER (severity = 'critical') AS critical, sum(n) FILTER (severity = 'high') AS high, "
+    "SELECT CAST(sum(n) AS BIGINT) AS total_findings, CAST(sum(n) FILTER (severity = 'critical') AS BIGINT) AS critical, "
+    "CAST(sum(n) FILTER (severity = 'high') AS BIGINT) AS high, "
     "string_agg(concat(severity, '=', n), ',' ORDER BY severity) AS by_severity "
     "FROM (SELECT severity, count(*) AS n FROM found GROUP BY severity)"))
 def json_summary(spark, sf_dir):
