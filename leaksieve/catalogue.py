@@ -339,9 +339,9 @@ LINEAR_FORMS = {
         r"""(?i)export\s+(?>.*?(?:key|secret|token|password|credential|auth)).*=\s*['"]?[^\s'"]+['"]?""",
 }
 
-# A cheaper pattern that every match of the rule contains, tried first.
+# Cheaper patterns that every match of the rule contains, tried first.
 PROBES = {
-    "discord-bot-token": r"[A-Za-z\d]{23}\.[\w-]{6}\.[\w-]{27}",
+    "discord-bot-token": (r"\.[\w-]{6}\.[\w-]{27}", r"[A-Za-z\d]{23}\.[\w-]{6}\.[\w-]{27}"),
 }
 
 # Severities from most to least severe, with rank, SARIF level and security score.

@@ -7,6 +7,7 @@ result for the candidates. Both are narrow: no shuffle, no Python.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import lru_cache, reduce
 from operator import and_, or_
 
@@ -14,10 +15,18 @@ from pyspark.sql import Column, functions as F
 
 from leaksieve.rules import Rule, RuleSet
 
-# Literals shared by many rules: one test of the literal spares a text all tests of its family.
-_FAMILIES = ("_", "-----BEGIN ", "://", "key")
+# Literals shared by many rules, for case-sensitive patterns and for the others: one test of the
+# literal spares a text all tests of its family.
+_FAMILIES = ("_", "-----BEGIN ", "://", "sk-", "xox", "sq0")
+_LOWER_FAMILIES = ("key", "token", "ecret", "account", "pass")
 
-_NO_ORDS = "array<int>"
+# Candidates are kept as bits of 64-bit words; the sign bit stays free.
+_WORD_BITS = 63
+
+# Rules without a family are skipped together in runs of this many.
+_RUN = 8
+
+_HITS = "array<struct<ord:int,matched_text:string>>"
 
 
 def _needs(rule: Rule, text: Column, low: Column) -> list[Column]:
@@ -31,45 +40,107 @@ def _keyword_gate(rule: Rule, low: Column) -> list[Column]:
     return [reduce(or_, [F.contains(low, F.lit(k)) for k in rule.keywords])]
 
 
-def _fires(rule: Rule, text: Column, low: Column) -> list[Column]:
-    """Conditions in the order they should be evaluated: literals before regular expressions."""
-    probe = [F.rlike(text, F.lit(rule.probe))] if rule.probe else []
-    return [*_needs(rule, text, low), *_keyword_gate(rule, low), *probe, F.rlike(text, F.lit(rule.java_pattern))]
+def _gates(rule: Rule, text: Column, low: Column) -> list[Column]:
+    """Conditions to test before the pattern, literals before regular expressions."""
+    probes = [F.rlike(text, F.lit(probe)) for probe in rule.probes]
+    return [*_needs(rule, text, low), *_keyword_gate(rule, low), *probes]
 
 
 def _family(rule: Rule) -> str | None:
-    return next((f for f in _FAMILIES if any(f in need for need in rule.needs)), None)
+    """The family whose literal the rule cannot do without."""
+    if not rule.ignores_case:
+        return next((f for f in _FAMILIES if any(f in need for need in rule.needs)), None)
+    return next((f for f in _LOWER_FAMILIES if any(f in need for need in rule.needs)
+                 or rule.keywords and all(f in keyword for keyword in rule.keywords)), None)
+
+
+def _any_bit(bits: Sequence[Column]) -> Column:
+    """Bitwise or as a balanced tree, so that many rules do not nest deeply."""
+    if len(bits) == 1:
+        return bits[0]
+    middle = len(bits) // 2
+    return _any_bit(bits[:middle]).bitwiseOR(_any_bit(bits[middle:]))
+
+
+def _bit(ord_: int) -> tuple[int, Column]:
+    word, bit = divmod(ord_ - 1, _WORD_BITS)
+    return word, F.lit(1 << bit).cast("long")
+
+
+_NO_BITS = 0
 
 
 @lru_cache(maxsize=64)
 def candidate_rules(text_name: str, low_name: str, rules: RuleSet) -> Column:
-    """``ARRAY<INT>`` of the rules that may fire on a line of the text; ``low`` is lower(text)."""
+    """``ARRAY<BIGINT>`` with one bit per rule that may fire on a line of the text.
+
+    ``low_name`` is the column of the lower-cased text.
+    """
     text, low = F.col(text_name), F.col(low_name)
-    families: dict[tuple[str | None, bool], list[Column]] = {}
+    none = F.lit(_NO_BITS).cast("long")
+    words: list[list[Column]] = [[] for _ in range((len(rules) - 1) // _WORD_BITS + 1)]
+    families: dict[tuple[int, str | None, bool], list[Column]] = {}
     for ord_, rule in rules.numbered():
+        tests = _gates(rule, text, low)
         if rule.testable_on_whole_text:
-            tests = _fires(rule, text, low)
-        else:
-            tests = [*_needs(rule, text, low), *_keyword_gate(rule, low)] or [text.isNotNull()]
-        families.setdefault((_family(rule), rule.ignores_case), []).append(
-            F.when(reduce(and_, tests), F.lit(ord_)))
-    found = []
-    for (literal, ignores_case), ords in families.items():
-        hits = F.array_compact(F.array(*ords))
-        if literal is not None and len(ords) > 1:
+            tests.append(F.rlike(text, F.lit(rule.java_pattern)))
+        word, bit = _bit(ord_)
+        may_fire = F.when(reduce(and_, tests), bit).otherwise(none) if tests else bit
+        families.setdefault((word, _family(rule), rule.ignores_case), []).append(may_fire)
+    for (word, literal, ignores_case), bits in families.items():
+        found = _any_bit(bits)
+        if literal is not None and len(bits) > 1:
             holds = F.contains(low if ignores_case else text, F.lit(literal))
-            hits = F.when(holds, hits).otherwise(F.array().cast(_NO_ORDS))
-        found.append(hits)
-    return F.concat(F.array().cast(_NO_ORDS), *found)
+            found = F.when(holds, found).otherwise(none)
+        words[word].append(found)
+    return F.array(*[_any_bit(word) for word in words])
+
+
+def has_candidates(candidates_name: str) -> Column:
+    return F.exists(candidates_name, lambda word: word != _NO_BITS)
+
+
+def _groups(rules: RuleSet) -> list[tuple[str | None, list[tuple[int, Rule]]]]:
+    """Rules to skip together on a line: those of one family, the others in runs of a few."""
+    groups: dict[tuple, list[tuple[int, Rule]]] = {}
+    for ord_, rule in rules.numbered():
+        family = _family(rule)
+        key = (family, rule.ignores_case) if family else (None, (ord_ - 1) // _RUN)
+        groups.setdefault((key, rule.matches_empty), []).append((ord_, rule))
+    return [(key[0], members) for (key, _), members in groups.items()]
+
+
+def _any_candidate(candidates_name: str, members: Sequence[tuple[int, Rule]]) -> Column:
+    masks: dict[int, int] = {}
+    for ord_, _ in members:
+        word, bit = divmod(ord_ - 1, _WORD_BITS)
+        masks[word] = masks.get(word, 0) | 1 << bit
+    return reduce(or_, [F.col(candidates_name)[word].bitwiseAND(F.lit(mask).cast("long")) != _NO_BITS
+                        for word, mask in masks.items()])
 
 
 @lru_cache(maxsize=64)
 def line_hits(line_name: str, low_name: str, candidates_name: str, rules: RuleSet) -> Column:
     """``ARRAY<STRUCT<ord, matched_text>>``: the first hit of every candidate rule that fires on the line."""
-    line, low, candidates = F.col(line_name), F.col(low_name), F.col(candidates_name)
-    hits = []
-    for ord_, rule in rules.numbered():
-        fires = reduce(and_, [F.array_contains(candidates, F.lit(ord_)), *_fires(rule, line, low)])
-        first = F.regexp_extract(line, rule.java_pattern, 0)
-        hits.append(F.when(fires, F.struct(F.lit(ord_).alias("ord"), first.alias("matched_text"))))
-    return F.array_compact(F.array(*hits))
+    line, low = F.col(line_name), F.col(low_name)
+    parts = []
+    for literal, members in _groups(rules):
+        hits = []
+        for ord_, rule in members:
+            word, bit = _bit(ord_)
+            tests = [F.col(candidates_name)[word].bitwiseAND(bit) != _NO_BITS, *_gates(rule, line, low)]
+            if rule.matches_empty:
+                tests.append(F.rlike(line, F.lit(rule.java_pattern)))
+            first = F.regexp_extract(line, rule.java_pattern, 0)
+            hits.append(F.when(reduce(and_, tests), F.struct(F.lit(ord_).alias("ord"), first.alias("matched_text"))))
+        found = F.array(*hits)
+        if members[0][1].matches_empty:
+            found = F.array_compact(found)
+        else:
+            # A pattern that cannot match the empty text gives it only where there is no match.
+            found = F.filter(found, lambda h: h["matched_text"] != "")
+        worth_testing = _any_candidate(candidates_name, members)
+        if literal is not None:
+            worth_testing = worth_testing & F.contains(low if members[0][1].ignores_case else line, F.lit(literal))
+        parts.append(F.when(worth_testing, found).otherwise(F.array().cast(_HITS)))
+    return F.concat(*parts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leaksieve.functions.redact import redact_all
 from leaksieve.functions.text import long_enough, split_lines, strip
-from leaksieve.operators.match import candidate_rules, line_hits
+from leaksieve.operators.match import candidate_rules, has_candidates, line_hits
 from leaksieve.plans.partitioning import spread_if_small
 from leaksieve.rules import RuleSet
 
@@ -26,13 +26,16 @@ def find_hits(df: DataFrame, text: str, rules: RuleSet, *, added_lines_only: boo
     texts = texts.select(*keep, "__text", candidate_rules("__text", "__low", rules).alias("__rules"))
     lines = texts.select(
         *keep, "__rules",
-        F.posexplode(F.when(F.size("__rules") > 0, split_lines(col("__text")))).alias("__pos", "__line"))
+        F.posexplode(F.when(has_candidates("__rules"), split_lines(col("__text")))).alias("__pos", "__line"))
     if added_lines_only:
         lines = _added(lines, keep_plus_plus)
     lines = lines.where(long_enough(col("__line")))
     lines = lines.select(*keep, "__rules", "__pos", "__line", F.lower("__line").alias("__low"))
     hits = lines.select(*keep, "__pos", "__line", line_hits("__line", "__low", "__rules", rules).alias("__hits"))
-    hits = hits.select(*keep, "__pos", "__line", "__hits", F.explode("__hits").alias("__hit"))
+    # Exploding the bare column would let Catalyst infer a filter on its size and push it below the
+    # projection, which evaluates all rules twice.
+    each = F.explode(F.filter("__hits", lambda hit: hit["ord"] > 0))
+    hits = hits.select(*keep, "__pos", "__line", "__hits", each.alias("__hit"))
     return hits.select(
         *keep, (col("__pos") + 1).alias("line_number"), strip(col("__line")).alias("snippet"),
         strip(redact_all(col("__line"), col("__hits.matched_text"))).alias("masked_snippet"),

@@ -38,15 +38,19 @@ class Rule:
         return to_java(catalogue.LINEAR_FORMS.get(self.rule_id, self.pattern) if builtin else self.pattern)
 
     @property
-    def probe(self) -> str | None:
-        pattern = catalogue.PROBES.get(self.rule_id) if self.category != "custom" else None
-        return to_java(pattern) if pattern else None
+    def probes(self) -> list[str]:
+        return [to_java(p) for p in catalogue.PROBES.get(self.rule_id, ())] if self.category != "custom" else []
 
     @property
     def keywords_implied(self) -> bool:
         """Whether a literal every match contains already holds one of the keywords."""
         return any(k in need.lower() for need in self.needs for k in self.keywords)
 
+    @property
+    def matches_empty(self) -> bool:
+        """Whether the pattern may match without consuming a character."""
+        return self.category == "custom"
+
     @property
     def testable_on_whole_text(self) -> bool:
         """Whether a text without a match can have no line with one."""
