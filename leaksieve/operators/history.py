@@ -6,37 +6,63 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 DEDUP_KEY = ("target", "file_path", "rule_id", "matched_text", "commit_sha")
 
-# Bits of ``seq`` below which the search for the cut-off descends, level by level.
-_BLOCK_BITS = (26, 13, 0)
+# Blocks of consecutive ``seq`` values in which commits are counted: 2^13 to a block, 2^13 blocks to
+# a larger one.
+_BLOCK_BITS = 13
 
+# Cut-offs are joined as a local relation up to this many repositories.
+MAX_LOCAL_REPOS = 100_000
 
-def newest_commits(patches: DataFrame, depth: int | None, repo: str = "repo", seq: str = "seq") -> DataFrame:
+
+def _holding_cut(counts: DataFrame) -> DataFrame:
+    """Of (repo, block, n, need): each repository's block with its ``need``-th commit, and the need within."""
+    before = F.coalesce(F.sum("n").over(
+        Window.partitionBy("repo").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.withColumn("before", before)
+    return counts.where("before < need AND before + n >= need").selectExpr("repo", "block", "need - before AS need")
+
+
+def cut_offs(commits: DataFrame, depth: int) -> DataFrame:
+    """(repo, last): the ``seq`` of the ``depth``-th commit of every repository that has so many.
+
+    ``commits`` are distinct (repo, seq). Counts per block lead to the block with the cut-off, and
+    only its commits are looked at one by one: no task sorts all commits of a large repository.
+    """
+    blocks = commits.groupBy("repo", F.shiftright("seq", _BLOCK_BITS).alias("block")).agg(F.count("*").alias("n"))
+    larger = blocks.groupBy("repo", F.shiftright("block", _BLOCK_BITS).alias("block")).agg(F.sum("n").alias("n"))
+    large_cut = _holding_cut(larger.withColumn("need", F.lit(depth).cast("long")))
+    cut = _holding_cut(blocks.alias("b").join(
+        large_cut.alias("c"),
+        (F.col("b.repo") == F.col("c.repo")) & (F.shiftright("b.block", _BLOCK_BITS) == F.col("c.block"))
+    ).select("b.repo", "b.block", "b.n", "c.need"))
+    near = commits.alias("b").join(
+        cut.alias("c"),
+        (F.col("b.repo") == F.col("c.repo")) & (F.shiftright("b.seq", _BLOCK_BITS) == F.col("c.block")))
+    last = _holding_cut(near.select("b.repo", F.col("b.seq").alias("block"), F.lit(1).alias("n"), "c.need"))
+    return last.select("repo", F.col("block").alias("last"))
+
+
+def newest_commits(patches: DataFrame, depth: int | None) -> DataFrame:
     """The patches of the ``depth`` newest commits of every repository.
 
-    ``seq`` is an integer, unique per commit of a repository and ascending from the newest. Each
-    repository's cut-off is found by counting commits per block of ``seq`` values and descending
-    into the block that holds it, so no task sorts all commits of a large repository.
+    ``seq`` is an integer, unique per commit of a repository and ascending from the newest. Runs
+    a job over (repo, seq) to find the cut-offs; keep patches in a table rather than a log to parse.
     """
     if depth is None:
         return patches
     if depth <= 0:
         return patches.limit(0)
-    commits = patches.select(F.col(repo).alias("__repo"), F.col(seq).cast("long").alias("__seq")).distinct()
-    before = F.coalesce(F.sum("__n").over(
-        Window.partitionBy("__repo").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    level, cut = commits.withColumn("__need", F.lit(depth).cast("long")), None
-    for bits in _BLOCK_BITS:
-        counts = (level.groupBy("__repo", "__need", F.shiftright("__seq", bits).alias("__block"))
-                  .agg(F.count("*").alias("__n")).withColumn("__before", before))
-        cut = counts.where(
-            (F.col("__before") < F.col("__need")) & (F.col("__before") + F.col("__n") >= F.col("__need"))
-        ).select("__repo", "__block", (F.col("__need") - F.col("__before")).alias("__need"))
-        level = (commits.withColumn("__block", F.shiftright("__seq", bits))
-                 .join(cut, ["__repo", "__block"]).drop("__block"))
-    last = cut.select("__repo", F.col("__block").alias("__last"))
-    kept = patches.join(last, F.col(repo) == F.col("__repo"), "left")
-    return (kept.where(F.col("__last").isNull() | (F.col(seq) <= F.col("__last")))
-            .drop("__repo", "__last"))
+    commits = patches.select("repo", F.col("seq").cast("long").alias("seq")).distinct()
+    last = cut_offs(commits, depth)
+    few = last.limit(MAX_LOCAL_REPOS + 1).toArrow()
+    if few.num_rows <= MAX_LOCAL_REPOS:
+        # A local relation of known size: the patches are filtered where they are.
+        last = patches.sparkSession.createDataFrame(few)
+        kept = patches.join(last.withColumnRenamed("repo", "__repo"), F.col("repo") == F.col("__repo"), "left")
+        return kept.where("last IS NULL OR seq <= last").drop("__repo", "last")
+    # Joined per commit, so that a large repository spreads over many tasks.
+    kept = commits.join(last, "repo", "left").where("last IS NULL OR seq <= last").select("repo", "seq")
+    return patches.join(kept, ["repo", "seq"], "left_semi")
 
 
 def first_occurrences(findings: DataFrame, order: tuple[str, ...] = ("patch_pos", "line_pos")) -> DataFrame:

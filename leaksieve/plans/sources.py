@@ -59,20 +59,27 @@ def scan_tree(spark: SparkSession, path: str, rules: RuleSet | None = None,
             F.lit(None).cast("string").alias("source_id"), F.lit("list").alias("stage"), error.alias("message"))
         return Scan(canonical(row.limit(0).select()), spark.createDataFrame([], LOG_SCHEMA), row)
     selected = select_files(list_tree(spark, path, config), ignore_patterns(path, config), config)
-    return scan_files(read_files(selected), path, rules)
+    return scan_files(read_files(selected), path, rules, checked=read_files(selected, contents=False))
 
 
-def scan_files(files: DataFrame, target: str, rules: RuleSet | None = None) -> Scan:
-    """A scan of files as ``read_files`` returns them: rel_path, content, status."""
+def scan_files(files: DataFrame, target: str, rules: RuleSet | None = None,
+               checked: DataFrame | None = None) -> Scan:
+    """A scan of files as ``read_files`` returns them: rel_path, single, content, status.
+
+    ``checked`` are the same files without contents, from which log and errors are cheaper to get.
+    A file of a tree that cannot be opened is left out like a binary one, and becomes an error row.
+    """
     rules = rules or RuleSet.builtin()
-    scanned = files.where(F.col("status") != "binary")
-    texts = scanned.select(F.col("rel_path").alias("file_path"), decode_lenient(F.col("content")).alias("text"))
+    checked = files if checked is None else checked
+    readable = files.where(F.col("status") == "ok")
+    texts = readable.select(F.col("rel_path").alias("file_path"), decode_lenient(F.col("content")).alias("text"))
     found = attach_rules(find_hits(texts, "text", rules), rules)
     findings = canonical(found, source_type=F.lit("tree"), target=F.lit(target), source_id=F.col("file_path"))
-    unreadable = scanned.where(F.col("status") == "unreadable").select(
+    scanned = checked.where((F.col("status") == "ok") | (F.col("single") & (F.col("status") == "unreadable")))
+    errors = checked.where(F.col("status") == "unreadable").select(
         F.lit("tree").alias("source_type"), F.lit(target).alias("target"), F.col("rel_path").alias("source_id"),
         F.lit("read").alias("stage"), F.concat(F.lit("Error scanning "), F.col("rel_path")).alias("message"))
-    return Scan(findings, _log(scanned.withColumnRenamed("rel_path", "source_id"), "tree", F.lit(target)), unreadable)
+    return Scan(findings, _log(scanned.withColumnRenamed("rel_path", "source_id"), "tree", F.lit(target)), errors)
 
 
 def scan_history(patches: DataFrame, rules: RuleSet | None = None, *, depth: int | None = None,

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from leaksieve.functions.text import decode_lenient
+
 PATCH_COLUMNS = ("repo", "commit_sha", "parent_sha", "seq", "author", "committed_at", "file_path",
                  "patch_pos", "patch")
 
@@ -18,7 +20,8 @@ def read_git_log(spark: SparkSession, path: str, repo: Column | str) -> DataFram
     repo = F.lit(repo) if isinstance(repo, str) else repo
     commits = (spark.read.option("lineSep", "\ncommit ").text(path)
                .select(repo.alias("repo"), F.col("_metadata.file_block_start").alias("__block"),
-                       F.monotonically_increasing_id().alias("__row"), F.col("value")))
+                       F.monotonically_increasing_id().alias("__row"),
+                       decode_lenient(F.col("value").cast("binary")).alias("value")))
     return parse_commits(commits)
 
 

@@ -8,7 +8,12 @@ from __future__ import annotations
 
 import json
 import os
+import zlib
+from collections import deque
 from collections.abc import Iterator
+from functools import partial
+from itertools import islice
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -30,13 +35,26 @@ CONTENT_SCHEMA = "path string, rel_path string, length long, single boolean, con
 # A batch handed back to Spark holds at most about this many bytes of file content.
 _BATCH_BYTES = 32 * 1024 * 1024
 _LISTING_TASKS = 256
+# A directory with more subdirectories than this is listed by all tasks together.
+_WIDE = 4096
 
 
-class _Directories(InputPartition):
-    """Directories one task lists: (path, whether with everything below)."""
+class _Share(NamedTuple):
+    """What one task lists of a directory: its own files only, or everything below the entries whose
+    name hashes to ``index`` of ``of``."""
 
-    def __init__(self, entries: list[tuple[str, bool]]):
-        self.entries = entries
+    directory: str
+    below: bool
+    index: int = 0
+    of: int = 1
+
+    def holds(self, name: str) -> bool:
+        return zlib.crc32(name.encode("utf-8", "surrogateescape")) % self.of == self.index
+
+
+class _Shares(InputPartition):
+    def __init__(self, shares: list[_Share]):
+        self.shares = shares
 
 
 class TreeListing(DataSource):
@@ -62,32 +80,44 @@ class _TreeReader(DataSourceReader):
         self.excluded = excluded
 
     def _subdirectories(self, directory: str) -> list[str]:
+        """The subdirectories to enter, at most one more than ``_WIDE`` of them."""
         try:
             with os.scandir(directory) as entries:
-                return sorted(e.path for e in entries
-                              if e.name not in self.excluded and e.is_dir(follow_symlinks=False))
+                return list(islice((e.path for e in entries if e.name not in self.excluded
+                                    and e.is_dir(follow_symlinks=False)), _WIDE + 1))
         except OSError:
             return []
 
     def partitions(self) -> list[InputPartition]:
-        """Opens the top of the tree only, until there are enough subtrees for the listing tasks."""
-        if os.path.isfile(self.root):
-            return [_Directories([(self.root, False)])]
-        opened, frontier = [], [self.root]
-        while frontier and len(frontier) < _LISTING_TASKS and len(opened) < _LISTING_TASKS:
-            directory = frontier.pop(0)
-            opened.append(directory)
-            frontier.extend(self._subdirectories(directory))
-        entries = [(d, False) for d in opened] + [(d, True) for d in frontier]
-        return [_Directories(entries[i::_LISTING_TASKS]) for i in range(min(_LISTING_TASKS, len(entries)))]
-
-    def read(self, partition: _Directories) -> Iterator[tuple]:
-        for path, below in partition.entries:
-            if os.path.isfile(path):
-                yield path, os.path.basename(path), os.path.basename(path), _size(path), True
+        """Opens the top of the tree only, until there are enough subtrees for the listing tasks.
+
+        A directory with very many subdirectories is not opened here but shared by all tasks.
+        """
+        shares, frontier = [], deque([self.root])
+        while frontier and len(frontier) < _LISTING_TASKS and len(shares) < _LISTING_TASKS:
+            directory = frontier.popleft()
+            below = self._subdirectories(directory)
+            if len(below) > _WIDE:
+                shares += [_Share(directory, True, i, _LISTING_TASKS) for i in range(_LISTING_TASKS)]
+            else:
+                shares.append(_Share(directory, False))
+                frontier.extend(sorted(below))
+        shares += [_Share(directory, True) for directory in frontier]
+        return [_Shares(shares[i::_LISTING_TASKS]) for i in range(min(_LISTING_TASKS, len(shares)))]
+
+    def read(self, partition: _Shares) -> Iterator[tuple]:
+        for share in partition.shares:
+            if os.path.isfile(share.directory):
+                name = os.path.basename(share.directory)
+                yield share.directory, name, name, _size(share.directory), True
                 continue
-            for directory, subdirectories, files in os.walk(path):
-                subdirectories[:] = [d for d in subdirectories if d not in self.excluded] if below else []
+            for directory, subdirectories, files in os.walk(share.directory):
+                if not share.below:
+                    subdirectories.clear()
+                subdirectories[:] = [d for d in subdirectories if d not in self.excluded]
+                if directory == share.directory:
+                    subdirectories[:] = filter(share.holds, subdirectories)
+                    files = filter(share.holds, files)
                 for name in files:
                     full = os.path.join(directory, name)
                     yield full, os.path.relpath(full, self.root).replace("\\", "/"), name, _size(full), False
@@ -132,11 +162,12 @@ def select_files(listing: DataFrame, patterns: list[str] | tuple[str, ...] = (),
     return listing.where(F.col("single") | chosen)
 
 
-def read_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
+def read_files(files: DataFrame, tasks: int | None = None, contents: bool = True) -> DataFrame:
     """Adds ``content`` and ``status`` (``ok``, ``binary`` or ``unreadable``) to the selected files.
 
     The paths are hashed over ``tasks`` tasks first, as listing tasks follow directories and may
-    be uneven; only paths and sizes are shuffled.
+    be uneven; only paths and sizes are shuffled. Without ``contents`` only the first bytes are
+    read, for the status.
     """
     spark = files.sparkSession
     ship_package(spark)
@@ -144,16 +175,16 @@ def read_files(files: DataFrame, tasks: int | None = None) -> DataFrame:
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                     2 * spark.sparkContext.defaultParallelism)
     columns = files.select("path", "rel_path", "length", "single").repartition(tasks, "path")
-    return columns.mapInArrow(_read_batches, CONTENT_SCHEMA)
+    return columns.mapInArrow(partial(_read_batches, contents=contents), CONTENT_SCHEMA)
 
 
-def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _read_batches(batches: Iterator[pa.RecordBatch], contents: bool) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("path", pa.string()), ("rel_path", pa.string()), ("length", pa.int64()),
                         ("single", pa.bool_()), ("content", pa.binary()), ("status", pa.string())])
     rows, held = [], 0
     for batch in batches:
         for row in batch.to_pylist():
-            row["content"], row["status"] = _read_file(row["path"], sniff=not row["single"])
+            row["content"], row["status"] = _read_file(row["path"], not row["single"], contents)
             rows.append(row)
             held += len(row["content"] or b"")
             if held >= _BATCH_BYTES:
@@ -163,12 +194,12 @@ def _read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _read_file(path: str, sniff: bool) -> tuple[bytes | None, str]:
+def _read_file(path: str, sniff: bool, contents: bool) -> tuple[bytes | None, str]:
     try:
         with open(path, "rb") as file:
             head = file.read(SNIFF_BYTES)
             if sniff and b"\x00" in head:
                 return None, "binary"
-            return head + file.read(), "ok"
+            return (head + file.read() if contents else None), "ok"
     except OSError:
         return None, "unreadable"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leaksieve.functions.paths import file_name
 from leaksieve.operators.files import ScanConfig, is_binary, outside_excluded_dirs, scannable_hosted_name, scannable_name
 from leaksieve.operators.ignore import ignore_regex, is_ignored, parse_ignore_lines
-from leaksieve.plans.sources import scan_tree, scan_trees
+from leaksieve.plans.sources import scan_files, scan_tree, scan_trees
 from leaksieve.sources.patterns import load_patterns, rules_with_file
 from leaksieve.sources.tree import list_tree, read_files, select_files
 
@@ -89,7 +89,10 @@ def test_unreadable_file_is_counted(spark, project):
     files = read_files(select_files(list_tree(spark, str(project / "config.py"))))
     assert [r.status for r in files.collect()] == ["ok"]
     listing = list_tree(spark, str(project)).withColumn("path", F.concat("path", F.lit(".gone")))
-    assert {r.status for r in read_files(select_files(listing)).collect()} == {"unreadable"}
+    gone = read_files(select_files(listing))
+    assert {r.status for r in gone.collect()} == {"unreadable"}
+    scan = scan_files(gone, "t")
+    assert scan.findings.count() == scan.scan_log.count() == 0 and scan.errors.count() == gone.count()
 
 
 def test_empty_settings_mean_defaults(spark, project):
@@ -108,6 +111,20 @@ def test_many_directories(spark, tmp_path):
     assert listed.rdd.getNumPartitions() > 100
 
 
+def test_wide_directories_are_shared(spark, tmp_path, monkeypatch):
+    from leaksieve.sources import tree
+    monkeypatch.setattr(tree, "_WIDE", 50)
+    for i in range(120):
+        write(tmp_path, f"wide/d{i}/f.py", SECRET)
+        write(tmp_path, f"wide/f{i}.py", SECRET)
+    reader = tree._TreeReader(str(tmp_path), frozenset({"d7"}))
+    partitions = reader.partitions()
+    assert len(partitions) == 256
+    rows = [row for p in partitions for row in reader.read(p)]
+    assert sorted(r[1] for r in rows) == sorted([f"wide/f{i}.py" for i in range(120)]
+                                                + [f"wide/d{i}/f.py" for i in range(120) if i != 7])
+
+
 def test_symlinked_directories_are_not_followed(spark, project):
     os.symlink(project / "deep", project / "link")
     os.symlink(project / "gone.py", project / "broken.py")

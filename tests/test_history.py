@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from leaksieve.operators import history
 from leaksieve.operators.history import first_occurrences, newest_commits
 from leaksieve.plans.sources import scan_history
 from leaksieve.sources.patches import read_git_log
@@ -48,7 +49,7 @@ def test_branch(spark):
     assert scan_history(frame).findings.count() == 3
 
 
-def test_depth(spark):
+def test_depth(spark, monkeypatch):
     """Repositories of very different sizes, files repeated per commit, gaps and negatives in seq."""
     rows = [("big", 3 * i - 50) for i in range(20_000)] + [("big", 3 * i - 50) for i in range(500)]
     rows += [("wide", i << 40) for i in range(50)] + [("small", 7), ("small", 9)]
@@ -59,6 +60,11 @@ def test_depth(spark):
         for repo in ("big", "wide", "small"):
             expected |= {(repo, s) for s in sorted({s for name, s in rows if name == repo})[:depth]}
         assert got == expected, depth
+    monkeypatch.setattr(history, "MAX_LOCAL_REPOS", 1)
+    for depth in (1, 700, 19_999):
+        got = newest_commits(frame, depth)
+        assert got.where("repo = 'big'").select("seq").distinct().count() == depth
+        assert got.where("repo = 'small'").count() == min(depth, 2)
     assert newest_commits(frame, None).count() == len(rows)
     assert newest_commits(frame, 0).count() == 0
     assert newest_commits(frame, 600).where("repo = 'big'").count() == 600 + 500

@@ -97,7 +97,7 @@ def test_json_report(spark, scan, findings, tmp_path):
         assert report["scan"] == {"target": "t", "type": "table", "files_scanned": 3, "duration_seconds": 1.235}
         assert report["summary"] == {"total_findings": 6, "critical": 2, "high": 2,
                                      "by_severity": {"critical": 2, "high": 2, "medium": 2}}
-        assert report["errors"] == ["Path not found: x"]
+    assert [e for r in reports for e in r["errors"]] == ["Path not found: x"]
     empty = report_documents(findings.limit(0), scan.scan_log, target="t", scan_type="table").collect()
     assert [json.loads(r.value)["findings"] for r in empty] == [[]]
 
@@ -128,6 +128,14 @@ def test_sarif_of_history_and_slices(spark, findings):
     for result in results:
         assert result["properties"] == {"commit_sha": "abc", "commit_author": "", "commit_date": ""}
         assert "region" not in result["locations"][0]["physicalLocation"]
+    many = spark.range(50).select(F.concat(F.lit("error "), "id").alias("message"))
+    for found in (findings, findings.limit(0)):
+        runs = [json.loads(r.value)["runs"][0] for r in sarif_documents(found, many, max_results=4).collect()]
+        notes = [n for run in runs for n in run["invocations"][0]["toolExecutionNotifications"]]
+        assert len(notes) == 50 and {n["level"] for n in notes} == {"error"}
+        assert not any(run["invocations"][0]["executionSuccessful"] for run in runs)
+        assert all(len(run["invocations"][0]["toolExecutionNotifications"]) <= 4 for run in runs)
+        assert sum(len(run["results"]) for run in runs) == found.count()
     [empty] = [json.loads(r.value) for r in sarif_documents(findings.limit(0)).collect()]
     assert empty["runs"][0]["results"] == []
 

@@ -11,12 +11,13 @@ from leaksieve.functions.entropy import is_high_entropy, shannon_entropy
 from leaksieve.functions.paths import file_name
 from leaksieve.operators import files, order, rollup
 from leaksieve.operators.ignore import is_ignored
+from leaksieve.operators.merge import files_scanned
 from leaksieve.plans.scan import attach_rules, find_hits, scan_text
 from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_table
-from leaksieve.operators.merge import files_scanned
+from leaksieve.plans.views import register_views
 from leaksieve.rules import RuleSet
-from leaksieve.sinks.documents import sarif_results
-from leaksieve.sinks.tables import json_findings, report_rows
+from leaksieve.sinks.documents import report_documents, sarif_documents, sarif_results
+from leaksieve.sinks.tables import json_findings, report_rows, write_table
 from leaksieve.sources.patches import parse_commits
 from leaksieve.sources.tree import list_tree, read_files, select_files
 from leaksieve.streaming.scans import scan_stream, write_findings
@@ -408,6 +409,50 @@ def sarif_results_rows(spark, sf_dir):
     return sarif_results(_planted_findings(spark, sf_dir))
 
 
+def _written_findings(spark, sf_dir) -> DataFrame:
+    return write_table(_planted_findings(spark, sf_dir), f"{scratch_dir(spark)}/findings")
+
+
+@query(_planted(f"SELECT rule_id, {_LEVEL} AS level, count(*) AS n, min(file_path) AS first_uri, "
+                "CAST(min(line_number) AS BIGINT) AS first_line FROM found GROUP BY rule_id, level"))
+def sarif_document_contents(spark, sf_dir):
+    """SARIF documents of the findings, parsed again and counted."""
+    documents = sarif_documents(_written_findings(spark, sf_dir))
+    results = documents.select(F.explode(F.from_json("value", "runs array<struct<results: array<struct<ruleId: string, "
+        "level: string, locations: array<struct<physicalLocation: struct<artifactLocation: struct<uri: string>, "
+        "region: struct<startLine: bigint>>>>>>>>")["runs"][0]["results"]).alias("r"))
+    place = F.col("r.locations")[0]["physicalLocation"]
+    return results.groupBy(F.col("r.ruleId").alias("rule_id"), F.col("r.level").alias("level")).agg(
+        F.count("*").alias("n"), F.min(place["artifactLocation"]["uri"]).alias("first_uri"),
+        F.min(place["region"]["startLine"]).alias("first_line"))
+
+
+@query(_planted("SELECT severity, count(*) AS n, (SELECT count(*) FROM found) AS total, "
+                "(SELECT count(*) FROM conversations) AS files_scanned FROM found GROUP BY severity"))
+def json_report_contents(spark, sf_dir):
+    """JSON reports of the findings, parsed again and counted."""
+    findings = _written_findings(spark, sf_dir)
+    log = table(spark, sf_dir, "conversations").select("conv_id")
+    documents = report_documents(findings, log, target="conversations", scan_type="table")
+    parsed = documents.select(F.from_json("value", "scan struct<files_scanned: bigint>, summary "
+        "struct<total_findings: bigint>, findings array<struct<severity: string>>").alias("d"))
+    rows = parsed.select("d.scan.files_scanned", F.col("d.summary.total_findings").alias("total"),
+                         F.explode("d.findings.severity").alias("severity"))
+    return rows.groupBy("severity", "total", "files_scanned").agg(F.count("*").alias("n"))
+
+
+@query(scan_sql(duckdb_sql("planted_conversations"), ["role"],
+                "SELECT role, rules.category, count(*) AS n FROM found JOIN (VALUES "
+                + ", ".join(f"({i}, {quote(r.category)})" for i, r in RuleSet.builtin().numbered())
+                + ") AS rules(ord, category) ON rules.ord = found.ord GROUP BY role, rules.category"))
+def sql_views(spark, sf_dir):
+    """Rules and findings joined in SQL."""
+    rows = table(spark, sf_dir, "planted_conversations").select("role", "text")
+    register_views(scan_text(rows, "text"))
+    return spark.sql("SELECT role, category, count(*) AS n FROM findings JOIN rules ON rules.ord = findings.ord "
+                     "GROUP BY role, category")
+
+
 @query(_planted(
     f"SELECT rule_id, any_value(rule_name) AS rule_name, any_value(severity) AS severity, any_value(description) AS "
     f"full_description, any_value({_LEVEL}) AS level, any_value({_SCORE}) AS security_severity, min(file_path) AS first_file "
