@@ -19,6 +19,3 @@ def suffix(name: Column) -> Column:
     """The last ``.ext`` of a file name; none for a name that only starts or ends with a dot."""
     return F.regexp_extract(name, r"(?s)^.+(\.[^.]+)$", 1)
 
-
-def relative_path(path: Column) -> Column:
-    return F.replace(path, F.lit("\\"), F.lit("/"))

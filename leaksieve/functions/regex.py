@@ -62,10 +62,11 @@ def to_java(pattern: str) -> str:
 
 
 # Anchors, lookaround, atomic groups and possessive loops see beyond the matched text.
-_CONTEXT = re.compile(r"(?<!\\)(?:\\\\)*(?:[\^$]|\\[AZzGB]|\(\?[=!<>(]|[*+?}]\+)")
+_CONTEXT = re.compile(r"[\^$]|\\[AZzGB]|\(\?[=!<>(]|[*+?}]\+")
+_ATOM = re.compile(r"\\.|\[\^?\]?(?:\\.|[^\]\\])*\]", re.DOTALL)
 
 
 def is_context_free(pattern: str) -> bool:
     """Whether a match inside a line stays a match in any longer text that holds the line."""
-    without_classes = re.sub(r"\[\^?\]?(?:\\.|[^\]\\])*\]", "x", pattern)
-    return not _CONTEXT.search(without_classes)
+    bare = _ATOM.sub(lambda atom: atom.group() if atom.group()[1:] in tuple("AZzGB") else "x", pattern)
+    return not _CONTEXT.search(bare)

@@ -20,6 +20,9 @@ from leaksieve.rules import Rule, RuleSet
 _FAMILIES = ("_", "-----BEGIN ", "://", "sk-", "xox", "sq0")
 _LOWER_FAMILIES = ("key", "token", "ecret", "account", "pass")
 
+# A literal with a digit or punctuation, at least this long, hardly occurs outside secrets.
+_DISTINCTIVE_LENGTH = 6
+
 # Candidates are kept as bits of 64-bit words; the sign bit stays free.
 _WORD_BITS = 63
 
@@ -54,6 +57,12 @@ def _family(rule: Rule) -> str | None:
                  or rule.keywords and all(f in keyword for keyword in rule.keywords)), None)
 
 
+def _is_distinctive(rule: Rule) -> bool:
+    """Whether a literal of the rule alone all but proves a match, so that the whole text need not be searched."""
+    return not rule.ignores_case and any(
+        len(need) >= _DISTINCTIVE_LENGTH and not need.isalpha() for need in rule.needs)
+
+
 def _any_bit(bits: Sequence[Column]) -> Column:
     """Bitwise or as a balanced tree, so that many rules do not nest deeply."""
     if len(bits) == 1:
@@ -82,7 +91,7 @@ def candidate_rules(text_name: str, low_name: str, rules: RuleSet) -> Column:
     families: dict[tuple[int, str | None, bool], list[Column]] = {}
     for ord_, rule in rules.numbered():
         tests = _gates(rule, text, low)
-        if rule.testable_on_whole_text:
+        if rule.testable_on_whole_text and not _is_distinctive(rule):
             tests.append(F.rlike(text, F.lit(rule.java_pattern)))
         word, bit = _bit(ord_)
         may_fire = F.when(reduce(and_, tests), bit).otherwise(none) if tests else bit

@@ -10,6 +10,9 @@ from leaksieve.operators.match import candidate_rules, has_candidates, line_hits
 from leaksieve.plans.partitioning import spread_if_small
 from leaksieve.rules import RuleSet
 
+RESULT_COLUMNS = {"line_number", "ord", "rule_id", "rule_name", "severity", "severity_rank", "snippet",
+                  "masked_snippet", "matched_text", "description"}
+
 
 def find_hits(df: DataFrame, text: str, rules: RuleSet, *, added_lines_only: bool = False,
               keep_plus_plus: bool = False) -> DataFrame:
@@ -19,6 +22,9 @@ def find_hits(df: DataFrame, text: str, rules: RuleSet, *, added_lines_only: boo
     With ``added_lines_only`` the text is a patch: lines starting with ``+`` are scanned without it,
     and lines starting with ``+++`` are left out unless ``keep_plus_plus``.
     """
+    taken = sorted(set(df.columns) & RESULT_COLUMNS - {text})
+    if taken:
+        raise ValueError(f"Columns of the input are named like results: {taken}")
     df = spread_if_small(df)
     keep = [F.col(f"`{c}`") for c in df.columns if c != text]
     col = F.col

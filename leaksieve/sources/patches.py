@@ -11,7 +11,8 @@ PATCH_COLUMNS = ("repo", "commit_sha", "parent_sha", "seq", "author", "committed
 
 
 def read_git_log(spark: SparkSession, path: str, repo: Column | str) -> DataFrame:
-    """Patches from ``git log -p --diff-merges=first-parent --parents --format=fuller --date=iso-strict``.
+    """Patches from ``git log -p --diff-merges=first-parent --parents --format=fuller --date=iso-strict``
+    (with ``core.quotePath`` off).
 
     Commits become the rows of a splittable text scan, so one large export is parsed by many
     tasks. ``repo`` is a name or an expression, for instance over ``_metadata.file_name``; a

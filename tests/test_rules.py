@@ -154,7 +154,8 @@ def test_summaries(spark):
 
 def test_context_free_patterns():
     assert all(map(is_context_free, [r"a+b", r"(?:x|y)\bz", r"[^$]+", r"\^x", r"(?i)a", r"(?P<n>a)"]))
-    assert not any(map(is_context_free, [r"^a", r"a$", r"(?=a)", r"(?<!a)b", r"a\Z", r"a++", r"(?>a)", r"\\^"]))
+    assert not any(map(is_context_free, [r"^a", r"a$", r"(?=a)", r"(?<!a)b", r"a\Z", r"a++", r"(?>a)", r"\\^", r"\[^a\]", r"a\B", r"[a]^"]))
+    assert is_context_free(r"\[a\]") and is_context_free(r"[]^a]+\\")
 
 
 def test_java_rewrite():
