@@ -6,18 +6,26 @@ from pyspark.sql import DataFrame
 
 SMALL_INPUT_BYTES = 1 << 30
 
+_ROW_BY_ROW = {"Project", "Filter", "Generate", "SubqueryAlias"}
+_REPARTITIONED = {"Repartition", "RepartitionByExpression", "RebalancePartitions"}
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate of ``df``; very large when it knows nothing."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+def _is_repartitioned(plan) -> bool:
+    """Whether only row-by-row steps follow a repartitioning in the logical plan."""
+    while plan.nodeName() in _ROW_BY_ROW:
+        plan = plan.children().head()
+    return plan.nodeName() in _REPARTITIONED
 
 
 def spread_if_small(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Spreads an input of at most ``max_bytes`` over the cores.
+    """Spreads an input that Catalyst estimates at no more than ``max_bytes`` over the cores.
 
     A small table may be one row group, which one task would scan alone. Larger inputs have
-    splits enough and are never shuffled.
+    splits enough and are never shuffled, nor are inputs the caller has repartitioned.
     """
-    if df.isStreaming or estimated_bytes(df) > max_bytes:
+    if df.isStreaming:
+        return df
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) > max_bytes or _is_repartitioned(plan):
         return df
     return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)

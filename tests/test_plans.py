@@ -65,6 +65,8 @@ def test_small_inputs_are_spread_and_large_ones_left(spark):
     docs = table(spark, SF_DIR, "documents")
     assert "RoundRobinPartitioning" in plan(spread_if_small(docs))
     assert spread_if_small(docs, max_bytes=1000) is docs
+    spread = docs.repartition(3).select("doc_id").where("doc_id > 1")
+    assert spread_if_small(spread) is spread
 
 
 def test_dedup_is_partial_before_its_shuffle(spark, large_input):
@@ -75,8 +77,8 @@ def test_dedup_is_partial_before_its_shuffle(spark, large_input):
 
 def test_depth_does_not_shuffle_the_patches(spark, large_input):
     text = plan(scan_history(table(spark, SF_DIR, "patches"), depth=3).findings)
-    assert "SortMergeJoin" not in text
     shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
+    assert "SortMergeJoin" not in text
     assert len(shuffled) == 1 and "commit_sha" in shuffled[0]
 
 

@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leaksieve.plans.partitioning import spread_if_small
 from workload.planted import block_sql
 
 GIVEN = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -87,5 +88,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in GIVEN:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = DERIVED[name]
-    inputs = {m[1]: table(spark, sf_dir, m[1]) for m in _PLACEHOLDER.finditer(sql)}
+    inputs = {m[1]: spread_if_small(table(spark, sf_dir, m[1])) for m in _PLACEHOLDER.finditer(sql)}
     return spark.sql(sql, **inputs)
