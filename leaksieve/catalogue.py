@@ -344,6 +344,10 @@ PROBES = {
     "discord-bot-token": (r"\.[\w-]{6}\.[\w-]{27}", r"[A-Za-z\d]{23}\.[\w-]{6}\.[\w-]{27}"),
 }
 
+# What every match of a built-in rule that ignores case holds, unless it holds an equals sign: a colon
+# before a quoted literal, a long value or an authorization scheme.
+COLON_ASSIGNMENT = r"""(?i):\s*(?:['"][^'"]{8}|['"]?[^\s'"]{12}|['"]?(?:bearer|basic)\s)"""
+
 # Severities from most to least severe, with rank, SARIF level and security score.
 SEVERITIES = (
     ("critical", 4, "error", "9.5"),

@@ -13,6 +13,8 @@ from operator import and_, or_
 
 from pyspark.sql import Column, functions as F
 
+from leaksieve.catalogue import COLON_ASSIGNMENT
+from leaksieve.functions.regex import to_java
 from leaksieve.rules import Rule, RuleSet
 
 # Literals shared by many rules, for case-sensitive patterns and for the others: one test of the
@@ -79,11 +81,24 @@ def _bit(ord_: int) -> tuple[int, Column]:
 _NO_BITS = 0
 
 
+def lowered(text_name: str, rules: RuleSet) -> Column:
+    """The lower-cased text for ``candidate_rules``, empty where no rule can need it.
+
+    The built-in rules that ignore case all look for assignments, which most prose does without.
+    (Empty rather than null: a null gate would not keep ``AND`` from evaluating the pattern.)
+    """
+    text = F.col(text_name)
+    if any(not rule.is_builtin and (rule.keywords or rule.needs) for rule in rules.rules):
+        return F.lower(text)
+    assigns = F.contains(text, F.lit("=")) | F.rlike(text, F.lit(to_java(COLON_ASSIGNMENT)))
+    return F.when(assigns, F.lower(text)).otherwise(F.lit(""))
+
+
 @lru_cache(maxsize=64)
 def candidate_rules(text_name: str, low_name: str, rules: RuleSet) -> Column:
     """``ARRAY<BIGINT>`` with one bit per rule that may fire on a line of the text.
 
-    ``low_name`` is the column of the lower-cased text.
+    ``low_name`` is the column that ``lowered`` gives.
     """
     text, low = F.col(text_name), F.col(low_name)
     none = F.lit(_NO_BITS).cast("long")

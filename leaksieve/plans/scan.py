@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leaksieve.functions.redact import redact_all
 from leaksieve.functions.text import long_enough, split_lines, strip
-from leaksieve.operators.match import candidate_rules, has_candidates, line_hits
+from leaksieve.operators.match import candidate_rules, has_candidates, line_hits, lowered
 from leaksieve.plans.partitioning import spread_if_small
 from leaksieve.rules import RuleSet
 
@@ -28,7 +28,8 @@ def find_hits(df: DataFrame, text: str, rules: RuleSet, *, added_lines_only: boo
     df = spread_if_small(df)
     keep = [F.col(f"`{c}`") for c in df.columns if c != text]
     col = F.col
-    texts = df.select(*keep, col(f"`{text}`").alias("__text"), F.lower(col(f"`{text}`")).alias("__low"))
+    texts = df.select(*keep, col(f"`{text}`").alias("__text"))
+    texts = texts.select(*keep, "__text", lowered("__text", rules).alias("__low"))
     texts = texts.select(*keep, "__text", candidate_rules("__text", "__low", rules).alias("__rules"))
     lines = texts.select(
         *keep, "__rules",

@@ -34,27 +34,33 @@ class Rule:
 
     @property
     def java_pattern(self) -> str:
-        builtin = self.category != "custom"
-        return to_java(catalogue.LINEAR_FORMS.get(self.rule_id, self.pattern) if builtin else self.pattern)
+        linear = catalogue.LINEAR_FORMS.get(self.rule_id) if self.is_builtin else None
+        return to_java(linear or self.pattern)
 
     @property
     def probes(self) -> list[str]:
-        return [to_java(p) for p in catalogue.PROBES.get(self.rule_id, ())] if self.category != "custom" else []
+        return [to_java(p) for p in catalogue.PROBES.get(self.rule_id, ())] if self.is_builtin else []
+
+    @property
+    def is_builtin(self) -> bool:
+        return self.category != "custom"
 
     @property
     def keywords_implied(self) -> bool:
-        """Whether a literal every match contains already holds one of the keywords."""
+        """Whether every match holds one of the keywords, as it does for case-sensitive built-in rules."""
+        if self.is_builtin and not self.ignores_case:
+            return True
         return any(k in need.lower() for need in self.needs for k in self.keywords)
 
     @property
     def matches_empty(self) -> bool:
         """Whether the pattern may match without consuming a character."""
-        return self.category == "custom"
+        return not self.is_builtin
 
     @property
     def testable_on_whole_text(self) -> bool:
         """Whether a text without a match can have no line with one."""
-        return self.category != "custom" or is_context_free(self.pattern)
+        return self.is_builtin or is_context_free(self.pattern)
 
 
 @dataclass(frozen=True)

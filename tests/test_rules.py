@@ -75,6 +75,30 @@ def test_truncated_lines_do_not_fire_differently(spark):
     check(spark, damaged)
 
 
+def test_assignments_with_colons(spark):
+    """Built-in rules that ignore case, with other operators, blanks, quotes and letter case."""
+    lines = [line for line, rule in zip(planted(spark), RULES.rules) if rule.ignores_case]
+    changed = [line.replace("=", operator, 1) for line in lines
+               for operator in (":", " : ", ":\u00a0\x1f", ":'", ' : "', ":\u2003'", "=", "= ", "='")]
+    changed += [line.upper() for line in changed] + [line.replace(": ", "=") for line in lines]
+    got = check(spark, changed)
+    assert len({h[2] for h in got}) > 20
+    check(spark, ["Authorization: BA\u017fIC " + "a" * 12, "bearer :'Bearer\u00a0" + "a" * 20, "x: y", "a=b"])
+
+
+def test_keywords_are_in_every_match_of_case_sensitive_rules(spark):
+    for line, rule in zip(planted(spark), RULES.rules):
+        if rule.keywords and not rule.ignores_case:
+            found = re.search(rule.pattern, line).group().lower()
+            assert any(keyword in found for keyword in rule.keywords), rule.rule_id
+
+
+def test_registered_rules_see_their_keywords(spark):
+    rules = RULES.with_rules(Rule("a", "A", "(?i)needle", "low", keywords=("needle",)),
+                             Rule("b", "B", "NEEDLE", "low", keywords=("hay",)))
+    check(spark, ["a NEEDLE in prose", "a NEEDLE in Hay", "needle hay"], rules)
+
+
 @pytest.mark.parametrize("line, rule_id", [
     ("clientsecret=" + "a" * 30, "gcp-oauth-client-secret"),
     ("account-key=" + "a" * 88, "azure-storage-account-key"),
