@@ -124,6 +124,15 @@ def has_candidates(candidates_name: str) -> Column:
     return F.exists(candidates_name, lambda word: word != _NO_BITS)
 
 
+def is_missing(text_name: str) -> Column:
+    """Whether the text is null, as a higher-order function, which whole-stage generation leaves out.
+
+    Next to ``candidate_rules`` in a projection it keeps Spark from generating all rules as part of one
+    method, too large for the JIT compiler; a projection generated by itself is cut into small methods.
+    """
+    return F.exists(F.array(F.isnull(text_name)), lambda null: null)
+
+
 def _groups(rules: RuleSet) -> list[tuple[str | None, list[tuple[int, Rule]]]]:
     """Rules to skip together on a line: those of one family, the others in runs of a few."""
     groups: dict[tuple, list[tuple[int, Rule]]] = {}

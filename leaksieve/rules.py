@@ -89,8 +89,7 @@ class RuleSet:
             Rule(custom_rule_id(name), name, regex, catalogue.CUSTOM_SEVERITY, catalogue.CUSTOM_DESCRIPTION)
             for name, regex in items
         )
-        for rule in rules:
-            _check(rule, spark)
+        _check(rules, spark or SparkSession.getActiveSession())
         return self.with_rules(*rules)
 
     def __len__(self) -> int:
@@ -119,14 +118,19 @@ def custom_rule_id(name: str) -> str:
     return "custom-" + name.lower().replace(" ", "-")
 
 
-def _check(rule: Rule, spark: SparkSession | None) -> None:
-    try:
-        re.compile(rule.pattern)
-    except re.error as exc:
-        raise ValueError(f"Invalid regex pattern: {rule.pattern!r}") from exc
-    spark = spark or SparkSession.getActiveSession()
-    if spark is not None:
+def _check(rules: tuple[Rule, ...], spark: SparkSession | None) -> None:
+    """Raises ``ValueError`` for a pattern that Python or, with a session, Spark cannot compile."""
+    for rule in rules:
         try:
-            spark.range(1).select(F.lit("").rlike(rule.java_pattern)).collect()
-        except Exception as exc:
-            raise ValueError(f"Pattern not supported by Spark: {rule.pattern!r}") from exc
+            re.compile(rule.pattern)
+        except re.error as exc:
+            raise ValueError(f"Invalid regex pattern: {rule.pattern!r}") from exc
+    if spark is None or not rules:
+        return
+    try:
+        spark.range(1).select(*[F.lit("").rlike(rule.java_pattern) for rule in rules]).collect()
+    except Exception as exc:
+        if len(rules) == 1:
+            raise ValueError(f"Pattern not supported by Spark: {rules[0].pattern!r}") from exc
+        for rule in rules:
+            _check((rule,), spark)

@@ -166,6 +166,15 @@ def test_registered_rules_may_share_ids(spark):
 def test_bad_custom_regex(spark):
     with pytest.raises(ValueError, match="Invalid regex pattern"):
         RULES.with_custom({"bad": "("})
+    with pytest.raises(ValueError, match=r"not supported by Spark: '\(a\)\(\?\(1\)b\|c\)'"):
+        RULES.with_custom({"good": "x", "bad": "(a)(?(1)b|c)", "fine": "y"}, spark)
+    assert len(RULES.with_custom({}, spark)) == 78
+
+
+def test_many_custom_rules(spark):
+    rules = RULES.with_custom([(f"n{i}", f"custom{i}_[a-z]{{4}}") for i in range(150)], spark)
+    got = check(spark, ["a custom7_abcd custom149_abcd", "custom151_abcd", "token = 'abcdefgh'"], rules)
+    assert {h[2] for h in got} == {78 + 8, 78 + 150, 36}
 
 
 def test_summaries(spark):
