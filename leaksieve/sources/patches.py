@@ -28,27 +28,37 @@ def read_git_log(spark: SparkSession, path: str, repo: Column | str) -> DataFram
 
 def parse_commits(commits: DataFrame) -> DataFrame:
     """One row per changed file. ``commits`` has repo, __block, __row and the commit's text as value."""
-    text = F.regexp_replace("value", r"\A\s*commit ", "")
-    head = F.regexp_extract(text, r"(?s)\A(.*?)(?:\n\n|\z)", 1)
-    ids = F.split(F.regexp_extract(head, r"\A([^\n]*)", 1), " ")
+    value = F.col("value")
+    text = F.when(value.startswith("commit "), F.substring(value, 8, 2**31 - 1)).otherwise(value)
+    head = F.substring_index(text, "\n\n", 1)
+    ids = F.split(F.substring_index(head, "\n", 1), " ")
     commits = commits.select(
         "repo", "__block", "__row",
         ids[0].alias("commit_sha"),
-        F.get(F.filter(ids, lambda s: F.rlike(s, F.lit("^[0-9a-f]{7,64}$"))), F.lit(1)).alias("parent_sha"),
+        F.get(F.filter(ids, _is_sha), F.lit(1)).alias("parent_sha"),
         _header(head, "Author").alias("__author"),
         F.coalesce(_header(head, "CommitDate"), _header(head, "Date")).alias("committed_at"),
         F.split(text, r"\ndiff --git ").alias("__files"))
-    commits = commits.where(F.rlike("commit_sha", F.lit("^[0-9a-f]{7,64}$")))
+    commits = commits.where(_is_sha(F.col("commit_sha")))
+    changes = F.slice("__files", 2, F.greatest(F.size("__files") - 1, F.lit(0)))
     files = commits.select(
         "repo", "commit_sha", "parent_sha", "__block", "__row", "committed_at",
         F.trim(F.regexp_replace("__author", r"\s*<[^>]*>\s*$", "")).alias("author"),
-        F.posexplode_outer(F.slice("__files", 2, F.greatest(F.size("__files") - 1, F.lit(0)))).alias("patch_pos", "__file"))
+        F.posexplode_outer(changes).alias("patch_pos", "__file"))
+    header = F.substring_index("__file", _HUNK, 1)
     return files.select(
         "repo", "commit_sha", "parent_sha",
         # Block offset and row within the task, in file order: a row takes far more than 2^-20 bytes.
         (F.shiftleft(F.col("__block"), 20) + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).alias("seq"),
-        "author", "committed_at", new_path(F.col("__file")).alias("file_path"), "patch_pos",
-        F.regexp_extract("__file", r"(?s)\n(@@ .*)", 1).alias("patch"))
+        "author", "committed_at", new_path(header).alias("file_path"), "patch_pos",
+        F.substring("__file", F.length(header) + 2, F.length("__file")).alias("patch"))
+
+
+_HUNK = "\n@@ "
+
+
+def _is_sha(word: Column) -> Column:
+    return F.rlike(word, F.lit("^[0-9a-f]{7,64}$"))
 
 
 def _header(head: Column, name: str) -> Column:
@@ -56,12 +66,11 @@ def _header(head: Column, name: str) -> Column:
     return F.when(F.length(value) > 0, value)
 
 
-def new_path(file_diff: Column) -> Column:
-    """The path after the change, null for a deleted file."""
-    header = F.regexp_extract(file_diff, r"(?s)\A(.*?)(?:\n@@ |\z)", 1)
+def new_path(header: Column) -> Column:
+    """The path after the change, null for a deleted file; ``header`` is the file's part before its first hunk."""
     plus = F.regexp_extract(header, r"(?m)^\+\+\+ (?:\"?b/)?(.*?)\"?\t?$", 1)
     renamed = F.regexp_extract(header, r"(?m)^rename to (.*)$", 1)
     named = F.regexp_extract(header, r"\A\"?a/(?:.*) \"?b/(.*?)\"?(?:\n|\z)", 1)
     deleted = F.rlike(header, F.lit(r"(?m)^(?:deleted file mode|\+\+\+ /dev/null)"))
-    return F.when(file_diff.isNull() | deleted, F.lit(None)).otherwise(
+    return F.when(header.isNull() | deleted, F.lit(None)).otherwise(
         F.when(plus != "", plus).when(renamed != "", renamed).when(named != "", named))
