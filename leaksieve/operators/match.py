@@ -65,6 +65,10 @@ def _is_distinctive(rule: Rule) -> bool:
         len(need) >= _DISTINCTIVE_LENGTH and not need.isalpha() for need in rule.needs)
 
 
+def _is_sure(rule: Rule) -> bool:
+    return _is_distinctive(rule) or not rule.testable_on_whole_text
+
+
 def _any_bit(bits: Sequence[Column]) -> Column:
     """Bitwise or as a balanced tree, so that many rules do not nest deeply."""
     if len(bits) == 1:
@@ -94,30 +98,46 @@ def lowered(text_name: str, rules: RuleSet) -> Column:
     return F.when(assigns, F.lower(text)).otherwise(F.lit(""))
 
 
-@lru_cache(maxsize=64)
-def candidate_rules(text_name: str, low_name: str, rules: RuleSet) -> Column:
-    """``ARRAY<BIGINT>`` with one bit per rule that may fire on a line of the text.
-
-    ``low_name`` is the column that ``lowered`` gives.
-    """
-    text, low = F.col(text_name), F.col(low_name)
+def _words(members: Sequence[tuple[int, Rule, list[Column]]], text: Column, low: Column, n_rules: int) -> list[Column]:
+    """The words of bits of the rules whose tests hold, family by family."""
     none = F.lit(_NO_BITS).cast("long")
-    words: list[list[Column]] = [[] for _ in range((len(rules) - 1) // _WORD_BITS + 1)]
     families: dict[tuple[int, str | None, bool], list[Column]] = {}
-    for ord_, rule in rules.numbered():
-        tests = _gates(rule, text, low)
-        if rule.testable_on_whole_text and not _is_distinctive(rule):
-            tests.append(F.rlike(text, F.lit(rule.java_pattern)))
+    for ord_, rule, tests in members:
         word, bit = _bit(ord_)
         may_fire = F.when(reduce(and_, tests), bit).otherwise(none) if tests else bit
         families.setdefault((word, _family(rule), rule.ignores_case), []).append(may_fire)
+    words = [[none] for _ in range((n_rules - 1) // _WORD_BITS + 1)]
     for (word, literal, ignores_case), bits in families.items():
         found = _any_bit(bits)
         if literal is not None and len(bits) > 1:
             holds = F.contains(low if ignores_case else text, F.lit(literal))
             found = F.when(holds, found).otherwise(none)
         words[word].append(found)
-    return F.array(*[_any_bit(word) for word in words])
+    return [_any_bit(bits) for bits in words]
+
+
+@lru_cache(maxsize=64)
+def sure_candidates(text_name: str, low_name: str, rules: RuleSet) -> Column:
+    """The candidates, as ``candidate_rules`` gives them, that are known without searching the text."""
+    text, low = F.col(text_name), F.col(low_name)
+    members = [(ord_, rule, _gates(rule, text, low)) for ord_, rule in rules.numbered() if _is_sure(rule)]
+    return F.array(*_words(members, text, low, len(rules)))
+
+
+@lru_cache(maxsize=64)
+def candidate_rules(text_name: str, low_name: str, sure_name: str, rules: RuleSet) -> Column:
+    """``ARRAY<BIGINT>`` with one bit per rule that may fire on a line of the text.
+
+    ``low_name`` is the column that ``lowered`` gives, ``sure_name`` that of ``sure_candidates``. A
+    text with sure candidates is split anyway: it is not searched for the patterns of other rules,
+    whose literals are enough to make them candidates.
+    """
+    text, low = F.col(text_name), F.col(low_name)
+    members = [
+        (ord_, rule, [*_gates(rule, text, low), has_candidates(sure_name) | F.rlike(text, F.lit(rule.java_pattern))])
+        for ord_, rule in rules.numbered() if not _is_sure(rule)]
+    words = _words(members, text, low, len(rules))
+    return F.array(*[F.col(sure_name)[i].bitwiseOR(word) for i, word in enumerate(words)])
 
 
 def has_candidates(candidates_name: str) -> Column:
@@ -127,7 +147,7 @@ def has_candidates(candidates_name: str) -> Column:
 def is_missing(text_name: str) -> Column:
     """Whether the text is null, as a higher-order function, which whole-stage generation leaves out.
 
-    Next to ``candidate_rules`` in a projection it keeps Spark from generating all rules as part of one
+    Next to ``sure_candidates`` in a projection it keeps Spark from generating all rules as part of one
     method, too large for the JIT compiler; a projection generated by itself is cut into small methods.
     """
     return F.exists(F.array(F.isnull(text_name)), lambda null: null)

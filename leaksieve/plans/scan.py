@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leaksieve.functions.redact import redact_all
 from leaksieve.functions.text import long_enough, split_lines, strip
-from leaksieve.operators.match import candidate_rules, has_candidates, is_missing, line_hits, lowered
+from leaksieve.operators.match import candidate_rules, has_candidates, is_missing, line_hits, lowered, sure_candidates
 from leaksieve.plans.partitioning import spread_if_small
 from leaksieve.rules import RuleSet
 
@@ -30,8 +30,10 @@ def find_hits(df: DataFrame, text: str, rules: RuleSet, *, added_lines_only: boo
     col = F.col
     texts = df.select(*keep, col(f"`{text}`").alias("__text"))
     texts = texts.select(*keep, "__text", lowered("__text", rules).alias("__low"))
-    texts = texts.select(*keep, "__text", candidate_rules("__text", "__low", rules).alias("__rules"),
+    texts = texts.select(*keep, "__text", "__low", sure_candidates("__text", "__low", rules).alias("__sure"),
                          is_missing("__text").alias("__missing"))
+    texts = texts.select(*keep, "__text", "__missing",
+                         candidate_rules("__text", "__low", "__sure", rules).alias("__rules"))
     lines = texts.select(
         *keep, "__rules",
         F.posexplode(F.when(~col("__missing") & has_candidates("__rules"), split_lines(col("__text"))))
