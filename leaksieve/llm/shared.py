@@ -32,3 +32,11 @@ def python_ready(frame: DataFrame) -> DataFrame:
     """The frame, after the executors have been given this package for Python stages."""
     ship_package(frame.sparkSession)
     return frame
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of the frame has it."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -20,3 +20,32 @@ reach AS (
 SELECT s.doc_id, len(s.grams) AS n_shingles, r.component_id
 FROM sets s JOIN (SELECT node, min(other) AS component_id FROM reach GROUP BY node) r ON r.node = s.doc_id
 """
+
+QUALITY_RULES = r"""
+WITH w AS (
+    SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+t AS (
+    SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: [ws[i], ws[i + 1], ws[i + 2]])) AS three,
+        unnest(range(1, len(ws) - 1)) AS at FROM w WHERE len(ws) > 2),
+often AS (SELECT doc_id, three FROM t GROUP BY doc_id, three HAVING count(*) > 1),
+covered AS (
+    SELECT doc_id, count(DISTINCT place) AS n FROM (
+        SELECT doc_id, unnest([at, at + 1, at + 2]) AS place FROM t JOIN often USING (doc_id, three)) GROUP BY doc_id),
+lines AS (
+    SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+base AS (
+    SELECT w.doc_id, source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+        CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+    FROM w JOIN lines USING (doc_id) LEFT JOIN covered c USING (doc_id)),
+failed AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM base),
+hosts AS (
+    SELECT source, count(*) AS n, sum(CAST(base_failed AS INTEGER)) AS f FROM failed WHERE source IS NOT NULL GROUP BY source),
+moments AS (SELECT avg(f / n) AS m, var_samp(f / n) AS v FROM hosts),
+prior AS (SELECT m, v, CASE WHEN v > 0 THEN CASE WHEN m * (1 - m) / v - 1 > 0 THEN m * (1 - m) / v - 1 ELSE 1 END END AS s FROM moments),
+verdicts AS (
+    SELECT source, CASE WHEN s IS NULL THEN m ELSE (f + m * s) / (n + s) END > 0.5 AS rejected FROM hosts, prior)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    NOT base_failed AND NOT coalesce(rejected, false) AS kept
+FROM failed LEFT JOIN verdicts USING (source)
+"""
