@@ -90,3 +90,36 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
 def signed(values: np.ndarray) -> np.ndarray:
     """Unsigned hashes as the signed 64-bit integers that Spark holds."""
     return values.view(np.int64)
+
+
+# White space, letters and digits (with all bytes beyond ASCII), other signs.
+_KIND = np.where(_SPACE, 0, 2).astype(np.uint8)
+_KIND[128:] = 1
+for _a, _b in ((48, 58), (65, 91), (97, 123)):
+    _KIND[_a:_b] = 1
+
+
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of letters and digits, lower-cased, and of the runs of other signs; and where each text's begin."""
+    base, stop = int(offsets[0]), int(offsets[-1])
+    part = data[base:stop]
+    if not len(part):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    kind = _KIND[part]
+    begins = kind > 0
+    begins[1:] &= kind[1:] != kind[:-1]
+    edges = offsets[:-1] - base
+    edges = edges[edges < len(part)]
+    begins[edges] = kind[edges] > 0
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    inside = kind > 0
+    kept = _LOWER[part[inside]]
+    at = (np.cumsum(inside, dtype=np.int64) - 1)[starts]
+    lengths = np.diff(np.append(at, len(kept)))
+    place = np.arange(len(kept), dtype=np.int64) - np.repeat(at, lengths)
+    values = _PLACED[((place & 255) << 8) | kept]
+    if lengths.max() > 256:
+        values = values * (2 * (place >> 8) + 1).astype(np.uint64)
+    return mix(np.add.reduceat(values, at) + lengths.astype(np.uint64)), np.searchsorted(starts, offsets - base)
