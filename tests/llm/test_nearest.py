@@ -1,0 +1,83 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from leaksieve.llm import nearest as module
+from leaksieve.llm.nearest import fit_index, nearest, scan_block
+
+SCHEMA = "vec_id long, embedding array<float>, label int"
+
+
+def brute_force(rows, is_query, k):
+    ids = np.array([i for i, _ in rows])
+    x = np.array([v for _, v in rows], float)
+    found = {}
+    for i, v in zip(ids.tolist(), x):
+        if is_query(i):
+            score = (x * v).sum(1)
+            order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
+            found[i] = [(int(ids[j]), float(score[j])) for j in order]
+    return found
+
+
+def results(frame):
+    found = {}
+    for r in sorted(frame.collect(), key=lambda r: (r.query_id, r.rank)):
+        own = found.setdefault(r.query_id, [])
+        assert r.rank == len(own) + 1
+        own.append((r.vec_id, r.score))
+    return found
+
+
+def recall(found, true):
+    hits = sum(len({i for i, _ in found[q]} & {i for i, _ in true[q]}) for q in true)
+    return hits / sum(map(len, true.values()))
+
+
+def test_given_embeddings(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding) for r in frame.collect()]
+    true = brute_force(rows, lambda i: i % 20 == 0, 20)
+    found = results(nearest(frame, F.col("vec_id") % 20 == 0))
+    assert set(found) == set(true) and all(len(f) == 20 for f in found.values())
+    assert recall(found, true) >= 0.9
+    score = {q: dict(t) for q, t in brute_force(rows, lambda i: i % 20 == 0, len(rows)).items()}
+    assert all(abs(s - score[q][i]) < 1e-12 for q, own in found.items() for i, s in own)
+
+
+def test_odd_vectors(spark):
+    """Few good vectors: all of them are found, in order, ties by id."""
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (4, None), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]),
+            (7, [None, 1.0]), (8, [float("inf"), 1.0]), (9, [1.0, 2.0, 3.0]), (10, []), (20, [-1.0, 3.0]), (20, [-1.0, 3.0]), (None, [1.0, 1.0])]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA)
+    good = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 2.0]), (20, [-1.0, 3.0])]
+    assert results(nearest(frame, F.col("vec_id") % 20 == 0)) == brute_force(good, lambda i: i % 20 == 0, 20)
+
+
+def test_copies_in_blocks(spark, monkeypatch):
+    """A vector that most rows have, over several blocks: the smallest ids win."""
+    monkeypatch.setattr(module, "VECTORS", 64)
+    monkeypatch.setattr(module, "QUERIES", 4)
+    rng = np.random.default_rng(2)
+    rows = [(i, [1.0, 1.0, 0.0]) if i % 3 else (i, rng.normal(size=3).round(2).tolist()) for i in range(600)]
+    frame = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<double>, label int")
+    found, true = results(nearest(frame, F.col("vec_id") % 20 == 0, 5)), brute_force(rows, lambda i: i % 20 == 0, 5)
+    assert set(found) == set(true) and recall(found, true) >= 0.9
+    assert found[20] == true[20]
+
+
+@pytest.mark.parametrize("spread", [0.1, 1.0])
+def test_scan_drops_pairs_and_keeps_neighbours(spread):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 64)) * rng.uniform(1 - spread / 2, 1, size=(3000, 1))
+    q = rng.normal(size=(20, 64))
+    index = fit_index(x, len(x), float((x ** 2).sum(1).max()), 10)
+    rows, columns = scan_block(index, q, x, 10)
+    assert len(rows) < 0.2 * len(q) * len(x)
+    true = np.argsort(-(q @ x.T), axis=1)[:, :10]
+    kept = set(zip(rows.tolist(), columns.tolist()))
+    assert np.mean([(i, j) in kept for i, own in enumerate(true.tolist()) for j in own]) > 0.97
+
+
+def test_empty_table(spark):
+    assert nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
