@@ -1,0 +1,95 @@
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from leaksieve.llm import toxicity
+from leaksieve.llm.quality_classifier import classify_quality, fit_network, keep_by_quality
+from leaksieve.llm.samples import remainder
+from leaksieve.llm.toxicity import classify_toxicity, fit_subwords, logits
+from tests.llm.data import empty_frame, odd_frame
+
+SF = "/root/testdata/sf0.1"
+
+
+def accuracy(scored, labels, label):
+    """(accuracy, share of the larger class, area under the curve) on held-out rows."""
+    rows = scored.where("held_out").join(labels.select("doc_id", F.col(label).alias("y")), "doc_id").select("score", "predicted", "y").toArrow()
+    score, predicted, y = (rows.column(c).to_numpy() for c in ("score", "predicted", "y"))
+    rank = np.argsort(np.argsort(score, kind="stable")) + 1
+    ones = y.sum()
+    area = (rank[y == 1].sum() - ones * (ones + 1) / 2) / (ones * (len(y) - ones))
+    return (predicted == y).mean(), max(y.mean(), 1 - y.mean()), area
+
+
+@pytest.mark.parametrize("classify, label, divisor, left_out", [(classify_quality, "quality", 3, 1), (classify_toxicity, "toxic", 5, 0)])
+def test_held_out_accuracy(spark, classify, label, divisor, left_out):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    scored = classify(docs, labels).cache()
+    rows = scored.select("doc_id", "held_out", "score", "predicted").collect()
+    assert len(rows) == docs.count()
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % divisor == left_out) for r in rows)
+    assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
+    right, share, area = accuracy(scored, labels, label)
+    print(label, right, share, area)
+    # Toxic words of three of the four languages are seen in some fifty texts each.
+    assert right > share + 0.04 and area > 0.93
+
+
+@pytest.mark.parametrize("classify, label", [(classify_quality, "quality"), (classify_toxicity, "toxic")])
+def test_odd_rows(spark, classify, label):
+    frame = odd_frame(spark).withColumn("label", F.lit(9)).withColumn("held_out", F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, None), (None, 1), (7, 5), (99, 1), (2, 0)], f"doc_id long, {label} int")
+    rows = classify(frame, labels).collect()
+    assert len(rows) == frame.count() and all(0 <= r.score <= 1 for r in rows)
+    # Without labels, and with labels of one kind.
+    assert {r.score for r in classify(frame, labels.limit(0)).collect()} == {0.5}
+    ones = classify(frame, labels.where(F.col(label) == 1)).collect()
+    assert {r.predicted for r in ones} == {1}
+    assert classify(empty_frame(spark), labels).collect() == []
+
+
+def test_labels_of_the_fold_are_not_learned(spark):
+    frame = spark.range(200).select(F.col("id").alias("doc_id"), F.concat(F.lit("text number "), "id").alias("text"))
+    labels = frame.select("doc_id", (remainder(3) == 1).cast("int").alias("quality"))
+    # All learnable labels are 0, so nothing of the fold's ones shows.
+    assert {r.predicted for r in classify_quality(frame, labels).collect()} == {0}
+
+
+def test_stage_keeps_columns(spark):
+    frame = odd_frame(spark).withColumn("_score", F.lit(1))
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    assert keep_by_quality(frame, labels, F.lit(True)).columns == frame.columns
+    assert keep_by_quality(frame, labels, F.lit(True)).count() == frame.count()
+
+
+def test_misspellings_share_subwords():
+    rng = np.random.default_rng(0)
+    plain = [" ".join(rng.choice(["stone", "river", "cloud", "meadow", "window"], 12)) for _ in range(200)]
+    texts = [p + (" blockhead" if i % 2 else "") for i, p in enumerate(plain)]
+    model = fit_subwords(pa.array(texts), np.arange(200) % 2)
+    seen = logits(pa.array(["stone river blockhead cloud", "stone river blokhead cloud", "stone river bl0ckhead cloud", "stone river meadow cloud"]), model)
+    assert (seen[:3] > seen[3]).all()
+
+
+def test_bags_and_logits_agree():
+    texts = pa.array(["", None, "a", "Größe \U0001F600 x", "İ tail tail"])
+    starts, buckets, shares = toxicity.gram_bags(texts)
+    rng = np.random.default_rng(1)
+    model = toxicity.Subwords(rng.uniform(0.1, 1, toxicity.BUCKETS).astype(np.float32), rng.normal(size=toxicity.BUCKETS).astype(np.float32), 0.25)
+    direct = [0.25 + float((model.shares[buckets[a:b]] * shares[a:b]).sum()) / max(float((model.weights[buckets[a:b]] * shares[a:b]).sum()), 1e-9)
+              for a, b in zip(starts, starts[1:])]
+    assert np.allclose(logits(texts, model), direct, atol=1e-4)
+    assert direct[0] == 0.25 and direct[1] == 0.25
+
+
+def test_temperature_calibrates():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 5))
+    y = (rng.random(3000) < 1 / (1 + np.exp(-2 * x[:, 0]))).astype(int)
+    net = fit_network(x[:2000], y[:2000])
+    score = net.scores(x[2000:])
+    sure = score > 0.8
+    assert abs(score[sure].mean() - y[2000:][sure].mean()) < 0.07
