@@ -26,11 +26,11 @@ WITH w AS (
     SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 t AS (
     SELECT doc_id, unnest(list_transform(range(1, len(ws) - 1), lambda i: [ws[i], ws[i + 1], ws[i + 2]])) AS three,
-        unnest(range(1, len(ws) - 1)) AS at FROM w WHERE len(ws) > 2),
+        unnest(range(1, len(ws) - 1)) AS place_1 FROM w WHERE len(ws) > 2),
 often AS (SELECT doc_id, three FROM t GROUP BY doc_id, three HAVING count(*) > 1),
 covered AS (
     SELECT doc_id, count(DISTINCT place) AS n FROM (
-        SELECT doc_id, unnest([at, at + 1, at + 2]) AS place FROM t JOIN often USING (doc_id, three)) GROUP BY doc_id),
+        SELECT doc_id, unnest([place_1, place_1 + 1, place_1 + 2]) AS place FROM t JOIN often USING (doc_id, three)) GROUP BY doc_id),
 lines AS (
     SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
 base AS (

@@ -1,0 +1,66 @@
+from collections import Counter, defaultdict
+
+import public_tokenizers
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from leaksieve.llm.shared import written
+from tests.llm.data import PASSAGE, empty_frame, odd_frame, words
+from tests.llm.test_ngram_join import brute_force
+from tests.llm.test_quality_rules import base
+
+SF = "/root/testdata/sf0.01"
+
+
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = [docs]
+    for _, stage in corpus_pipeline.STAGES:
+        kept.append(written(stage(spark, kept[-1], SF)))
+    classified, ruled, deduped, joined, packed = kept[1:]
+    for frame in kept[1:5]:
+        assert frame.schema.names == docs.schema.names
+
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    before, after = {r.doc_id for r in docs.collect()}, {r.doc_id for r in classified.collect()}
+    good = [i for i, q in labels.items() if q == 1]
+    assert after < before and sum(i in after for i in good) > 0.97 * len(good)
+    assert sum(q == 0 and i in after for i, q in labels.items()) < 0.15 * sum(q == 0 for q in labels.values())
+
+    # No host is rejected here, so the base rules decide.
+    assert {r.doc_id for r in ruled.collect()} == {r.doc_id for r in classified.collect() if not base(r.text)[-1]}
+
+    texts = {r.doc_id: r.text for r in ruled.collect()}
+    for r in deduped.collect():
+        lines = Counter(texts[r.doc_id].split("\n"))
+        assert not Counter(r.text.split("\n")) - lines and r.n_chars == len(r.text) and words(r.text)
+
+    rows = [(r.doc_id, r.text) for r in deduped.collect()]
+    firsts = {component for _, _, component in brute_force(rows, 5, 80)}
+    assert Counter(r.doc_id for r in joined.collect()) == Counter(firsts)
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    sizes = defaultdict(int)
+    for r in packed.collect():
+        sizes[r.doc_id] += r.length
+    assert sizes == {r.doc_id: len(library.encode(r.text, add_special_tokens=False).ids) + 1 for r in joined.collect()}
+    ends = packed.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    assert max(r.n for r in ends) <= 4096 and len(ends) <= sum(sizes.values()) // 4096 + 2
+
+
+def test_stages_bear_odd_rows(spark):
+    clean = [(100 + i, " ".join(f"{w}{i}" for w in PASSAGE.split()), "en", "src0", 900, None, None) for i in range(3)]
+    frame = odd_frame(spark).unionByName(spark.createDataFrame(clean, odd_frame(spark).schema))
+    docs = frame.withColumn("host", F.lit("h")).withColumn("component_id", F.lit(1)).withColumn("_key", F.lit(2))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, "/root/testdata/sf0.001"))
+        assert docs.columns == [*frame.columns, "host", "component_id", "_key"]
+    assert corpus_pipeline.best_fit_packing(spark, docs, "").select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_empty_table(spark):
+    docs = empty_frame(spark)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, "/root/testdata/sf0.001"))
+    assert docs.collect() == []
