@@ -17,7 +17,11 @@ SEVERITY_RANK = {name: rank for name, rank, _, _ in catalogue.SEVERITIES}
 
 @dataclass(frozen=True)
 class Rule:
-    """One detection rule. ``pattern`` is a Python regular expression."""
+    """One detection rule. ``pattern`` is a Python regular expression.
+
+    ``known`` marks the rules of the catalogue, whose patterns have been checked for the matcher's
+    shortcuts; only ``RuleSet.builtin`` sets it. All other rules are evaluated as they stand, whatever their category.
+    """
 
     rule_id: str
     name: str
@@ -27,6 +31,7 @@ class Rule:
     keywords: tuple[str, ...] = ()
     needs: tuple[str, ...] = ()
     category: str = "custom"
+    known: bool = False
 
     @property
     def ignores_case(self) -> bool:
@@ -43,7 +48,7 @@ class Rule:
 
     @property
     def is_builtin(self) -> bool:
-        return self.category != "custom"
+        return self.known
 
     @property
     def keywords_implied(self) -> bool:
@@ -72,14 +77,14 @@ class RuleSet:
     @classmethod
     def builtin(cls) -> RuleSet:
         return cls(tuple(
-            Rule(rule_id, name, pattern, severity, description, keywords, needs, category)
+            Rule(rule_id, name, pattern, severity, description, keywords, needs, category, known=True)
             for category, rule_id, name, severity, pattern, keywords, needs, description
             in catalogue.BUILTIN_RULES
         ))
 
     def with_rules(self, *rules: Rule) -> RuleSet:
         """This set followed by ``rules``. Ids may repeat."""
-        return replace(self, rules=self.rules + rules)
+        return replace(self, rules=self.rules + tuple(replace(r, known=r.known and r in self.rules) for r in rules))
 
     def with_custom(self, patterns: Mapping[str, str] | Iterable[tuple[str, str]],
                     spark: SparkSession | None = None) -> RuleSet:
@@ -119,18 +124,26 @@ def custom_rule_id(name: str) -> str:
 
 
 def _check(rules: tuple[Rule, ...], spark: SparkSession | None) -> None:
-    """Raises ``ValueError`` for a pattern that Python or, with a session, Spark cannot compile."""
+    """Raises ``ValueError`` naming the first pattern that Python or, with a session, Spark cannot compile."""
     for rule in rules:
-        try:
-            re.compile(rule.pattern)
-        except re.error as exc:
-            raise ValueError(f"Invalid regex pattern: {rule.pattern!r}") from exc
-    if spark is None or not rules:
-        return
+        if (problem := _python_problem(rule.pattern)) is not None:
+            raise ValueError(f"{rule.name}: {rule.pattern!r} is no regular expression ({problem})")
+    if spark is not None and rules and not _spark_compiles(rules, spark):
+        odd = next((r for r in rules if not _spark_compiles((r,), spark)), rules[0])
+        raise ValueError(f"{odd.name}: {odd.pattern!r} has no equivalent that Spark can evaluate")
+
+
+def _python_problem(pattern: str) -> str | None:
+    try:
+        re.compile(pattern)
+    except re.error as problem:
+        return str(problem)
+    return None
+
+
+def _spark_compiles(rules: tuple[Rule, ...], spark: SparkSession) -> bool:
     try:
         spark.range(1).select(*[F.lit("").rlike(rule.java_pattern) for rule in rules]).collect()
-    except Exception as exc:
-        if len(rules) == 1:
-            raise ValueError(f"Pattern not supported by Spark: {rules[0].pattern!r}") from exc
-        for rule in rules:
-            _check((rule,), spark)
+    except Exception:  # whatever the JVM has against the pattern
+        return False
+    return True

@@ -25,7 +25,9 @@ def load_patterns(spark: SparkSession, path: str | None) -> list[tuple[str, str]
         return []
     try:
         texts = spark.read.text(path, wholetext=True)
-    except AnalysisException:
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
         return []
     rows = pattern_rows(texts).orderBy("line").collect()
     return [(f"Custom Pattern #{row.line}", row.regex) for row in rows]
