@@ -10,9 +10,6 @@ DEDUP_KEY = ("target", "file_path", "rule_id", "matched_text", "commit_sha")
 # a larger one.
 _BLOCK_BITS = 13
 
-# Cut-offs are joined as a local relation up to this many repositories.
-MAX_LOCAL_REPOS = 100_000
-
 
 def _holding_cut(counts: DataFrame) -> DataFrame:
     """Of (repo, block, n, need): each repository's block with its ``need``-th commit, and the need within."""
@@ -45,33 +42,27 @@ def cut_offs(commits: DataFrame, depth: int) -> DataFrame:
 def newest_commits(patches: DataFrame, depth: int | None) -> DataFrame:
     """The patches of the ``depth`` newest commits of every repository.
 
-    ``seq`` is an integer, unique per commit of a repository and ascending from the newest. Runs
-    a job over (repo, seq) to find the cut-offs; keep patches in a table rather than a log to parse.
+    ``seq`` is an integer, unique per commit of a repository and ascending from the newest. One lazy
+    plan: the commits to keep are joined by repository and commit, so that a large repository
+    spreads over many tasks; Spark broadcasts them if they turn out to be few.
     """
     if depth is None:
         return patches
     if depth <= 0:
         return patches.limit(0)
     commits = patches.select("repo", F.col("seq").cast("long").alias("seq")).distinct()
-    last = cut_offs(commits, depth)
-    few = last.limit(MAX_LOCAL_REPOS + 1).toArrow()
-    if few.num_rows <= MAX_LOCAL_REPOS:
-        # A local relation of known size: the patches are filtered where they are.
-        last = patches.sparkSession.createDataFrame(few)
-        kept = patches.join(last.withColumnRenamed("repo", "__repo"), F.col("repo") == F.col("__repo"), "left")
-        return kept.where("last IS NULL OR seq <= last").drop("__repo", "last")
-    # Joined per commit, so that a large repository spreads over many tasks.
-    kept = commits.join(last, "repo", "left").where("last IS NULL OR seq <= last").select("repo", "seq")
-    return patches.join(kept, ["repo", "seq"], "left_semi")
+    kept = commits.join(cut_offs(commits, depth), "repo", "left").where("last IS NULL OR seq <= last")
+    return patches.join(kept.select("repo", "seq"), ["repo", "seq"], "left_semi")
 
 
-def first_occurrences(findings: DataFrame, order: tuple[str, ...] = ("patch_pos", "line_pos")) -> DataFrame:
+def first_occurrences(findings: DataFrame, order: tuple[str, ...] = ("patch_pos", "line_pos"),
+                      key: tuple[str, ...] = DEDUP_KEY) -> DataFrame:
     """One finding per dedup key, the first by ``order``.
 
     An aggregation with map-side partial results rather than a window: a secret that repeats
-    in many rows is reduced before the shuffle.
+    in many rows is reduced before the shuffle. Rules may be numbers here; their texts are joined later.
     """
-    rest = [*order, *[c for c in findings.columns if c not in DEDUP_KEY and c not in order]]
+    rest = [*order, *[c for c in findings.columns if c not in key and c not in order]]
     first = F.min(F.struct(*rest)).alias("__first")
-    return findings.groupBy(*DEDUP_KEY).agg(first).select(
-        *[F.col(c) if c in DEDUP_KEY else F.col(f"__first.{c}").alias(c) for c in findings.columns])
+    return findings.groupBy(*key).agg(first).select(
+        *[F.col(c) if c in key else F.col(f"__first.{c}").alias(c) for c in findings.columns])

@@ -4,28 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-SMALL_INPUT_BYTES = 1 << 30
 
-_ROW_BY_ROW = {"Project", "Filter", "Generate", "SubqueryAlias"}
-_REPARTITIONED = {"Repartition", "RepartitionByExpression", "RebalancePartitions"}
+def dealt(df: DataFrame, partitions: int | None) -> DataFrame:
+    """The input in ``partitions`` even partitions, or as Spark reads it.
 
-
-def _is_repartitioned(plan) -> bool:
-    """Whether only row-by-row steps follow a repartitioning in the logical plan."""
-    while plan.nodeName() in _ROW_BY_ROW:
-        plan = plan.children().head()
-    return plan.nodeName() in _REPARTITIONED
-
-
-def spread_if_small(df: DataFrame, max_bytes: int = SMALL_INPUT_BYTES) -> DataFrame:
-    """Spreads an input that Catalyst estimates at no more than ``max_bytes`` over the cores.
-
-    A small table may be one row group, which one task would scan alone. Larger inputs have
-    splits enough and are never shuffled, nor are inputs the caller has repartitioned.
+    Worth a shuffle of the texts only where the caller knows that files have too few splits, as
+    tables of one row group have.
     """
-    if df.isStreaming:
-        return df
-    plan = df._jdf.queryExecution().optimizedPlan()
-    if int(str(plan.stats().sizeInBytes())) > max_bytes or _is_repartitioned(plan):
-        return df
-    return df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism)
+    return df if partitions is None or df.isStreaming else df.repartition(partitions)

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from leaksieve.functions.redact import redact_all
 from leaksieve.functions.text import long_enough, split_lines, strip
 from leaksieve.operators.match import candidate_rules, has_candidates, is_missing, line_hits, lowered, sure_candidates
-from leaksieve.plans.partitioning import spread_if_small
+from leaksieve.plans.partitioning import dealt
 from leaksieve.rules import RuleSet
 
 RESULT_COLUMNS = {"line_number", "ord", "rule_id", "rule_name", "severity", "severity_rank", "snippet",
@@ -15,17 +15,18 @@ RESULT_COLUMNS = {"line_number", "ord", "rule_id", "rule_name", "severity", "sev
 
 
 def find_hits(df: DataFrame, text: str, rules: RuleSet, *, added_lines_only: bool = False,
-              keep_plus_plus: bool = False) -> DataFrame:
+              keep_plus_plus: bool = False, partitions: int | None = None) -> DataFrame:
     """One row per (line, rule) hit: the other columns of ``df`` plus line_number, snippet,
     masked_snippet (every match of the line masked), ord and matched_text.
 
     With ``added_lines_only`` the text is a patch: lines starting with ``+`` are scanned without it,
-    and lines starting with ``+++`` are left out unless ``keep_plus_plus``.
+    and lines starting with ``+++`` are left out unless ``keep_plus_plus``. ``partitions`` deals the
+    input out anew; without it nothing is shuffled.
     """
     taken = sorted(set(df.columns) & RESULT_COLUMNS - {text})
     if taken:
         raise ValueError(f"Columns of the input are named like results: {taken}")
-    df = spread_if_small(df)
+    df = dealt(df, partitions)
     keep = [F.col(f"`{c}`") for c in df.columns if c != text]
     col = F.col
     texts = df.select(*keep, col(f"`{text}`").alias("__text"))
@@ -46,10 +47,13 @@ def find_hits(df: DataFrame, text: str, rules: RuleSet, *, added_lines_only: boo
     # Exploding the bare column would let Catalyst infer a filter on its size and push it below the
     # projection, which evaluates all rules twice.
     each = F.explode(F.filter("__hits", lambda hit: hit["ord"] > 0))
-    hits = hits.select(*keep, "__pos", "__line", "__hits", each.alias("__hit"))
+    # A line is masked once, whatever its number of hits.
+    masked = F.when(F.size("__hits") > 0, strip(redact_all(col("__line"), col("__hits.matched_text"))))
+    hits = hits.select(*keep, "__pos", "__line", "__hits", masked.alias("__masked"))
+    hits = hits.select(*keep, "__pos", "__line", "__masked", each.alias("__hit"))
     return hits.select(
         *keep, (col("__pos") + 1).alias("line_number"), strip(col("__line")).alias("snippet"),
-        strip(redact_all(col("__line"), col("__hits.matched_text"))).alias("masked_snippet"),
+        col("__masked").alias("masked_snippet"),
         col("__hit.ord").alias("ord"), col("__hit.matched_text").alias("matched_text"))
 
 
@@ -71,10 +75,10 @@ def attach_rules(hits: DataFrame, rules: RuleSet) -> DataFrame:
     return hits.join(attributes, "ord")
 
 
-def scan_text(df: DataFrame, text: str, rules: RuleSet | None = None) -> DataFrame:
+def scan_text(df: DataFrame, text: str, rules: RuleSet | None = None, *, partitions: int | None = None) -> DataFrame:
     """Findings of every text in ``df``, batch or streaming; all other columns are carried along."""
     rules = rules or RuleSet.builtin()
-    found = attach_rules(find_hits(df, text, rules), rules)
+    found = attach_rules(find_hits(df, text, rules, partitions=partitions), rules)
     keep = [F.col(f"`{c}`") for c in df.columns if c != text]
     return found.select(*keep, "line_number", "ord", "rule_id", "rule_name", "severity", "severity_rank",
                         "snippet", "matched_text", "description")

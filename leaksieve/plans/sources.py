@@ -36,11 +36,12 @@ def _no_errors(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], ERROR_SCHEMA)
 
 
-def scan_table(df: DataFrame, text: str, source_id: str, target: str, rules: RuleSet | None = None) -> Scan:
+def scan_table(df: DataFrame, text: str, source_id: str, target: str, rules: RuleSet | None = None, *,
+               partitions: int | None = None) -> Scan:
     """A scan of any table with a text column; ``source_id`` names a row."""
     rules = rules or RuleSet.builtin()
     rows = df.select(F.col(source_id).cast("string").alias("source_id"), F.col(text).alias("text"))
-    found = attach_rules(find_hits(rows, "text", rules), rules)
+    found = attach_rules(find_hits(rows, "text", rules, partitions=partitions), rules)
     findings = canonical(found, source_type=F.lit("table"), target=F.lit(target), file_path=F.col("source_id"))
     return Scan(findings, _log(rows, "table", F.lit(target)), _no_errors(df.sparkSession))
 
@@ -83,28 +84,39 @@ def scan_files(files: DataFrame, target: str, rules: RuleSet | None = None,
 
 
 def scan_history(patches: DataFrame, rules: RuleSet | None = None, *, depth: int | None = None,
-                 branch: str | None = None, keep_plus_plus: bool = False) -> Scan:
-    """A scan of the lines that commits added. ``patches`` has the columns of ``PATCH_COLUMNS``.
+                 branch: str | None = None, keep_plus_plus: bool = False, partitions: int | None = None) -> Scan:
+    """A scan of the lines that commits added. ``patches`` has the columns of ``PATCH_COLUMNS``, ``problem`` if it likes.
 
-    A secret found repeatedly in one file of one commit is reported once.
+    A secret found repeatedly in one file of one commit is reported once. Records and changes that
+    could not be parsed are error rows.
     """
     rules = rules or RuleSet.builtin()
     if branch is not None and "branch" in patches.columns:
         patches = patches.where(F.col("branch") == branch)
     if "patch_pos" not in patches.columns:
         patches = patches.withColumn("patch_pos", F.lit(0))
+    errors = _no_errors(patches.sparkSession)
+    if "problem" in patches.columns:
+        errors = patches.where("problem IS NOT NULL").select(
+            F.lit("history").alias("source_type"), F.col("repo").cast("string").alias("target"),
+            F.col("commit_sha").alias("source_id"), F.lit("parse").alias("stage"), F.col("problem").alias("message"))
+        patches = patches.where("commit_sha IS NOT NULL")
     patches = newest_commits(patches, depth)
     diffs = patches.where(F.length("file_path") > 0).select(
         F.col("repo").alias("target"), "commit_sha",
         F.coalesce("author", F.lit("unknown")).alias("commit_author"),
         F.coalesce("committed_at", F.lit("")).alias("commit_date"),
         "file_path", "patch_pos", "patch")
-    hits = find_hits(diffs, "patch", rules, added_lines_only=True, keep_plus_plus=keep_plus_plus)
-    found = attach_rules(hits, rules).withColumnRenamed("line_number", "line_pos")
-    findings = canonical(first_occurrences(found), source_type=F.lit("history"), source_id=F.col("commit_sha"),
+    hits = find_hits(diffs, "patch", rules, added_lines_only=True, keep_plus_plus=keep_plus_plus, partitions=partitions)
+    # Rules of one id are one rule here, by the number of the first of them.
+    numbers: dict[str, int] = {}
+    same = F.array(*[F.lit(numbers.setdefault(rule.rule_id, ord_)) for ord_, rule in rules.numbered()])
+    hits = hits.withColumnRenamed("line_number", "line_pos").withColumn("rule", same[F.col("ord") - 1])
+    first = first_occurrences(hits, key=("target", "file_path", "rule", "matched_text", "commit_sha"))
+    findings = canonical(attach_rules(first.drop("rule"), rules), source_type=F.lit("history"), source_id=F.col("commit_sha"),
                          line_number=F.lit(0))
     commits = patches.select("repo", F.col("commit_sha").alias("source_id")).distinct()
-    return Scan(findings, _log(commits, "history", F.col("repo")), _no_errors(patches.sparkSession))
+    return Scan(findings, _log(commits, "history", F.col("repo")), errors)
 
 
 def scan_payloads(payloads: DataFrame, rules: RuleSet | None = None, *, branch: str | None = None) -> Scan:

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from leaksieve.functions.text import decode_lenient
 
 PATCH_COLUMNS = ("repo", "commit_sha", "parent_sha", "seq", "author", "committed_at", "file_path",
-                 "patch_pos", "patch")
+                 "patch_pos", "patch", "problem")
 
 
 def read_git_log(spark: SparkSession, path: str, repo: Column | str) -> DataFrame:
@@ -27,7 +27,11 @@ def read_git_log(spark: SparkSession, path: str, repo: Column | str) -> DataFram
 
 
 def parse_commits(commits: DataFrame) -> DataFrame:
-    """One row per changed file. ``commits`` has repo, __block, __row and the commit's text as value."""
+    """One row per changed file. ``commits`` has repo, __block, __row and the commit's text as value.
+
+    A record without a commit id, and a change in another form than ``diff --git`` (a merge's combined
+    diff), is a row without a path that says so in ``problem``; blank records are left out.
+    """
     value = F.col("value")
     text = F.when(value.startswith("commit "), F.substring(value, 8, 2**31 - 1)).otherwise(value)
     head = F.substring_index(text, "\n\n", 1)
@@ -38,20 +42,24 @@ def parse_commits(commits: DataFrame) -> DataFrame:
         F.get(F.filter(ids, _is_sha), F.lit(1)).alias("parent_sha"),
         _header(head, "Author").alias("__author"),
         F.coalesce(_header(head, "CommitDate"), _header(head, "Date")).alias("committed_at"),
-        F.split(text, r"\ndiff --git ").alias("__files"))
-    commits = commits.where(_is_sha(F.col("commit_sha")))
-    changes = F.slice("__files", 2, F.greatest(F.size("__files") - 1, F.lit(0)))
+        F.split(text, r"\ndiff --(?=(?:git|cc|combined) )").alias("__files"), F.length(F.trim(value)).alias("__length"))
+    commits = commits.where("__length > 0").withColumn(
+        "commit_sha", F.when(_is_sha(F.col("commit_sha")), F.col("commit_sha")))
+    changes = F.when(F.col("commit_sha").isNotNull(), F.slice("__files", 2, F.greatest(F.size("__files") - 1, F.lit(0))))
     files = commits.select(
         "repo", "commit_sha", "parent_sha", "__block", "__row", "committed_at",
         F.trim(F.regexp_replace("__author", r"\s*<[^>]*>\s*$", "")).alias("author"),
         F.posexplode_outer(changes).alias("patch_pos", "__file"))
-    header = F.substring_index("__file", _HUNK, 1)
+    plain = F.startswith("__file", F.lit("git "))
+    header = F.when(plain, F.substring(F.substring_index("__file", _HUNK, 1), 5, 2**31 - 1))
+    problem = F.when(F.col("commit_sha").isNull(), F.lit("Cannot parse record")).when(
+        ~plain, F.concat(F.lit("Cannot parse change: diff --"), F.substring_index("__file", "\n", 1)))
     return files.select(
         "repo", "commit_sha", "parent_sha",
         # Block offset and row within the task, in file order: a row takes far more than 2^-20 bytes.
         (F.shiftleft(F.col("__block"), 20) + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).alias("seq"),
         "author", "committed_at", new_path(header).alias("file_path"), "patch_pos",
-        F.substring("__file", F.length(header) + 2, F.length("__file")).alias("patch"))
+        F.substring("__file", F.length(header) + 6, F.length("__file")).alias("patch"), problem.alias("problem"))
 
 
 _HUNK = "\n@@ "
