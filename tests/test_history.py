@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from leaksieve.operators import history
+from leaksieve import Rule, RuleSet
 from leaksieve.operators.history import first_occurrences, newest_commits
 from leaksieve.plans.sources import scan_history
 from leaksieve.sources.patches import read_git_log
@@ -49,7 +49,7 @@ def test_branch(spark):
     assert scan_history(frame).findings.count() == 3
 
 
-def test_depth(spark, monkeypatch):
+def test_depth(spark):
     """Repositories of very different sizes, files repeated per commit, gaps and negatives in seq."""
     rows = [("big", 3 * i - 50) for i in range(20_000)] + [("big", 3 * i - 50) for i in range(500)]
     rows += [("wide", i << 40) for i in range(50)] + [("small", 7), ("small", 9)]
@@ -60,7 +60,6 @@ def test_depth(spark, monkeypatch):
         for repo in ("big", "wide", "small"):
             expected |= {(repo, s) for s in sorted({s for name, s in rows if name == repo})[:depth]}
         assert got == expected, depth
-    monkeypatch.setattr(history, "MAX_LOCAL_REPOS", 1)
     for depth in (1, 700, 19_999):
         got = newest_commits(frame, depth)
         assert got.where("repo = 'big'").select("seq").distinct().count() == depth
@@ -133,3 +132,23 @@ def test_git_log(spark, tmp_path):
         assert {r.snippet for r in found} == {"commit pwd = 'abcdefghij'"}
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_records_and_changes_that_cannot_be_parsed(spark, tmp_path):
+    good = COMMIT.format(sha="a" * 40, parent="", n=1)
+    log = "\n".join([good, "commit not-a-sha\nAuthor:     X\n\n    text", "commit " + "b" * 40 + " \n\n    merge\n\n"
+                     "diff --cc both.py\nindex 1,2..3\n--- a/both.py\n+++ b/both.py\n@@@ -1,1 -1,1 +1,2 @@@\n++pwd = 'abcdefghij'\n"])
+    path = tmp_path / "r.log"
+    path.write_text(log)
+    scan = scan_history(read_git_log(spark, str(path), "r"))
+    errors = {(r.source_type, r.target, r.source_id, r.stage, r.message) for r in scan.errors.collect()}
+    assert errors == {("history", "r", None, "parse", "Cannot parse record"),
+                      ("history", "r", "b" * 40, "parse", "Cannot parse change: diff --cc both.py")}
+    assert {r.file_path for r in scan.findings.collect()} == {"x 1.py"}
+    assert {r.source_id for r in scan.scan_log.collect()} == {"a" * 40, "b" * 40}
+
+
+def test_rules_of_one_id_are_deduplicated_together(spark):
+    rules = RuleSet((Rule("twin", "One", r"tok-\d+", "low"), Rule("twin", "Two", r"tok-[0-9]+", "high")))
+    frame = patches(spark, [("r", "a", 0, "A", "d", "x", 0, "+line with tok-123\n+again with tok-123")])
+    assert [(r.rule_name, r.snippet) for r in scan_history(frame, rules).findings.collect()] == [("One", "line with tok-123")]

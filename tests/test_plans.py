@@ -2,11 +2,7 @@
 
 import re
 
-import pytest
-
 from leaksieve import RuleSet
-from leaksieve.plans import scan as scan_module
-from leaksieve.plans.partitioning import spread_if_small
 from leaksieve.plans.scan import scan_text
 from leaksieve.plans.sources import scan_history, scan_table
 from leaksieve.sinks.tables import report_rows
@@ -18,36 +14,30 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.fixture()
-def large_input(monkeypatch):
-    """Inputs as large ones are treated: never spread."""
-    monkeypatch.setattr(scan_module, "spread_if_small", lambda df: df)
-
-
 def exchanges(text):
     return re.findall(r"Exchange (\w+)", text)
 
 
-def test_a_scan_of_a_large_table_does_not_shuffle(spark, large_input):
+def test_a_scan_of_a_large_table_does_not_shuffle(spark):
     text = plan(scan_text(table(spark, SF_DIR, "documents").select("doc_id", "text"), "text"))
     assert exchanges(text) == [] or set(exchanges(text)) == {"HashedRelationBroadcastMode"}
     assert text.count("BroadcastHashJoin") == 1
     assert "ArrowEvalPython" not in text and "BatchEvalPython" not in text
 
 
-def test_only_needed_columns_are_read(spark, large_input):
+def test_only_needed_columns_are_read(spark):
     docs = table(spark, SF_DIR, "documents")
     text = plan(scan_table(docs, "text", "doc_id", "t").findings)
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
     assert "ReadSchema: struct<doc_id:bigint>" in plan(scan_table(docs, "text", "doc_id", "t").scan_log)
 
 
-def test_filters_reach_the_files(spark, large_input):
+def test_filters_reach_the_files(spark):
     text = plan(scan_text(table(spark, SF_DIR, "documents").where("lang = 'fr'").select("doc_id", "text"), "text"))
     assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,fr)]" in text
 
 
-def test_rules_are_evaluated_once_per_text_and_once_per_line(spark, large_input):
+def test_rules_are_evaluated_once_per_text_and_once_per_line(spark):
     text = plan(scan_table(table(spark, SF_DIR, "documents"), "text", "doc_id", "t").findings)
     patterns = {r.rule_id: r.java_pattern for r in RuleSet.builtin().rules}
     assert text.count(patterns["github-pat-classic"]) == 2
@@ -55,34 +45,43 @@ def test_rules_are_evaluated_once_per_text_and_once_per_line(spark, large_input)
     assert text.count(patterns["openai-api-key"]) == 1
 
 
-def test_text_is_not_carried_past_the_split(spark, large_input):
+def test_text_is_not_carried_past_the_split(spark):
     found = scan_text(table(spark, SF_DIR, "documents").select("doc_id", "text"), "text")
     generates = [line for line in plan(found).splitlines() if "Generate posexplode" in line]
     assert len(generates) == 1 and re.search(r", \[doc_id#\d+L?, __rules#\d+\], false", generates[0])
 
 
-def test_small_inputs_are_spread_and_large_ones_left(spark):
-    docs = table(spark, SF_DIR, "documents")
-    assert "RoundRobinPartitioning" in plan(spread_if_small(docs))
-    assert spread_if_small(docs, max_bytes=1000) is docs
-    spread = docs.repartition(3).select("doc_id").where("doc_id > 1")
-    assert spread_if_small(spread) is spread
+def test_inputs_keep_their_partitions(spark):
+    docs = table(spark, SF_DIR, "documents").select("doc_id", "text")
+    spread = docs.repartition(125)
+    assert scan_text(spread, "text").rdd.getNumPartitions() == 125
+    assert "RoundRobinPartitioning" not in plan(scan_text(docs, "text"))
+    assert "RoundRobinPartitioning(7)" in plan(scan_text(docs, "text", partitions=7))
 
 
-def test_dedup_is_partial_before_its_shuffle(spark, large_input):
+def test_dedup_is_partial_before_its_shuffle(spark):
     text = plan(scan_history(table(spark, SF_DIR, "patches")).findings)
     assert text.count("partial_min") == 1
     assert exchanges(text).count("hashpartitioning") == 1
 
 
-def test_depth_does_not_shuffle_the_patches(spark, large_input):
-    text = plan(scan_history(table(spark, SF_DIR, "patches"), depth=3).findings)
-    shuffled = [line for line in text.splitlines() if "Exchange hashpartitioning" in line]
-    assert "SortMergeJoin" not in text
-    assert len(shuffled) == 1 and "commit_sha" in shuffled[0]
+def test_rule_texts_are_joined_after_the_dedup(spark):
+    text = plan(scan_history(table(spark, SF_DIR, "patches")).findings)
+    shuffled = [line for line in text.splitlines() if "partial_min" in line]
+    assert len(shuffled) == 1 and not any(f"{c}#" in shuffled[0] for c in ("rule_name", "severity", "description"))
+
+
+def test_depth_is_one_lazy_plan(spark):
+    patches = table(spark, SF_DIR, "patches")
+    spark.sparkContext.setJobGroup("depth", "history")
+    try:
+        scan_history(patches, depth=3)
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("depth") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
 
 
-def test_sorted_findings_are_shuffled_before(spark, large_input):
+def test_sorted_findings_are_shuffled_before(spark):
     rows = table(spark, SF_DIR, "documents")
     text = plan(report_rows(scan_table(rows, "text", "doc_id", "t").findings))
     assert "REBALANCE_PARTITIONS_BY_NONE" in text and "rangepartitioning" in text

@@ -121,25 +121,47 @@ def test_sarif(spark, findings, tmp_path):
 
 def test_sarif_of_history_and_slices(spark, findings):
     history = findings.withColumns({"commit_sha": F.lit("abc"), "line_number": F.lit(0)})
-    documents = [json.loads(r.value) for r in sarif_documents(history, max_results=4).collect()]
+    documents = [json.loads(r.value) for r in sarif_documents(history, max_bytes=600).collect()]
     results = [r for d in documents for r in d["runs"][0]["results"]]
-    assert len(results) == 6 and all(len(d["runs"][0]["results"]) <= 4 for d in documents)
-    assert len(documents) >= 2
+    assert len(results) == 6 and len(documents) >= 3
+    assert sorted(r.value for r in sarif_documents(history.repartition(5), max_bytes=600).collect()) == \
+        sorted(r.value for r in sarif_documents(history.coalesce(1), max_bytes=600).collect())
     for result in results:
         assert result["properties"] == {"commit_sha": "abc", "commit_author": "", "commit_date": ""}
         assert "region" not in result["locations"][0]["physicalLocation"]
     many = spark.range(50).select(F.concat(F.lit("error "), "id").alias("message"))
     for found in (findings, findings.limit(0)):
-        runs = [json.loads(r.value)["runs"][0] for r in sarif_documents(found, many, max_results=4).collect()]
+        runs = [json.loads(r.value)["runs"][0] for r in sarif_documents(found, many, max_bytes=40).collect()]
         notes = [n for run in runs for n in run["invocations"][0]["toolExecutionNotifications"]]
         assert len(notes) == 50 and {n["level"] for n in notes} == {"error"}
         assert not any(run["invocations"][0]["executionSuccessful"] for run in runs)
-        assert all(len(run["invocations"][0]["toolExecutionNotifications"]) <= 4 for run in runs)
+        assert max(len(run["invocations"][0]["toolExecutionNotifications"]) for run in runs) < 25
         assert sum(len(run["results"]) for run in runs) == found.count()
     [empty] = [json.loads(r.value) for r in sarif_documents(findings.limit(0)).collect()]
     assert empty["runs"][0]["results"] == []
 
 
+def test_many_hits_on_long_lines(spark):
+    """Each hit repeats its line: documents stay near the limit by bytes, whatever their number of findings."""
+    texts = spark.range(30).select(F.concat(F.lit("f"), "id").alias("path"), F.concat(
+        F.lit(f"db_password='{SECRET}' token = '{SECRET}' "), F.repeat(F.lit("x"), F.lit(20_000))).alias("text"))
+    found = scan_table(texts, "text", "path", "t").findings.cache()
+    values = [r.value for r in sarif_documents(found, max_bytes=200_000).collect()]
+    assert sum(len(json.loads(v)["runs"][0]["results"]) for v in values) == found.count() >= 60
+    assert len(values) > 5 and max(map(len, values)) < 600_000
+
+
+def test_documents_start_no_job(spark, scan):
+    """Documents are planned without running anything."""
+    spark.sparkContext.setJobGroup("lazy", "documents")
+    try:
+        sarif_documents(scan.findings, scan.errors)
+        report_documents(scan.findings, scan.scan_log, scan.errors, target="t", scan_type="table")
+        assert spark.sparkContext.statusTracker().getJobIdsForGroup("lazy") == []
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_report_rows(findings):
     rows = report_rows(findings).collect()
     assert [(r.file_path, r.line_number, r.ord) for r in rows] == expected_order()
