@@ -38,13 +38,13 @@ def _lines(source: str, ids: Sequence[str], added: bool) -> str:
 
 
 def scan_ctes(source: str, ids: Sequence[str], rules: RuleSet | None = None, added: bool = False) -> str:
-    """CTEs ending in ``found``: the ids, line_number, snippet, ord, rule attributes and matched_text."""
+    """CTEs ending in ``found``: the ids, line_number, line, snippet, ord, rule attributes and matched_text."""
     branches = []
     for ord_, rule in (rules or RuleSet.builtin()).numbered():
         pattern, group = _DELIMITED.get(rule.rule_id, (rule.pattern, 0))
         gate = " OR ".join(f"contains(low, {quote(k)})" for k in rule.keywords) or "true"
         branches.append(
-            f"SELECT {', '.join(ids)}, line_number, snippet, CAST({ord_} AS INTEGER) AS ord, {quote(rule.rule_id)} AS rule_id, "
+            f"SELECT {', '.join(ids)}, line_number, line, snippet, CAST({ord_} AS INTEGER) AS ord, {quote(rule.rule_id)} AS rule_id, "
             f"{quote(rule.name)} AS rule_name, {quote(rule.severity)} AS severity, "
             f"CAST({SEVERITY_RANK[rule.severity]} AS INTEGER) AS severity_rank, {quote(rule.description)} AS description, "
             f"regexp_extract(line, {quote(pattern)}, {group}) AS matched_text FROM long_lines "

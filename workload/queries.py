@@ -15,15 +15,16 @@ from leaksieve.operators.merge import files_scanned
 from leaksieve.plans.scan import attach_rules, find_hits, scan_text
 from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_table
 from leaksieve.plans.views import register_views
-from leaksieve.rules import RuleSet
+from leaksieve.rules import Rule, RuleSet
+from leaksieve.sources.patterns import rules_with_file
 from leaksieve.sinks.documents import report_documents, sarif_documents, sarif_results
 from leaksieve.sinks.tables import json_findings, report_rows, write_table
-from leaksieve.sources.patches import parse_commits
+from leaksieve.sources.patches import parse_commits, read_git_log
 from leaksieve.sources.tree import list_tree, read_files, select_files
 from leaksieve.streaming.scans import scan_stream, write_findings
 from workload.oracle import WHITESPACE_SQL, quote, rules_values, scan_ctes, scan_sql
 from workload.scratch import scratch_dir
-from workload.tables import duckdb_sql, table
+from workload.tables import duckdb_sql, input_partitions, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,7 +49,7 @@ def query(sql: str | None) -> Callable[[Query], Query]:
 
 @query(scan_sql("documents", ["doc_id"], f"SELECT doc_id, {FOUND_SQL} FROM found"))
 def scan_documents(spark, sf_dir):
-    return scan_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return scan_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", partitions=input_partitions(spark))
 
 
 @query(scan_sql("documents", ["doc_id"], "SELECT ord, rule_id, count(*) AS n FROM found GROUP BY ord, rule_id"))
@@ -64,7 +65,7 @@ def scan_by_severity(spark, sf_dir):
 @query(scan_sql("documents", ["source", "lang"],
                 "SELECT source, lang, count(*) AS n FROM found GROUP BY source, lang"))
 def scan_by_file(spark, sf_dir):
-    found = scan_text(table(spark, sf_dir, "documents").select("source", "lang", "text"), "text")
+    found = scan_text(table(spark, sf_dir, "documents").select("source", "lang", "text"), "text", partitions=input_partitions(spark))
     return rollup.by_file(found, "source", "lang")
 
 
@@ -102,7 +103,8 @@ def custom_rules(spark: SparkSession | None = None) -> RuleSet:
 @query(scan_sql("documents", ["doc_id"], f"SELECT doc_id, {FOUND_SQL} FROM found",
                 rules=RuleSet.builtin().with_custom(CUSTOM_PATTERNS)))
 def custom_patterns(spark, sf_dir):
-    return scan_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", custom_rules(spark))
+    return scan_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", custom_rules(spark),
+                     partitions=input_partitions(spark))
 
 
 _RULE_COUNTS = scan_sql(duckdb_sql("planted_conversations"), ["conv_id"],
@@ -127,6 +129,43 @@ def rule_catalogue_summary(spark, sf_dir):
     return counted.join(findings, "severity")
 
 
+# Rules a user registers under a category of their own: anchored, without regard to case, gated by a keyword.
+REGISTERED = (
+    Rule("own-line-start", "Line start", r"^[A-Z][a-z]+\. [A-Z]", "low", "A line that begins with a short sentence", category="mycorp"),
+    Rule("own-mail", "Mail", r"(?i)MAIL[0-9]\.EXAMPLE\.COM", "medium", keywords=("@mail",), category="mycorp"),
+    Rule("own-gated", "Gated phone", r"555-[0-9]{4}", "high", keywords=("example.com",), category="mycorp"),
+    Rule("own-line-end", "Line end", r"[a-z]{9}\.$", "low", category="mycorp"),
+)
+
+
+@query(scan_sql("documents", ["doc_id"], f"SELECT doc_id, {FOUND_SQL} FROM found", rules=RuleSet.builtin().with_rules(*REGISTERED)))
+def registered_rules(spark, sf_dir):
+    rules = RuleSet.builtin().with_rules(*REGISTERED)
+    return scan_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", rules, partitions=input_partitions(spark))
+
+
+@query(scan_sql("documents", ["doc_id"], "SELECT doc_id, line_number, rule_id, matched_text FROM found WHERE ord > 78",
+                rules=RuleSet.builtin().with_rules(*[
+                    Rule(f"custom-custom-pattern-#{n}", f"Custom Pattern #{n}", p, "high")
+                    for n, (_, p) in zip((2, 4, 5, 7), CUSTOM_PATTERNS)])))
+def pattern_file_scan(spark, sf_dir):
+    """Patterns read from a file with a comment and blank lines."""
+    one, two, three, four = (pattern for _, pattern in CUSTOM_PATTERNS)
+    folder = f"{scratch_dir(spark)}/patterns"
+    lines = "\n".join(["# own patterns", one, "", f"  {two}  ", three, "# more", four])
+    spark.range(1).select(F.lit(lines).alias("value")).write.text(folder)
+    rules = rules_with_file(spark, folder)
+    found = scan_text(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", rules, partitions=input_partitions(spark))
+    return found.where("ord > 78").select("doc_id", "line_number", "rule_id", "matched_text")
+
+
+@query(f"SELECT file_path, count(*) AS n FROM (SELECT concat_ws('/', role, conv_id, turn) AS file_path FROM ("
+       + scan_sql(duckdb_sql("planted_conversations"), ["role", "conv_id", "turn"], "SELECT role, conv_id, turn FROM found")
+       + ")) GROUP BY file_path")
+def findings_by_path(spark, sf_dir):
+    return rollup.by_file(_planted_findings(spark, sf_dir))
+
+
 # --- text handling -------------------------------------------------------------------------
 
 @query("WITH parts AS (SELECT doc_id, regexp_split_to_array(text, " + quote(
@@ -141,9 +180,10 @@ def line_split(spark, sf_dir):
         texts.strip(F.col("line")).alias("snippet"))
 
 
-@query("SELECT doc_id, md5(concat(text, ' tail')) AS digest, true AS was_malformed FROM documents")
+@query("SELECT doc_id, md5(concat(text, ' tail')) AS digest, doc_id % 2 = 1 AS was_malformed FROM documents")
 def decode_malformed(spark, sf_dir):
-    raw = F.concat(F.encode("text", "UTF-8"), F.lit(b"\xff\xc3 tail"))
+    """Documents of odd ids get two invalid bytes, the others are valid."""
+    raw = F.concat(F.encode("text", "UTF-8"), F.when(F.col("doc_id") % 2 == 1, F.lit(b"\xff\xc3")).otherwise(F.lit(b"")), F.lit(b" tail"))
     docs = table(spark, sf_dir, "documents").select("doc_id", raw.alias("raw"))
     return docs.select("doc_id", F.md5(texts.decode_lenient(F.col("raw"))).alias("digest"),
                        texts.decode_strict(F.col("raw")).isNull().alias("was_malformed"))
@@ -219,13 +259,18 @@ _HOSTED_SQL = (
 
 
 def _payloads(spark, sf_dir):
+    """Pages as captured payloads; some are of another branch, directories, or below an excluded directory."""
     wrapped = F.regexp_replace(F.base64(F.encode("html", "UTF-8")), "(.{76})", "$1\n")
+    page = F.col("page_id")
     return table(spark, sf_dir, "site_files").select(
-        "repo", F.lit("trunk").alias("default_branch"), F.lit("trunk").alias("ref"), F.lit("file").alias("type"),
-        F.col("rel_path").alias("path"), "name", wrapped.alias("content_b64"))
+        "repo", F.lit("trunk").alias("default_branch"), F.when(page % 3 == 0, "dev").otherwise("trunk").alias("ref"),
+        F.when(page % 5 == 0, "dir").otherwise("file").alias("type"),
+        F.concat(F.when(page % 7 == 0, "web/dist/").otherwise(""), "rel_path").alias("path"), "name",
+        wrapped.alias("content_b64"))
 
 
-@query(scan_sql(f"(SELECT repo, rel_path, html AS text FROM {duckdb_sql('site_files')} WHERE {_HOSTED_SQL})",
+@query(scan_sql(f"(SELECT repo, rel_path, html AS text FROM {duckdb_sql('site_files')} WHERE {_HOSTED_SQL} "
+                "AND page_id % 3 <> 0 AND page_id % 5 <> 0 AND page_id % 7 <> 0)",
                 ["repo", "rel_path"],
                 "SELECT repo AS target, rel_path AS file_path, line_number, rule_id, snippet, matched_text FROM found"))
 def api_manifest_scan(spark, sf_dir):
@@ -285,14 +330,39 @@ def git_log_scan(spark, sf_dir):
                         "matched_text")
 
 
+@query(scan_sql(_LOGGED, ["doc_id", "source", "lang"],
+                "SELECT md5(cast(doc_id AS string)) AS commit_sha, concat('dev-', lang) AS commit_author, "
+                "concat(lang, '.txt') AS file_path, rule_id, snippet, matched_text FROM found QUALIFY row_number() OVER "
+                "(PARTITION BY doc_id, rule_id, matched_text ORDER BY line_number) = 1", added=True))
+def git_log_file_scan(spark, sf_dir):
+    """The same commits, written as a log export and read back."""
+    folder = f"{scratch_dir(spark)}/log"
+    table(spark, sf_dir, "log_records").select(F.concat(F.lit("commit "), "value").alias("value")).write.text(folder)
+    found = scan_history(read_git_log(spark, folder, "all")).findings
+    return found.select("commit_sha", "commit_author", "file_path", "rule_id", "snippet", "matched_text")
+
+
+@query("SELECT source AS target, CASE WHEN doc_id % 10 = 1 THEN md5(cast(doc_id AS string)) END AS source_id, 'parse' AS stage, "
+       "CASE WHEN doc_id % 10 = 1 THEN 'Cannot parse change: diff --cc both.py' ELSE 'Cannot parse record' END AS message "
+       "FROM documents WHERE doc_id % 10 < 2")
+def history_errors(spark, sf_dir):
+    """Log records of which some have no commit id and some a combined diff."""
+    value, doc = F.col("value"), F.col("doc_id")
+    broken = F.when(doc % 10 == 0, F.concat(F.lit("? "), value)).when(
+        doc % 10 == 1, F.concat(value, F.lit("\ndiff --cc both.py\n@@@ -1 -1 +1 @@@\n++pwd = 'combined12'"))).otherwise(value)
+    records = table(spark, sf_dir, "log_records").select(
+        "repo", F.lit(0).cast("long").alias("__block"), doc.alias("__row"), broken.alias("value"))
+    return scan_history(parse_commits(records)).errors.select("target", "source_id", "stage", "message")
+
+
 # --- merged scans --------------------------------------------------------------------------
 
 def _merged(spark, sf_dir) -> Scan:
-    documents = scan_table(table(spark, sf_dir, "documents"), "text", "doc_id", "documents")
+    documents = scan_table(table(spark, sf_dir, "documents"), "text", "doc_id", "documents", partitions=input_partitions(spark))
     conversations = scan_table(
         table(spark, sf_dir, "planted_conversations").withColumn("id", F.concat_ws("/", "conv_id", "turn")),
         "text", "id", "conversations")
-    pages = scan_table(table(spark, sf_dir, "pages"), "html", "url", "pages")
+    pages = scan_table(table(spark, sf_dir, "pages"), "html", "url", "pages", partitions=input_partitions(spark))
     questions = scan_table(table(spark, sf_dir, "benchmark"), "text", "item_id", "benchmark")
     return documents.merge(conversations, pages, questions, scan_history(table(spark, sf_dir, "patches")))
 
@@ -341,18 +411,21 @@ def _planted(select: str, more: str = "") -> str:
     return f"WITH {_PLANTED_CTES}{more} {select}"
 
 
+# One group per line: its masked form, and its findings, which are unnested again.
 _MASKED = (
     ", masked AS (SELECT file_path, line_number, list_reduce(list_transform(list_sort(list(DISTINCT "
     "{'o': -length(matched_text), 't': matched_text})), lambda m: m.t), "
-    f"lambda acc, m: replace(acc, m, {_redact_sql('m', '…')}), any_value(line)) AS line_masked "
-    "FROM (SELECT f.*, l.line FROM found f JOIN long_lines l USING (file_path, line_number)) GROUP BY file_path, line_number)")
+    f"lambda acc, m: replace(acc, m, {_redact_sql('m', '…')}), any_value(line)) AS line_masked, "
+    "list({'rule_id': rule_id, 'rule_name': rule_name, 'severity': severity, 'matched_text': matched_text, "
+    "'description': description}) AS fs FROM found GROUP BY file_path, line_number)"
+    ", each AS (SELECT file_path, line_number, line_masked, unnest(fs) AS f FROM masked)")
 
 
 @query(_planted(
-    f"SELECT file_path, line_number, rule_id AS detector_id, rule_name AS detector_name, severity, "
-    f"trim(line_masked, {WHITESPACE_SQL}) AS snippet, {_redact_sql('matched_text')} AS matched_text, "
+    f"SELECT file_path, line_number, f.rule_id AS detector_id, f.rule_name AS detector_name, f.severity AS severity, "
+    f"trim(line_masked, {WHITESPACE_SQL}) AS snippet, {_redact_sql('f.matched_text')} AS matched_text, "
     "CAST(NULL AS VARCHAR) AS commit_sha, CAST(NULL AS VARCHAR) AS commit_author, CAST(NULL AS VARCHAR) AS commit_date, "
-    "description FROM found JOIN masked USING (file_path, line_number)", _MASKED))
+    "f.description AS description FROM each", _MASKED))
 def redact_findings(spark, sf_dir):
     return json_findings(_planted_findings(spark, sf_dir))
 
@@ -494,6 +567,13 @@ def verdict(spark, sf_dir):
     return rollup.verdict(scan_documents(spark, sf_dir))
 
 
+@query(_planted("SELECT count(*) > 0 AS has_findings, " + ", ".join(
+    f"count(*) FILTER (severity = '{s}') AS {s}" for s in ("critical", "high", "medium", "low"))
+    + ", 'fail' AS verdict FROM found"))
+def planted_verdict(spark, sf_dir):
+    return rollup.verdict(_planted_findings(spark, sf_dir))
+
+
 # --- entropy -------------------------------------------------------------------------------
 
 _TOKENS = "(SELECT DISTINCT token FROM (SELECT unnest(regexp_split_to_array(text, '[ \\n]+')) AS token FROM documents) WHERE token <> '')"

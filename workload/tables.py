@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leaksieve.plans.partitioning import spread_if_small
+from leaksieve.plans.partitioning import dealt
 from workload.planted import block_sql
 
 GIVEN = ("region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -84,9 +84,15 @@ def duckdb_sql(name: str) -> str:
     return "(" + _PLACEHOLDER.sub(lambda m: duckdb_sql(m[1]), DERIVED[name]) + ")"
 
 
+def input_partitions(spark: SparkSession) -> int | None:
+    """The partitions that whoever runs the queries wants their inputs dealt into; none are dealt without the setting."""
+    wanted = spark.conf.get("spark.leaksieve.inputPartitions", None)
+    return int(wanted) if wanted else None
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in GIVEN:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = DERIVED[name]
-    inputs = {m[1]: spread_if_small(table(spark, sf_dir, m[1])) for m in _PLACEHOLDER.finditer(sql)}
+    inputs = {m[1]: dealt(table(spark, sf_dir, m[1]), input_partitions(spark)) for m in _PLACEHOLDER.finditer(sql)}
     return spark.sql(sql, **inputs)
