@@ -1,0 +1,35 @@
+"""Expected findings, rule by rule over a column of lines, with pandas string methods."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+
+from leaksieve.rules import Rule, RuleSet
+
+MIN_STRIPPED = 8
+
+
+def _line_table(texts: dict) -> pd.DataFrame:
+    lines = pd.Series(texts, dtype=object).map(str.splitlines).explode().dropna()
+    frame = pd.DataFrame({"key": lines.index, "line": pd.Series(lines.to_list(), dtype=object)})
+    frame["number"] = frame.groupby("key").cumcount() + 1
+    frame["snippet"] = frame["line"].map(str.strip).astype(object)
+    return frame[frame["snippet"].map(len) >= MIN_STRIPPED]
+
+
+def _matches(rule: Rule, lines: pd.DataFrame) -> pd.Series:
+    """The first match on each line that has one, among the lines that hold a keyword."""
+    column = lines["line"]
+    if rule.keywords:
+        column = column[column.str.lower().str.contains("|".join(map(re.escape, rule.keywords)))]
+    flags, pattern = (re.IGNORECASE, rule.pattern[4:]) if rule.ignores_case else (0, rule.pattern)
+    return column.str.extract(f"(?P<whole_match>{pattern})", flags=flags)["whole_match"].dropna() if len(column) else column
+
+
+def expected_hits(texts: dict, rules: RuleSet) -> set[tuple]:
+    """(key, line_number, ord, snippet, matched_text) of the texts under their keys."""
+    lines = _line_table(texts)
+    return {(lines.at[i, "key"], int(lines.at[i, "number"]), ord_, lines.at[i, "snippet"], matched)
+            for ord_, rule in rules.numbered() for i, matched in _matches(rule, lines).items()}
