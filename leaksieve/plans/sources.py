@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import os
+import time
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -15,21 +15,42 @@ from leaksieve.operators.merge import ERROR_SCHEMA, LOG_SCHEMA, canonical, union
 from leaksieve.plans.scan import attach_rules, find_hits
 from leaksieve.rules import RuleSet
 from leaksieve.sources.payloads import decode_payloads, on_branch, select_payloads
-from leaksieve.sources.tree import ignore_patterns, list_tree, read_files, select_files
+from leaksieve.sources.tree import ignore_patterns, list_tree, read_files, select_files, tree_exists
 
 
 @dataclass(frozen=True)
 class Scan:
-    """Lazy results of a scan. Write ``findings`` to a table before feeding several sinks from it."""
+    """Results of a scan: lazy ones, or the tables that ``written`` made of them and the seconds that took.
+
+    Write a scan before feeding several sinks from it.
+    """
 
     findings: DataFrame
     scan_log: DataFrame
     errors: DataFrame
+    duration_seconds: float = 0.0
 
     def merge(self, *others: Scan) -> Scan:
+        """All findings, log and error rows; durations add up."""
         scans = (self, *others)
         return Scan(union_all(s.findings for s in scans), union_all(s.scan_log for s in scans),
-                    union_all(s.errors for s in scans))
+                    union_all(s.errors for s in scans), sum(s.duration_seconds for s in scans))
+
+    def written(self, folder: str) -> Scan:
+        """Runs the scan into three tables below ``folder``; the scan over these tables knows its duration."""
+        start = time.perf_counter()
+        tables = []
+        for name, frame in (("findings", self.findings), ("log", self.scan_log), ("errors", self.errors)):
+            frame.write.parquet(f"{folder}/{name}")
+            tables.append(frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}"))
+        return Scan(*tables, self.duration_seconds + time.perf_counter() - start)
+
+    def summary(self) -> DataFrame:
+        """One row: files_scanned (files, rows or commits), error_count and duration_seconds."""
+        count = F.count("*").alias("n")
+        return self.scan_log.agg(F.count("*").alias("files_scanned")).select(
+            "files_scanned", self.errors.agg(count).scalar().alias("error_count"),
+            F.lit(float(self.duration_seconds)).alias("duration_seconds"))
 
 
 def _no_errors(spark: SparkSession) -> DataFrame:
@@ -53,14 +74,14 @@ def _log(rows: DataFrame, source_type: str, target) -> DataFrame:
 def scan_tree(spark: SparkSession, path: str, rules: RuleSet | None = None,
               config: ScanConfig = ScanConfig()) -> Scan:
     """A scan of the files below ``path``, or of ``path`` itself if it is a file."""
-    if not os.path.exists(path):
+    if not tree_exists(path):
         error = F.lit(f"Path not found: {path}")
         row = spark.range(1).select(
             F.lit("tree").alias("source_type"), F.lit(path).alias("target"),
             F.lit(None).cast("string").alias("source_id"), F.lit("list").alias("stage"), error.alias("message"))
         return Scan(canonical(row.limit(0).select()), spark.createDataFrame([], LOG_SCHEMA), row)
     selected = select_files(list_tree(spark, path, config), ignore_patterns(path, config), config)
-    return scan_files(read_files(selected), path, rules, checked=read_files(selected, contents=False))
+    return scan_files(read_files(selected, root=path), path, rules, checked=read_files(selected, contents=False, root=path))
 
 
 def scan_files(files: DataFrame, target: str, rules: RuleSet | None = None,

@@ -111,13 +111,46 @@ def test_many_directories(spark, tmp_path):
     assert listed.rdd.getNumPartitions() > 100
 
 
-def test_wide_directories_are_shared(spark, tmp_path, monkeypatch):
+def test_names_that_are_not_utf8(spark, tmp_path):
+    write(tmp_path, "good.py", SECRET)
+    with open(os.path.join(os.fsencode(str(tmp_path)), b"odd\xff.py"), "w") as file:
+        file.write(SECRET)
+    found = scan_tree(spark, str(tmp_path)).findings.collect()
+    assert {r.file_path for r in found} == {"good.py", "odd\ufffd.py"}
+
+
+def test_uris(spark, project):
+    assert {r.file_path for r in scan_tree(spark, project.as_uri()).findings.collect()} == HITS
+    assert {r.file_path for r in scan_tree(spark, (project / "config.py").as_uri()).findings.collect()} == {"config.py"}
+    assert scan_tree(spark, (project / "nope").as_uri()).errors.count() == 1
+
+
+def test_stores_list_and_read_as_folders_do(project):
+    from leaksieve.sources.tree import _LocalTree, _StoreTree
+
+    local, store = _LocalTree(str(project)), _StoreTree(project.as_uri())
+    assert (local.kind(), store.kind()) == ("directory", "directory") and _StoreTree(project.as_uri() + "/nope").kind() is None
+
+    def listed(tree):
+        rows, stack = set(), [tree.root]
+        while stack:
+            for name, path, is_dir, size in tree.children(stack.pop()):
+                if is_dir:
+                    stack.append(path)
+                else:
+                    with tree.open(path) as file:
+                        rows.add((name, path, size, bytes(file.read())))
+        return rows
+
+    assert listed(local) == listed(store) and len(listed(store)) > 5
+
+
+def test_wide_directories_are_shared(spark, tmp_path):
     from leaksieve.sources import tree
-    monkeypatch.setattr(tree, "_WIDE", 50)
     for i in range(120):
         write(tmp_path, f"wide/d{i}/f.py", SECRET)
         write(tmp_path, f"wide/f{i}.py", SECRET)
-    reader = tree._TreeReader(str(tmp_path), frozenset({"d7"}))
+    reader = tree._TreeReader(str(tmp_path), frozenset({"d7"}), 256, 50)
     partitions = reader.partitions()
     assert len(partitions) == 256
     rows = [row for p in partitions for row in reader.read(p)]

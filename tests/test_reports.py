@@ -77,6 +77,15 @@ def test_merge(spark, scan):
     assert merged.errors.count() == 0
 
 
+def test_durations_add_up(spark, scan, tmp_path):
+    one, two = scan.written(str(tmp_path / "one")), scan.written(str(tmp_path / "two"))
+    assert one.duration_seconds > 0 and one.findings.count() == 6 and one.scan_log.count() == 3
+    merged = one.merge(two)
+    assert merged.duration_seconds == one.duration_seconds + two.duration_seconds
+    assert merged.summary().first().asDict() == {"files_scanned": 6, "error_count": 0, "duration_seconds": merged.duration_seconds}
+    assert scan.duration_seconds == 0
+
+
 def test_json_lines(spark, findings, tmp_path):
     write_json(findings, str(tmp_path / "masked"))
     lines = [json.loads(r.value) for r in spark.read.text(str(tmp_path / "masked")).collect()]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leaksieve.functions import labels, redact, text as texts
@@ -13,14 +15,14 @@ from leaksieve.operators import files, order, rollup
 from leaksieve.operators.ignore import is_ignored
 from leaksieve.operators.merge import files_scanned
 from leaksieve.plans.scan import attach_rules, find_hits, scan_text
-from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_table
+from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_table, scan_tree
 from leaksieve.plans.views import register_views
 from leaksieve.rules import Rule, RuleSet
 from leaksieve.sources.patterns import rules_with_file
 from leaksieve.sinks.documents import report_documents, sarif_documents, sarif_results
 from leaksieve.sinks.tables import json_findings, report_rows, write_table
 from leaksieve.sources.patches import parse_commits, read_git_log
-from leaksieve.sources.tree import list_tree, read_files, select_files
+from leaksieve.sources.tree import select_files
 from leaksieve.streaming.scans import scan_stream, write_findings
 from workload.oracle import WHITESPACE_SQL, quote, rules_values, scan_ctes, scan_sql
 from workload.scratch import scratch_dir
@@ -243,12 +245,34 @@ def selected_files_scan(spark, sf_dir):
     return scan_text(chosen, "text").select("doc_id", "rel_path", "line_number", "rule_id", "matched_text")
 
 
-@query(None)
-def tree_manifest(spark, sf_dir):
-    """The table files themselves, listed and sniffed as a source tree."""
-    config = files.ScanConfig(extensions=(".parquet",), max_file_bytes=1 << 40)
-    chosen = select_files(list_tree(spark, sf_dir, config), config=config)
-    return read_files(chosen).select("rel_path", "length", "status")
+_TREE_SQL = (f"(SELECT rel_path AS file_path, text FROM {duckdb_sql('tree_files')} WHERE NOT has_null AND NOT {_DIRS_SQL} "
+             f"AND {_NAME_SQL} AND NOT ({_IGNORED_SQL}) AND strlen(text) <= 2097152)")
+
+
+def _write_files(root: str):
+    """Writes rows as files below a shared folder; returns how many. A repeated task writes the same files."""
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                path = os.path.join(root, row["rel_path"])
+                os.makedirs(os.path.dirname(path), exist_ok=True)
+                with open(path, "wb") as file:
+                    file.write((b"\x00" if row["has_null"] else b"") + row["text"].encode("utf-8"))
+            yield pa.record_batch({"n": [batch.num_rows]})
+    return run
+
+
+@query(scan_sql(_TREE_SQL, ["file_path"], "SELECT file_path, line_number, rule_id, matched_text FROM found"))
+def tree_scan(spark, sf_dir):
+    """The documents written out as files below the shared folder, and scanned as a source tree."""
+    root = f"{scratch_dir(spark).removeprefix('file://')}/tree"
+    rows = table(spark, sf_dir, "tree_files").select("rel_path", "has_null", "text")
+    rows.mapInArrow(_write_files(root), "n long").agg(F.sum("n")).collect()
+    # Patterns count from the end: the ignore file's come first, and the last one that matches decides.
+    with open(os.path.join(root, ".gitignore"), "w") as file:
+        file.write("\n".join(IGNORE[:4]))
+    scan = scan_tree(spark, root, config=files.ScanConfig(ignore_patterns=IGNORE[4:]))
+    return scan.findings.select("file_path", "line_number", "rule_id", "matched_text")
 
 
 # --- hosted repositories -------------------------------------------------------------------

@@ -63,6 +63,11 @@ DERIVED = {
         "regexp_extract(url, '^https?://[^/]+/([^?#]*/)?([^/?#]*)', 2) AS name, "
         "concat(html, chr(10), 'apikey = ', chr(34), 'page-', cast(page_id AS string), '-key', chr(34)) AS html "
         "FROM {pages}",
+    # The same files written out as a tree: some of well-known names, some below dotfiles' directories, some with a null byte.
+    "tree_files":
+        "SELECT doc_id, doc_id % 11 = 0 AS has_null, CASE WHEN doc_id % 13 = 0 THEN concat('src/d', cast(doc_id AS string), '/Dockerfile') "
+        "WHEN doc_id % 13 = 1 THEN concat('lib/.d', cast(doc_id AS string), '/.env') ELSE rel_path END AS rel_path, "
+        "concat(text, chr(10), 'pwd = ', chr(39), 'in-tree-', cast(doc_id AS string), chr(39), chr(10)) AS text FROM {source_files}",
     # Files whose names and directories follow the language and source of the document.
     "source_files":
         "SELECT doc_id, text, lang, concat("
