@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leaksieve.llm.arrays import blocks, buffers, mix, signed, words
 from leaksieve.llm.components import components
-from leaksieve.llm.shared import python_ready, written
+from leaksieve.llm.shared import free_name, python_ready, written
 
 #: Grams whose lists count as long for everybody: two numbers each, 4 MB on the driver and in each task.
 HEAVY = 1 << 18
@@ -357,3 +357,17 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     return rows.join(named, "node", "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def keep_first_of_group(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
+    """The rows of ``docs``, all columns, but one of each group of linked texts: the smallest ``doc_id``, nulls last, of repeated rows one.
+
+    Texts without a word are in no group and stay.
+    """
+    key = free_name(docs, "_key")
+    keyed = written(docs.withColumn(key, F.monotonically_increasing_id()))
+    groups = ngram_groups(keyed.select(F.col(key).alias("doc_id"), "text"), size, percent).select(
+        F.col("doc_id").alias(key), F.col("component_id").alias("_component"))
+    named = keyed.select(F.col(key), F.col("doc_id").alias("_id")).join(groups, key)
+    firsts = named.groupBy("_component").agg(F.min(F.struct(F.col("_id").isNull().alias("unnamed"), "_id", key)).alias("first"))
+    return keyed.join(firsts.select(F.col(f"first.{key}").alias(key)), key, "left_semi").select(*docs.columns)
