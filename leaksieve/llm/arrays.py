@@ -16,6 +16,8 @@ BLOCK = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[65:91] = _LETTER[97:123] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -53,11 +55,12 @@ def blocks(offsets: np.ndarray, limit: int = BLOCK) -> Iterator[tuple[int, int]]
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False, cut_stops: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash and byte range of every word of consecutive texts, and where each text's words begin.
 
     Returns ``(hashes, bounds, first)``: ``bounds`` has a row (start, end) per word, ``first`` the
-    index of each text's first word with one more entry at the end.
+    index of each text's first word with one more entry at the end. ``cut_stops`` begins a word at a full
+    stop or comma after an ASCII letter too.
     """
     base, stop = int(offsets[0]), int(offsets[-1])
     part = data[base:stop]
@@ -69,6 +72,8 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[n
     edges = offsets[:-1] - base
     edges = edges[edges < len(part)]
     begins[edges] = inside[edges]
+    if cut_stops:
+        begins[1:] |= ((part[1:] == 46) | (part[1:] == 44)) & _LETTER[part[:-1]]
     starts = np.flatnonzero(begins)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros((0, 2), np.int64), np.zeros(len(offsets), np.int64)
