@@ -23,7 +23,7 @@ from leaksieve.sinks.documents import report_documents, sarif_documents, sarif_r
 from leaksieve.sinks.tables import json_findings, report_rows, write_table
 from leaksieve.sources.patches import parse_commits, read_git_log
 from leaksieve.sources.tree import select_files
-from leaksieve.streaming.scans import scan_stream, write_findings
+from leaksieve.streaming.scans import drop_repeats, scan_stream, write_findings
 from workload.oracle import WHITESPACE_SQL, quote, rules_values, scan_ctes, scan_sql
 from workload.scratch import scratch_dir
 from workload.tables import duckdb_sql, input_partitions, table
@@ -646,3 +646,20 @@ def stream_scan_events(spark, sf_dir):
     folder = scratch_dir(spark)
     write_findings(scan_stream(stream, "text"), f"{folder}/findings", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/findings").select("event_id", "line_number", "rule_id", "matched_text")
+
+
+_USER_EVENTS = ("(SELECT event_type, concat(props, chr(10), 'api_key = ', chr(34), lpad(cast(user_id AS string), 12, 'k'), chr(34)) "
+                "AS text FROM events)")
+
+
+@query(scan_sql(_USER_EVENTS, ["event_type"], "SELECT DISTINCT event_type AS target, rule_id, matched_text FROM found"))
+def stream_dedup_events(spark, sf_dir):
+    """Each user's secret once per type of event, however often it arrives before the watermark passes it."""
+    schema = table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = events.select(F.col("event_type").alias("target"), F.col("ts").cast("timestamp").alias("ts"), F.concat(
+        "props", F.lit("\napi_key = \""), F.lpad(F.col("user_id").cast("string"), 12, "k"), F.lit('"')).alias("text"))
+    found = drop_repeats(scan_stream(stream, "text"), "ts", "60 days", key=("target", "rule_id", "matched_text"))
+    folder = scratch_dir(spark)
+    write_findings(found, f"{folder}/findings", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/findings").select("target", "rule_id", "matched_text")
