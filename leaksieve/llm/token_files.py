@@ -34,6 +34,8 @@ MAGIC = b"LSIDS1\0\0"
 _HEADER = struct.Struct("<8sIIQQ")  # magic, bits per id, ids per block, documents, ids
 BLOCK_IDS = 4096
 FILE_IDS = 1 << 22
+#: Ids that a reader unpacks at once, or those of one document.
+READ_IDS = 1 << 19
 _MANIFEST = "part int, file int, path string, n_docs long, n_ids long"
 
 
@@ -42,16 +44,38 @@ def bits_for(vocabulary_size: int) -> int:
     return max(1, (vocabulary_size - 1).bit_length())
 
 
+def _overlap(bits: int) -> Iterator[tuple[int, int, int]]:
+    """Of eight ids in ``bits`` bytes: each (id, byte, left shift of the id to the byte) that share a bit."""
+    for i in range(8):
+        for byte in range(i * bits // 8, (i * bits + bits - 1) // 8 + 1):
+            yield i, byte, i * bits - 8 * byte
+
+
 def pack(ids: np.ndarray, bits: int) -> bytes:
-    rows = np.unpackbits(ids.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, count=bits, bitorder="little")
-    return np.packbits(rows, bitorder="little").tobytes()
+    padded = np.zeros(8 * -(-len(ids) // 8), np.uint64)
+    padded[:len(ids)] = ids
+    # Eight ids stand in one column and become ``bits`` bytes.
+    columns = np.ascontiguousarray(padded.reshape(-1, 8).T)
+    out = np.zeros((bits, columns.shape[1]), np.uint64)
+    for i, byte, shift in _overlap(bits):
+        out[byte] |= columns[i] << np.uint64(shift) if shift >= 0 else columns[i] >> np.uint64(-shift)
+    return (out & np.uint64(255)).astype(np.uint8).T.tobytes()[:-(-len(ids) * bits // 8)]
 
 
 def unpack(data, bits: int, n: int) -> np.ndarray:
-    rows = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits)
-    wide = np.zeros((n, 32), np.uint8)
-    wide[:, :bits] = rows
-    return np.packbits(wide, axis=1, bitorder="little").view("<u4").ravel()
+    raw, out, mask = np.frombuffer(data, np.uint8), np.zeros(n, "<u4"), np.uint64((1 << bits) - 1)
+    # Some blocks at a time, as bytes are wide integers meanwhile.
+    for a in range(0, n, 8 * BLOCK_IDS):
+        b = min(a + 8 * BLOCK_IDS, n)
+        rows = -(-(b - a) // 8)
+        part = np.zeros(rows * bits, np.uint64)
+        own = raw[a * bits // 8:-(-b * bits // 8)]
+        part[:len(own)] = own
+        columns, found = np.ascontiguousarray(part.reshape(rows, bits).T), np.zeros((8, rows), np.uint64)
+        for i, byte, shift in _overlap(bits):
+            found[i] |= columns[byte] >> np.uint64(shift) if shift >= 0 else columns[byte] << np.uint64(-shift)
+        out[a:b] = (found & mask).T.ravel()[:b - a]
+    return out
 
 
 def file_parts(doc_ids: np.ndarray, named: np.ndarray, starts: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[bytes]:
@@ -160,9 +184,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
             file = TokenFile(path)
-            for a in range(0, file.n_docs, 1 << 12):
-                b = min(a + (1 << 12), file.n_docs)
+            a = 0
+            while a < file.n_docs:
                 base = int(file.starts[a])
+                b = max(a + 1, int(np.searchsorted(file.starts, base + READ_IDS, side="right")) - 1)
                 ids = file.ids(base, int(file.starts[b])).astype("<u4")
                 edges = (file.starts[a:b + 1] - base).tolist()
                 yield pa.record_batch({
@@ -170,6 +195,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "start": pa.array(file.starts[a:b] + start, pa.int64()),
                     "n_tokens": pa.array(np.diff(file.starts[a:b + 1]), pa.int64()),
                     "ids_crc32": pa.array([zlib.crc32(ids[x:y].tobytes()) for x, y in zip(edges, edges[1:])], pa.int64())})
+                a = b
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:
