@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from leaksieve.llm.shared import written
+from leaksieve.llm.shared import discard, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -38,7 +38,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = ordered.groupBy("u").agg(F.min("v").alias("m"))
         small = ordered.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             least.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u <> v").distinct())
+        previous, edges = edges, written(small.where("u <> v").distinct())
+        discard(previous)
         after = _state(edges)
         if after == before:
             break

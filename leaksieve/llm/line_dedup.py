@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leaksieve.llm.arrays import blocks, buffers, mix, signed, words
-from leaksieve.llm.shared import free_name, python_ready, written
+from leaksieve.llm.shared import discard, free_name, python_ready, written
 
 GRAM_WORDS = 25
 GUARANTEE = 50
@@ -187,7 +187,9 @@ def repeated_lines(keyed: DataFrame) -> DataFrame:
     runs = sides.mapInArrow(_extend, "key long, begin int, stop int").groupBy("key").agg(F.collect_set(F.struct("begin", "stop")).alias("runs"))
     marked = lined.select("key", "n_lines", "at", "gone").join(runs, "key", "left").where(
         F.col("runs").isNotNull() | F.col("gone").contains(F.lit(b"\x01")))
-    return marked.mapInArrow(_masks, "key long, n_removed int, n_left int, mask array<boolean>")
+    masks = written(marked.mapInArrow(_masks, "key long, n_removed int, n_left int, mask array<boolean>"))
+    discard(lined)
+    return masks
 
 
 def _without_lines(docs: DataFrame) -> tuple[DataFrame, str, str, str]:

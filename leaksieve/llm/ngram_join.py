@@ -5,7 +5,9 @@ A document is the set of its distinct word n-grams. Two documents link when
 ``T = ceil(percent * n / 100)`` of its n inverted lists to hold a partner. With its ``T - OFTEN``
 longest lists set aside, a partner must occur in at least ``OFTEN`` of the remaining short lists. So only
 the short lists are merged and occurrences counted (DivideSkip); what a candidate holds of the long
-lists is then found by binary search in its own sorted set of grams.
+lists is then found by binary search in its own sorted set of grams. A pair of sizes m and n needs
+``ceil(percent * (m + n) / (100 + percent))`` common grams, mostly more than T; the lists that are short for
+that number alone are counted for it, so documents that share a frequent passage and no more are not paired.
 
 How it runs:
 
@@ -15,11 +17,13 @@ How it runs:
    share gives the same links, so the counts need not be exact.
 2. A second pass emits the short lists' postings. They are dealt out by gram. Lists of heavy grams
    are dealt out in blocks, so that a gram that a third of all documents hold is no single task.
-3. Round one proposes for each member of a list its neighbours in order of size: pairs in proportion
-   to the postings. Those that share ``OFTEN`` lists, or a long one, are probed; the ones that reach T
-   become links, and the links components.
+3. Round one proposes for each member of a list its neighbours in order of size, in a long list also
+   in two random orders: pairs in proportion to the postings. Those that share ``OFTEN`` lists, or a long
+   one, are probed; the ones that reach T become links, and the links components.
+   Twice more, members of a long list outside its largest component are proposed to a few members of that.
+   Lists with the same first member go to one task, so that lists of one group propose a pair once.
 4. Round two is exact: members of a list that are in different components and of fitting size are
-   all counted, those in ``OFTEN`` common lists probed. A large group of near copies is one component by then and proposes nothing.
+   all counted, those with enough common lists probed. A large group of near copies is one component by then and proposes nothing.
 
 Grams and nodes are 64-bit hashes; grams of different words are equal with a chance of 2**-64 a pair.
 
@@ -38,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leaksieve.llm.arrays import blocks, buffers, mix, signed, words
 from leaksieve.llm.components import components
-from leaksieve.llm.shared import free_name, python_ready, written
+from leaksieve.llm.shared import bucketed, discard, free_name, python_ready, written
 
 #: Grams whose lists count as long for everybody: two numbers each, 4 MB on the driver and in each task.
 HEAVY = 1 << 18
@@ -50,12 +54,15 @@ LIST_BLOCK = 1 << 14
 OFTEN = 4
 #: Members from which a list is long enough for a proposal of round one to need no second list.
 LONG_LIST = 16
-#: Neighbours in order of size that round one proposes for a member of a list.
+#: Neighbours in an order that round one proposes for a member of a list.
 NEIGHBOURS = 2
 
 _PASS_ONE = "kind int, doc_id long, tkey long, node long, n_shingles long, gram long, cnt long"
+#: Members of a list's largest component that a member outside it is proposed to, and how often that is done.
+ATTACHED, ATTACH_ROUNDS = 8, 2
 _PAIRS = "a long, b long, met long"
-_POSTINGS = "gram long, parts int, block int, node long, n int"
+_POSTINGS = "gram long, parts int, block int, node long, n int, pos int"
+_LISTS = f"{_POSTINGS}, head long, is_long int"
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[np.ndarray]:
@@ -88,6 +95,20 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
+def _counts(m, n, pos_m, pos_n, percent: int, often: int = OFTEN):
+    """Whether a list, at these places in the orders of two sets of sizes m and n, is among the short ones of the pair.
+
+    With ``often`` 1: among those of which two linked sets share at least one.
+    """
+    common = needed_by(m, n, percent)
+    return (pos_m < m - common + often) & (pos_n < n - common + often)
+
+
+def needed_by(m, n, percent: int):
+    """How many grams two linked sets of sizes m and n share at least."""
+    return -(-(m + n) * percent // (100 + percent))
+
+
 def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -177,10 +198,12 @@ def _posting_batch(found):
     sizes = [len(p[0]) for p in found]
     parts = np.concatenate([p[1] for p in found])
     nodes = np.repeat(np.array([p[2] for p in found], np.int64), sizes)
+    first = np.cumsum([0, *sizes[:-1]])
     return pa.record_batch({
         "gram": pa.array(signed(np.concatenate([p[0] for p in found]))), "parts": pa.array(parts),
         "block": pa.array(((nodes & 0x7FFFFFFF) % parts).astype(np.int32)), "node": pa.array(nodes),
-        "n": pa.array(np.repeat(np.array([p[3] for p in found], np.int32), sizes))})
+        "n": pa.array(np.repeat(np.array([p[3] for p in found], np.int32), sizes)),
+        "pos": pa.array((np.arange(len(parts)) - np.repeat(first, sizes)).astype(np.int32))})
 
 
 def _lists(batches: Iterator[pa.RecordBatch], *more: str):
@@ -189,7 +212,7 @@ def _lists(batches: Iterator[pa.RecordBatch], *more: str):
     if not held:
         return None
     table = pa.Table.from_batches(held)
-    rows = {c: table.column(c).to_numpy() for c in ("gram", "block", "n", "node", "parts", *more)}
+    rows = {c: table.column(c).to_numpy() for c in ("gram", "block", "n", "node", "parts", "pos", *more)}
     order = np.lexsort((rows["node"], rows["n"], rows["block"], rows["gram"]))
     rows = {c: v[order] for c, v in rows.items()}
     fresh = np.ones(len(order), bool)
@@ -205,7 +228,9 @@ def _merge_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, starts = found
         sizes = np.diff(np.append(starts, len(rows["gram"])))
         keep = np.repeat(sizes > 1, sizes) | (rows["parts"] > 1)
-        yield pa.record_batch({c: pa.array(rows[c][keep]) for c in ("gram", "parts", "block", "node", "n")})
+        rows["head"] = np.repeat(rows["node"][starts], sizes)
+        rows["is_long"] = (np.repeat(sizes >= LONG_LIST, sizes) | (rows["parts"] > 1)).astype(np.int32)
+        yield pa.record_batch({c: pa.array(rows[c][keep]) for c in ("gram", "parts", "block", "node", "n", "pos", "head", "is_long")})
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None) -> pa.RecordBatch:
@@ -220,60 +245,118 @@ def _pair_batch(a: np.ndarray, b: np.ndarray, weight: np.ndarray | None = None)
 
 
 def _neighbours(percent: int):
+    """Proposals of round one: neighbours by size; in long lists also by two orders of hashes, the same in all lists."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if found := _lists(batches):
-            rows, starts = found
-            gram, block, n, node = (rows[c] for c in ("gram", "block", "n", "node"))
-            sizes = np.diff(np.append(starts, len(gram)))
-            weights = np.repeat(np.where(sizes >= LONG_LIST, OFTEN, 1), sizes)
-            left, right, weight = [], [], []
+        found = _lists(batches)
+        if not found:
+            return
+        rows, starts = found
+        sizes = np.diff(np.append(starts, len(rows["gram"])))
+        long = np.repeat(sizes >= LONG_LIST, sizes)
+        left, right, weight = [], [], []
+
+        def propose(rows: dict[str, np.ndarray], in_long: bool) -> None:
+            gram, block, node, n, pos = (rows[c] for c in ("gram", "block", "node", "n", "pos"))
+            n = n.astype(np.int64)
             for k in range(1, NEIGHBOURS + 1):
                 near = (gram[k:] == gram[:-k]) & (block[k:] == block[:-k])
-                near &= n[:-k].astype(np.int64) * 100 >= n[k:].astype(np.int64) * percent
+                near &= (n[:-k] * 100 >= n[k:] * percent) & (n[k:] * 100 >= n[:-k] * percent)
+                if not in_long:
+                    near &= _counts(n[:-k], n[k:], pos[:-k], pos[k:], percent)
                 left.append(node[:-k][near])
                 right.append(node[k:][near])
-                weight.append(weights[k:][near])
-            yield _pair_batch(np.concatenate(left), np.concatenate(right), np.concatenate(weight))
+                weight.append(np.full(len(left[-1]), OFTEN if in_long else 1))
+
+        propose({c: v[~long] for c, v in rows.items()}, False)
+        rows = {c: v[long] for c, v in rows.items()}
+        propose(rows, True)
+        for seed in (1, 2):
+            scattered = mix(rows["node"].view(np.uint64) ^ np.uint64(seed))
+            order = np.lexsort((scattered, rows["block"], rows["gram"]))
+            propose({c: v[order] for c, v in rows.items()}, True)
+        yield _pair_batch(np.concatenate(left), np.concatenate(right), np.concatenate(weight))
+    return run
+
+
+def _attach(percent: int, seed: int):
+    """In long lists: pairs of a member outside the largest component and some members of that."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _lists(batches, "component")
+        if not found:
+            return
+        rows, starts = found
+        left, right = [], []
+        for a, b in zip(starts.tolist(), np.append(starts[1:], len(rows["gram"])).tolist()):
+            if b - a < LONG_LIST:
+                continue
+            node, n = rows["node"][a:b], rows["n"][a:b].astype(np.int64)
+            _, owner, counts = np.unique(rows["component"][a:b], return_inverse=True, return_counts=True)
+            inside = owner == counts.argmax()
+            core, outer = np.flatnonzero(inside), np.flatnonzero(~inside)
+            for k in range(ATTACHED):
+                # The draw depends on the node alone, so that lists of one group draw alike.
+                drawn = core[(mix(node[outer].view(np.uint64) ^ np.uint64(seed << 8 | k)) % np.uint64(len(core))).astype(np.int64)]
+                fits = (n[outer] * 100 >= n[drawn] * percent) & (n[drawn] * 100 >= n[outer] * percent)
+                left.append(node[outer[fits]])
+                right.append(node[drawn[fits]])
+        if left:
+            left, right = np.concatenate(left), np.concatenate(right)
+            yield _pair_batch(left, right, np.full(len(left), OFTEN))
     return run
 
 
 def _across(percent: int):
-    """Pairs of a list's members that are in different components and of fitting size."""
+    """Pairs of a list's members that are in different components and of fitting size, and what the list counts for.
+
+    A long list is worth ``OFTEN`` to pairs that need it among their first lists, and nothing to
+    others. In a short list a pair is worth one, and one for each long list that both may share.
+    The lists of linked sets add up to ``OFTEN``: either their first common list is long, or a
+    short one makes up for the long ones.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = _lists(batches, "component", "copied")
+        found = _lists(batches, "component", "copied", "is_long", "longs")
         if not found:
             return
         rows, starts = found
-        left, right, held = [], [], 0
+        left, right, weight, held = [], [], [], 0
         for a, b in zip(starts.tolist(), np.append(starts[1:], len(rows["gram"])).tolist()):
-            component, copied, node = (rows[c][a:b] for c in ("component", "copied", "node"))
+            component, copied, node, longs, pos = (rows[c][a:b] for c in ("component", "copied", "node", "longs", "pos"))
             if (component == component[0]).all():
                 continue
-            n = rows["n"][a:b].astype(np.int64)
+            n, is_long = rows["n"][a:b].astype(np.int64), rows["is_long"][a]
             # Sizes ascend, so the fitting partners of a member are one range behind it.
             stop = np.searchsorted(n, n * 100 // percent, side="right")
             for i in range(b - a - 1):
                 later = slice(i + 1, stop[i])
-                partners = node[later][(component[later] != component[i]) & ~(copied[later] & copied[i])]
+                fits = (component[later] != component[i]) & _counts(n[i], n[later], pos[i], pos[later], percent, 1 if is_long else OFTEN)
+                fits &= ~(copied[later] & copied[i])
+                partners = node[later][fits]
                 if len(partners):
                     left.append(np.full(len(partners), node[i]))
                     right.append(partners)
+                    weight.append(np.full(len(partners), OFTEN) if is_long else 1 + np.minimum(longs[i], longs[later][fits]))
                     held += len(partners)
-            if held > 1 << 18:
-                yield _pair_batch(np.concatenate(left), np.concatenate(right))
-                left, right, held = [], [], 0
+            if held > 1 << 20:
+                yield _pair_batch(*map(np.concatenate, (left, right, weight)))
+                left, right, weight, held = [], [], [], 0
         if left:
-            yield _pair_batch(np.concatenate(left), np.concatenate(right))
+            yield _pair_batch(*map(np.concatenate, (left, right, weight)))
     return run
 
 
 def _sets(size: int):
+    """The set of each node of a task, once: repeated rows meet in one task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
             nodes, held, total = [], [], 0
             for grams in gram_sets(data, offsets, size):
-                nodes.append(node_of(grams))
+                node = node_of(grams)
+                if node in seen:
+                    continue
+                seen.add(node)
+                nodes.append(node)
                 held.append(grams.tobytes())
                 total += len(held[-1])
                 if total > 1 << 23:
@@ -314,14 +397,15 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     heavy = spark.sparkContext.broadcast((grams[order], top.column("cnt").to_numpy()[order].astype(np.int64)))
 
     postings = texts.select("text").mapInArrow(_postings(size, percent, heavy), _POSTINGS)
-    lists = written(postings.repartition("gram", "block").mapInArrow(_merge_lists, _POSTINGS))
+    lists = written(postings.repartition("gram", "block").mapInArrow(_merge_lists, _LISTS))
 
     # One text of each node stands for it where its set is needed.
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")).alias("r"))
-    shared = lists.groupBy("node").agg(F.count("*").alias("c")).where(F.col("c") >= OFTEN)
-    wanted = nodes.join(shared, "node", "left_semi").select("r.doc_id", "r.tkey")
+    shared = lists.groupBy("node").agg(F.count("*").alias("c"), F.sum("is_long").alias("longs"))
+    wanted = nodes.join(shared.where(F.col("c") >= OFTEN), "node", "left_semi").select("r.doc_id", "r.tkey")
     chosen = texts.alias("t").join(wanted.alias("w"), F.expr("t.tkey = w.tkey AND t.doc_id <=> w.doc_id"), "left_semi")
-    sets = written(chosen.select("text").mapInArrow(_sets(size), "node long, grams binary").dropDuplicates(["node"]))
+    # Bucketed by node: the joins below move pairs and never the table of sets.
+    sets = bucketed(chosen.select("text").mapInArrow(_sets(size), "node long, grams binary"), "node")
 
     def linked(pairs: DataFrame) -> DataFrame:
         often = pairs.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= OFTEN).drop("met")
@@ -332,13 +416,18 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     near = _neighbours(percent)
     # Lists in blocks are dealt out a second time by another hash, which joins what the blocks keep apart.
     dealt_again = lists.where("parts > 1").withColumn("block", F.expr("cast(pmod(xxhash64(node), parts) AS int)"))
-    proposed = lists.repartition("gram", "block").mapInArrow(near, _PAIRS).unionByName(
-        dealt_again.repartition("gram", "block").mapInArrow(near, _PAIRS))
-    first_links = linked(proposed)
+    links = linked(lists.repartition("head").mapInArrow(near, _PAIRS).unionByName(
+        dealt_again.repartition("gram", "block").mapInArrow(near, _PAIRS)))
+
+    def labelled() -> DataFrame:
+        return lists.join(components(links, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    for seed in range(1, ATTACH_ROUNDS + 1):
+        links = links.unionByName(linked(labelled().repartition("head").mapInArrow(_attach(percent, seed), _PAIRS)))
 
-    labelled = lists.join(components(first_links, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    whole = labelled.where("parts = 1").withColumn("copied", F.lit(False))
-    in_blocks = labelled.where("parts > 1")
+    members = written(labelled().join(shared.select("node", "longs"), "node"))
+    whole = members.where("parts = 1").withColumn("copied", F.lit(False))
+    in_blocks = members.where("parts > 1")
     # Of a list in blocks, all but its largest component go to every block, so that each pair meets once.
     largest = in_blocks.groupBy("gram", "component").agg(F.count("*").alias("c")).groupBy("gram").agg(
         F.max_by("component", F.struct("c", "component")).alias("largest"))
@@ -346,10 +435,13 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
         "to", F.when(F.col("component") == F.col("largest"), F.array("block")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.withColumn("to", F.explode("to")).withColumn("copied", (F.col("component") != F.col("largest")) & (F.col("to") > 0))
     placed = placed.drop("block", "largest").withColumnRenamed("to", "block")
-    across = whole.unionByName(placed).repartition("gram", "block").mapInArrow(_across(percent), _PAIRS)
-    links = first_links.unionByName(linked(across))
+    across = whole.repartition("head").mapInArrow(_across(percent), _PAIRS).unionByName(
+        placed.repartition("gram", "block").mapInArrow(_across(percent), _PAIRS))
+    links = links.unionByName(linked(across))
 
     found = components(links, "a", "b")
+    # What follows reads the first pass and the components only.
+    discard(lists, members, sets)
     firsts = nodes.select("node", F.col("r.doc_id").alias("least")).join(found, "node", "left")
     firsts = firsts.withColumn("component", F.coalesce("component", "node"))
     heads = firsts.groupBy("component").agg(F.min("least").alias("component_id"))

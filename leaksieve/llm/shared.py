@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 from leaksieve.deploy import ship_package
 
 
+_recorders: list[list[str]] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; a temporary one only where that is unset on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -17,7 +22,28 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="leaksieve-llm-")
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    folder = f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+    for recorder in _recorders:
+        recorder.append(folder)
+    return folder
+
+
+@contextmanager
+def recorded_folders() -> Iterator[list[str]]:
+    """The folders that operators take in the block, for whoever knows when their results have been used."""
+    folders: list[str] = []
+    _recorders.append(folders)
+    try:
+        yield folders
+    finally:
+        _recorders.remove(folders)
+
+
+def delete_folders(spark: SparkSession, folders: Iterable[str]) -> None:
+    """Deletes folders of ``shared_folder`` in whatever file system they are."""
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(frame: DataFrame) -> DataFrame:
@@ -25,7 +51,26 @@ def written(frame: DataFrame) -> DataFrame:
     spark = frame.sparkSession
     folder = shared_folder(spark)
     frame.write.parquet(folder)
-    return spark.read.schema(frame.schema).parquet(folder)
+    table = spark.read.schema(frame.schema).parquet(folder)
+    table._llm_folder = folder
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` or ``bucketed`` that no plan still to run reads."""
+    for table in tables:
+        delete_folders(table.sparkSession, [table._llm_folder])
+
+
+def bucketed(frame: DataFrame, column: str) -> DataFrame:
+    """The frame as a table in the shared folder, bucketed and sorted by ``column``: joins on it do not shuffle it."""
+    spark = frame.sparkSession
+    name, folder, buckets = f"llm_{uuid.uuid4().hex}", shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = frame.repartition(buckets, column)
+    dealt.write.bucketBy(buckets, column).sortBy(column).option("path", folder).saveAsTable(name)
+    table = spark.table(name)
+    table._llm_folder = folder
+    return table
 
 
 def python_ready(frame: DataFrame) -> DataFrame:
