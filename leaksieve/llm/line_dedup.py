@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from leaksieve.llm.arrays import blocks, buffers, mix, signed, words
-from leaksieve.llm.shared import discard, free_name, python_ready, written
+from leaksieve.llm.shared import discard, free_name, python_ready, tidy, written
 
 GRAM_WORDS = 25
 GUARANTEE = 50
@@ -173,7 +173,7 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(keyed: DataFrame) -> DataFrame:
     """``(key, n_removed, n_left, mask)`` of the rows of ``keyed`` (key, doc_id, text) that lose a line."""
     lined = written(python_ready(keyed).select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-                    .mapInArrow(_lined, _LINED))
+                    .mapInArrow(tidy(_lined), _LINED))
     prints = lined.where(F.size("prints") > 0).select("key", "doc_id", F.explode(F.arrays_zip("prints", "places")).alias("p")).select(
         "key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key").alias("who"), F.col("p.prints").alias("print"),
         F.col("p.places").alias("place"))
@@ -184,7 +184,7 @@ def repeated_lines(keyed: DataFrame) -> DataFrame:
         F.collect_set("place").alias("places"))
     sides = diagonals.join(lined.select(F.col("key").alias("first_key"), F.col("hashes").alias("first_hashes")), "first_key")
     sides = sides.join(lined.select("key", "hashes"), "key")
-    runs = sides.mapInArrow(_extend, "key long, begin int, stop int").groupBy("key").agg(F.collect_set(F.struct("begin", "stop")).alias("runs"))
+    runs = sides.mapInArrow(tidy(_extend), "key long, begin int, stop int").groupBy("key").agg(F.collect_set(F.struct("begin", "stop")).alias("runs"))
     marked = lined.select("key", "n_lines", "at", "gone").join(runs, "key", "left").where(
         F.col("runs").isNotNull() | F.col("gone").contains(F.lit(b"\x01")))
     masks = written(marked.mapInArrow(_masks, "key long, n_removed int, n_left int, mask array<boolean>"))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from leaksieve.llm.arrays import blocks, buffers, mix, signed, words
 from leaksieve.llm.components import components
-from leaksieve.llm.shared import bucketed, discard, free_name, python_ready, written
+from leaksieve.llm.shared import bucketed, discard, free_name, python_ready, tidy, written
 
 #: Grams whose lists count as long for everybody: two numbers each, 4 MB on the driver and in each task.
 HEAVY = 1 << 18
@@ -388,7 +388,7 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (doc_id, text); see the module."""
     spark = python_ready(docs).sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), F.col("text").cast("string").alias("text"))
-    scanned = written(texts.mapInArrow(_scan(size), _PASS_ONE))
+    scanned = written(texts.mapInArrow(tidy(_scan(size)), _PASS_ONE))
     rows = scanned.where("kind = 0").select("doc_id", "tkey", "node", "n_shingles")
 
     top = scanned.where("kind = 1").groupBy("gram").agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "gram").limit(HEAVY).toArrow()
@@ -396,8 +396,8 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     order = np.argsort(grams)
     heavy = spark.sparkContext.broadcast((grams[order], top.column("cnt").to_numpy()[order].astype(np.int64)))
 
-    postings = texts.select("text").mapInArrow(_postings(size, percent, heavy), _POSTINGS)
-    lists = written(postings.repartition("gram", "block").mapInArrow(_merge_lists, _LISTS))
+    postings = texts.select("text").mapInArrow(tidy(_postings(size, percent, heavy)), _POSTINGS)
+    lists = written(postings.repartition("gram", "block").mapInArrow(tidy(_merge_lists), _LISTS))
 
     # One text of each node stands for it where its set is needed.
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")).alias("r"))
@@ -405,13 +405,13 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     wanted = nodes.join(shared.where(F.col("c") >= OFTEN), "node", "left_semi").select("r.doc_id", "r.tkey")
     chosen = texts.alias("t").join(wanted.alias("w"), F.expr("t.tkey = w.tkey AND t.doc_id <=> w.doc_id"), "left_semi")
     # Bucketed by node: the joins below move pairs and never the table of sets.
-    sets = bucketed(chosen.select("text").mapInArrow(_sets(size), "node long, grams binary"), "node")
+    sets = bucketed(chosen.select("text").mapInArrow(tidy(_sets(size)), "node long, grams binary"), "node")
 
     def linked(pairs: DataFrame) -> DataFrame:
         often = pairs.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= OFTEN).drop("met")
         sides = often.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
         sides = sides.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
-        return written(sides.mapInArrow(_probe(percent), "a long, b long"))
+        return written(sides.mapInArrow(tidy(_probe(percent)), "a long, b long"))
 
     near = _neighbours(percent)
     # Lists in blocks are dealt out a second time by another hash, which joins what the blocks keep apart.

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from leaksieve.llm.chunks import broadcast_vocabulary, encoded, library_encode, worker_encoder
-from leaksieve.llm.shared import written
+from leaksieve.llm.shared import tidy, written
 
 #: Pieces that one task packs, about. A piece is one narrow row.
 GROUP = 1 << 14
@@ -214,7 +214,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, capacity: int = 4096,
     """One row per piece of every row of ``docs`` (doc_id, text): its place in the document, and its sequence and place there."""
     vocabulary = broadcast_vocabulary(docs, vocabulary_path)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pieces = written(texts.mapInArrow(_pieces(vocabulary, end_id, capacity), _PIECES))
+    pieces = written(texts.mapInArrow(tidy(_pieces(vocabulary, end_id, capacity)), _PIECES))
     groups = max(1, -(-pieces.count() // GROUP))
     # Dealt out in turn, not by a key: no key's rows meet in one task, and every task gets its GROUP pieces.
     return pieces.repartition(groups).mapInArrow(_pack(capacity), f"{_PIECES}, sequence_id long, offset long")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leaksieve.llm.arrays import blocks, buffers, mix, tokens
 from leaksieve.llm.samples import labelled_sample, remainder
-from leaksieve.llm.shared import free_name, python_ready
+from leaksieve.llm.shared import free_name, python_ready, tidy
 
 BUCKETS, SIZE, NONZERO, WINDOW = 1 << 15, 32, 4, 2
 FIT_ROWS = 6000
@@ -158,7 +158,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: in
 
 def quality_score(model, text: str = "text") -> Column:
     """The score of a text column: an Arrow function over batches."""
-    return F.arrow_udf(_score(model), "double", F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("string"))
+    return F.arrow_udf(tidy(_score(model)), "double", F.ArrowUDFType.SCALAR_ITER)(F.col(text).cast("string"))
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, divisor: int = 3, left_out: int = 1) -> DataFrame:

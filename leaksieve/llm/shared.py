@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager, suppress
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from leaksieve.deploy import ship_package
 
 
+BATCH_BYTES = "8m"
+
 _recorders: list[list[str]] = []
 
 
@@ -46,11 +50,36 @@ def delete_folders(spark: SparkSession, folders: Iterable[str]) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of texts for Python of at most ``BATCH_BYTES``, which a task holds several times."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, BATCH_BYTES)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` as a task's function that gives the memory it used back to the system, as Spark keeps its worker."""
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with suppress(OSError, AttributeError):  # only the GNU library has it
+                ctypes.CDLL(None).malloc_trim(0)
+    return tidied
+
+
 def written(frame: DataFrame) -> DataFrame:
     """The frame written once as Parquet in the shared folder and read back."""
     spark = frame.sparkSession
     folder = shared_folder(spark)
-    frame.write.parquet(folder)
+    with _small_batches(spark):
+        frame.write.parquet(folder)
     table = spark.read.schema(frame.schema).parquet(folder)
     table._llm_folder = folder
     return table
@@ -67,7 +96,8 @@ def bucketed(frame: DataFrame, column: str) -> DataFrame:
     spark = frame.sparkSession
     name, folder, buckets = f"llm_{uuid.uuid4().hex}", shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = frame.repartition(buckets, column)
-    dealt.write.bucketBy(buckets, column).sortBy(column).option("path", folder).saveAsTable(name)
+    with _small_batches(spark):
+        dealt.write.bucketBy(buckets, column).sortBy(column).option("path", folder).saveAsTable(name)
     table = spark.table(name)
     table._llm_folder = folder
     return table

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from leaksieve.llm.chunks import broadcast_vocabulary, encoded, library_encode, worker_encoder
-from leaksieve.llm.shared import python_ready, shared_folder, written
+from leaksieve.llm.shared import python_ready, shared_folder, tidy, written
 
 MAGIC = b"LSIDS1\0\0"
 _HEADER = struct.Struct("<8sIIQQ")  # magic, bits per id, ids per block, documents, ids
@@ -174,7 +174,7 @@ def write_token_files(docs: DataFrame, vocabulary_path: str, vocabulary_size: in
                        F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row"))
     placed = rows.repartitionByRange("doc_id", "h", "row").sortWithinPartitions("doc_id", "h", "row").select("doc_id", "text")
     vocabulary = broadcast_vocabulary(docs, vocabulary_path)
-    manifest = written(placed.mapInArrow(_write(vocabulary, folder, end_id, bits_for(vocabulary_size)), _MANIFEST))
+    manifest = written(placed.mapInArrow(tidy(_write(vocabulary, folder, end_id, bits_for(vocabulary_size))), _MANIFEST))
     # One narrow row for some megabytes of ids: their running sum is a small table's.
     order = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(order), F.lit(0)))

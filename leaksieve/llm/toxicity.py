@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from leaksieve.llm.arrays import blocks, buffers
 from leaksieve.llm.samples import labelled_sample, remainder
-from leaksieve.llm.shared import python_ready
+from leaksieve.llm.shared import python_ready, tidy
 
 GRAMS = (3, 4)
 BITS, SIZE = 17, 8
@@ -167,6 +167,6 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_from: Column, rows: i
 def classify_toxicity(docs: DataFrame, labels: DataFrame, divisor: int = 5, left_out: int = 0) -> DataFrame:
     """``(doc_id, held_out, score, predicted)`` for every row; labels of ids with that remainder are not learned from."""
     model = fit_toxicity(docs, labels, remainder(divisor) != left_out)
-    score = F.arrow_udf(_score(model), "double", F.ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string"))
+    score = F.arrow_udf(tidy(_score(model)), "double", F.ArrowUDFType.SCALAR_ITER)(F.col("text").cast("string"))
     scored = docs.select("doc_id", F.coalesce(remainder(divisor) == left_out, F.lit(False)).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
