@@ -92,7 +92,9 @@ def quality_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Data
     scored = with_base_rules(docs.select("doc_id", "text", "source")).select("doc_id", "source", "rules.*")
     scored = written(scored)
     hosts = host_verdicts(scored, "source", F.col("base_failed"), max_host_rate)
-    joined = scored.join(hosts.select(F.col("host").alias("source"), "rejected"), "source", "left")
+    # Written first: Spark knows the verdicts' size then and moves the documents only if there are very many hosts.
+    rejected = written(hosts.where("rejected").select(F.col("host").alias("source"), "rejected"))
+    joined = scored.join(rejected, "source", "left")
     return joined.select("doc_id", *BASE, "base_failed", (~F.col("base_failed") & ~F.coalesce("rejected", F.lit(False))).alias("kept"))
 
 
@@ -101,5 +103,5 @@ def keep_by_rules(docs: DataFrame, max_host_rate: float = MAX_HOST_RATE) -> Data
     mark = free_name(docs, "_rules")
     scored = written(with_base_rules(docs, into=mark).withColumn(mark, F.col(mark)["base_failed"]))
     hosts = host_verdicts(scored, "source", F.col(mark), max_host_rate)
-    rejected = hosts.where("rejected").select(F.col("host").alias("source"))
+    rejected = written(hosts.where("rejected").select(F.col("host").alias("source")))
     return scored.where(~F.col(mark)).join(rejected, "source", "left_anti").select(*docs.columns)
