@@ -4,8 +4,8 @@ Vectors get one more component, ``sqrt(M**2 - |x|**2)`` with M the largest lengt
 product is a smaller distance. They are turned by a random rotation, so that the distance over the first d
 of D dimensions, times D / d, estimates the whole one. k-means on a bounded sample makes the lists.
 
-A list is scanned in column blocks. The exact distances to its first vectors give each query a
-threshold. After each column block a pair is dropped when its estimate exceeds the threshold by more than the
+A list is scanned in column blocks. The exact distances to some vectors of the sample and to the list's first give
+each query a threshold. After each column block a pair is dropped when its estimate exceeds the threshold by more than the
 estimate's error allows (factor ``1 + ERROR / sqrt(d)``); only pairs that are left go on to the next block. Pairs that reach the
 end get their exact inner product, in double precision on the original vectors.
 
@@ -35,6 +35,10 @@ MAX_LISTS = 1 << 10
 RECALL = 0.96
 VECTORS, QUERIES = 1 << 12, 1 << 10
 COLUMNS = 16
+#: Vectors of the sample by which a query's distance to its k-th neighbour is bounded before any list is scanned.
+ANCHORS = 1 << 13
+#: One pair in so many must be left for a column block to be a matrix product.
+FEW = 16
 ERROR = 2.1
 
 
@@ -44,6 +48,8 @@ class Index:
     largest: float  # M squared
     centres: np.ndarray
     probes: int
+    anchors: np.ndarray | None = None  # turned vectors of the sample, which limit a query's distances, and their lists
+    anchor_lists: np.ndarray | None = None
 
     def turned(self, vectors: np.ndarray, queries: bool = False) -> np.ndarray:
         """Vectors with the additional component (0 for queries), rotated."""
@@ -79,6 +85,8 @@ def fit_index(sample: np.ndarray, rows: int, largest: float, k: int, seed: int =
     picked = rng.choice(len(sample), min(256, len(sample)), replace=False)
     scores = sample[picked] @ sample.T
     scores[np.arange(len(picked)), picked] = -np.inf
+    chosen = rng.choice(len(turned), min(ANCHORS, len(turned)), replace=False)
+    index.anchors, index.anchor_lists = turned[chosen], owner[chosen]
     k = min(k, len(sample) - 1)
     if k > 0 and lists > 1:
         true = np.argpartition(-scores, k - 1, axis=1)[:, :k]
@@ -104,44 +112,64 @@ def _vector_lists(index):
     return run
 
 
-def _query_lists(index):
+def _query_lists(index, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                found = index.value.nearest(index.value.turned(_matrix(part.column("vec")), queries=True), index.value.probes)
+                turned = index.value.turned(_matrix(part.column("vec")), queries=True)
+                found = index.value.nearest(turned, index.value.probes)
+                limit = np.full(part.num_rows, np.inf)
+                if len(index.value.anchors) > k:
+                    # Of the lists that are probed, so that as many vectors are found within the limit.
+                    probed = np.zeros((part.num_rows, len(index.value.centres)), bool)
+                    np.put_along_axis(probed, found, True, axis=1)
+                    near = np.where(probed[:, index.value.anchor_lists], _distances(turned, index.value.anchors), np.inf)
+                    limit = np.partition(near, k, axis=1)[:, k]
                 rows = pa.array(np.repeat(np.arange(part.num_rows), found.shape[1]))
                 yield pa.record_batch({"query_id": part.column("vec_id").take(rows), "list": pa.array(found.ravel(), pa.int32()),
-                                       "vec": part.column("vec").take(rows)})
+                                       "vec": part.column("vec").take(rows), "limit": pa.array(limit).take(rows)})
     return run
 
 
-def scan_block(index: Index, queries: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query row, vector row) of a block that the adaptive scan does not drop."""
+def scan_block(index: Index, queries: np.ndarray, vectors: np.ndarray, k: int, limit: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query row, vector row) of a block that the adaptive scan does not drop.
+
+    ``limit`` is a distance within which each query has ``k`` vectors somewhere; the block's first vectors may give a smaller one.
+    """
     q, x = index.turned(queries, queries=True), index.turned(vectors)
-    size, n = x.shape[1], len(x)
-    first = min(n, max(2 * k, 64))
-    whole = (q ** 2).sum(1)[:, None] + (x[:first] ** 2).sum(1)[None] - 2 * q @ x[:first].T
-    if n <= first:
-        limit = np.full(len(q), np.inf)
-    else:
-        limit = np.partition(whole, k - 1, axis=1)[:, k - 1]
-    # The first column block is one matrix product; later ones only see pairs that are left.
-    d = min(COLUMNS, size)
-    part = (q[:, :d] ** 2).sum(1)[:, None] + (x[:, :d] ** 2).sum(1)[None] - 2 * q[:, :d] @ x[:, :d].T
-    limit = limit * (1 + 1e-9) + 1e-9
-    rows, columns = np.nonzero(part * (size / d) <= (limit * (1 + ERROR / np.sqrt(d)) ** 2)[:, None])
+    size, first = x.shape[1], min(len(x), max(2 * k, 64))
+    limit = np.full(len(q), np.inf) if limit is None else limit
+    if first >= k:
+        limit = np.minimum(limit, np.partition(_distances(q, x[:first]), k - 1, axis=1)[:, k - 1])
+    limit = (limit * (1 + 1e-9) + 1e-9)[:, None]
+    part, left, d = np.zeros((len(q), len(x))), np.ones((len(q), len(x)), bool), 0
+    # While many pairs are left, a column block is one matrix product for all of them.
+    while d < size and left.sum() * FEW > left.size:
+        e = min(d + COLUMNS, size)
+        part += _distances(q[:, d:e], x[:, d:e])
+        d = e
+        left &= part <= limit * _slack(d, size)
+    rows, columns = np.nonzero(left)
     partial = part[rows, columns]
     while d < size and len(rows):
         e = min(d + COLUMNS, size)
         partial = partial + ((q[rows, d:e] - x[columns, d:e]) ** 2).sum(1)
         d = e
-        slack = 1.0 if d == size else (1 + ERROR / np.sqrt(d)) ** 2 * d / size
-        stays = partial <= limit[rows] * slack
+        stays = partial <= limit[rows, 0] * _slack(d, size)
         rows, columns, partial = rows[stays], columns[stays], partial[stays]
     return rows, columns
 
 
+def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    return (q ** 2).sum(1)[:, None] + (x ** 2).sum(1)[None] - 2 * (q @ x.T)
+
+
+def _slack(d: int, size: int) -> float:
+    """How large the part of a distance over d of all dimensions may be, as a share of the limit."""
+    return 1.0 if d == size else (1 + ERROR / np.sqrt(d)) ** 2 * d / size
+
+
 def _scan(index, k: int):
     schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -159,7 +187,7 @@ def _scan(index, k: int):
             nth = np.arange(len(x)) - np.repeat(np.cumsum(counts) - counts, counts)
             keep = np.sort(by_group[nth <= k])
             ids, x = ids[keep], x[keep]
-        rows, columns = scan_block(index.value, q, x, k + 1)
+        rows, columns = scan_block(index.value, q, x, k + 1, queries.column("limit").to_numpy())
         names = queries.column("query_id").to_numpy()
         other = names[rows] != ids[columns]
         rows, columns = rows[other], columns[other]
@@ -190,7 +218,7 @@ def nearest(table: DataFrame, is_query: Column, k: int = 20, vec_id: str = "vec_
     index = spark.sparkContext.broadcast(fitted)
 
     vectors = written(rows.mapInArrow(_vector_lists(index), "vec_id long, list int, vec array<double>"))
-    queries = written(rows.where(is_query).mapInArrow(_query_lists(index), "query_id long, list int, vec array<double>"))
+    queries = written(rows.where(is_query).mapInArrow(_query_lists(index, k), "query_id long, list int, vec array<double>, limit double"))
     # At most MAX_LISTS rows: how many blocks of vectors and of queries each list has.
     blocks = vectors.groupBy("list").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("nv")).join(
         queries.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("nq")), "list")
