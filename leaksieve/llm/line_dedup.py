@@ -1,16 +1,16 @@
-"""Deletes passages of lines that stand in an earlier document, or earlier in the same one, by winnowing.
+"""Deletes passages of lines that stand in an earlier document, or earlier in the same one.
 
-Lines are compared by their words; lines without a word are no part of a passage. A gram is the shortest
-run of lines from a given line with at least ``GRAM_WORDS`` words. Each shortest run of lines with at least
-``GUARANTEE`` words is a window, and of the grams within it the one with the smallest hash is
-a fingerprint. Equal passages hold equal windows and so share a fingerprint: a passage of
-``GUARANTEE`` words or more that stands in two documents is always found, although few grams are kept.
+Lines are compared by their words; lines without a word are no part of a passage. A gram is a run of lines
+with at least ``GRAM_WORDS`` words that is the shortest such run from its first line or up to its last one. A line
+goes if a gram that holds it stands in an earlier document or earlier in its own. Every line of a passage of
+``GRAM_WORDS`` words or more lies in a gram within the passage, and whether a run is a gram is decided by its own lines:
+so a passage of that length that stood before goes whole, wherever and however often its parts stand otherwise.
+A passage of ``GUARANTEE`` words, which callers may rely on, is longer than that.
 
-How it runs: one pass over the texts gives line hashes and fingerprints, without texts. A rollup with
-partial sums gives each fingerprint's first occurrence, which is joined back to the later ones: one
-row per later occurrence, never the pairs of a group. Matches on one diagonal of two documents are one row; the
-two lists of line hashes are joined to it and the matches extended both ways as far as lines are equal.
-The lines of later documents go, as do lines of grams that repeat within a document.
+How it runs: one pass over the texts gives the hash, first and last line of each document's grams, without texts and
+at most two for a line; a gram that repeats within a document is given once, at its first place, and its other places are
+marked at once. A rollup with partial sums gives each gram's first document, which is joined back to the later ones: one
+row per later document that holds the gram, never the pairs of a group.
 
 Order: ``doc_id`` (null last), then the row's place in the input; the earliest copy of a line stays.
 
@@ -33,7 +33,7 @@ from leaksieve.llm.shared import discard, free_name, python_ready, tidy, written
 GRAM_WORDS = 25
 GUARANTEE = 50
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_LINED = "key long, doc_id long, n_lines int, at array<int>, hashes binary, gone binary, prints array<long>, places array<int>"
+_LINED = "key long, doc_id long, n_lines int, at array<int>, gone binary, prints array<long>, begins array<int>, stops array<int>"
 
 
 def _odd_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,39 +62,21 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def grams_of(line: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The gram from each line: its hash, the line behind its end, and the line behind the window from there.
-
-    Ends beyond the text are 0: there is no such gram or window.
-    """
-    stop = np.repeat(first[1:], np.diff(first))
+    """Of every gram, by its first line: its hash, its first line, and the line behind its last."""
+    n = np.diff(first)
+    start, stop = np.repeat(first[:-1], n), np.repeat(first[1:], n)
     total = np.concatenate([[0], np.cumsum(sizes)])
     end = np.searchsorted(total, total[:-1] + GRAM_WORDS)
-    window = np.searchsorted(total, total[:-1] + GUARANTEE)
-    end, window = np.where(end <= stop, end, 0), np.where(window <= stop, window, 0)
+    begin = np.searchsorted(total, total[1:] - GRAM_WORDS, side="right") - 1
+    at, last = np.flatnonzero(end <= stop), np.flatnonzero(begin >= start)
+    # Runs that are the shortest both ways are taken once.
+    last = last[end[begin[last]] != last + 1]
+    begins, ends = np.concatenate([at, begin[last]]), np.concatenate([end[at], last + 1])
+    order = np.lexsort((ends, begins))
+    begins, ends = begins[order], ends[order]
     power, inverse = _odd_powers(len(line))
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(line * power[:-1], dtype=np.uint64)])
-    gram = mix((sums[end] - sums[:-1]) * inverse[:-1])
-    return np.where(end > 0, gram, np.uint64(0xFFFFFFFFFFFFFFFF)), end, window
-
-
-def winnow(gram: np.ndarray, end: np.ndarray, window: np.ndarray) -> np.ndarray:
-    """Places of the fingerprints: the last smallest gram within each window."""
-    at = np.flatnonzero(window > 0)
-    if not len(at):
-        return at
-    best, k = at.copy(), 1
-    live = np.arange(len(at))
-    while True:
-        other = at[live] + k
-        inside = other < len(gram)
-        live, other = live[inside], other[inside]
-        inside = (end[other] > 0) & (end[other] <= window[at[live]])
-        live, other = live[inside], other[inside]
-        if not len(live):
-            return np.unique(best)
-        better = gram[other] <= gram[best[live]]
-        best[live[better]] = other[better]
-        k += 1
+    return mix((sums[ends] - sums[begins]) * inverse[begins]), begins, ends
 
 
 def _cover(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
@@ -108,45 +90,27 @@ def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = buffers(batch.column("text"))
         for a, b in blocks(offsets):
             line, sizes, number, first, n_lines = lines_of(data, offsets[a:b + 1])
-            gram, end, window = grams_of(line, sizes, first)
+            gram, begins, ends = grams_of(line, sizes, first)
             text = np.repeat(np.arange(b - a), np.diff(first))
             # Grams that stood earlier in the same text.
-            order = np.lexsort((gram, text))
-            order = order[end[order] > 0]
+            owner = text[begins]
+            order = np.lexsort((gram, owner))
             again = np.zeros(len(order), bool)
-            again[1:] = (gram[order][1:] == gram[order][:-1]) & (text[order][1:] == text[order][:-1])
+            again[1:] = (gram[order][1:] == gram[order][:-1]) & (owner[order][1:] == owner[order][:-1])
             repeated = order[again]
-            gone = _cover(repeated, end[repeated], len(line))
-            prints = np.setdiff1d(winnow(gram, end, window), repeated, assume_unique=True)
-            print_first = np.searchsorted(prints, first)
-            inner = np.arange(len(line)) - first[text]
-            whole, marks = line.tobytes(), gone.astype(np.uint8).tobytes()
+            gone = _cover(begins[repeated], ends[repeated], len(line))
+            prints = np.sort(order[~again])
+            print_first = np.searchsorted(owner[prints], np.arange(b - a + 1)).astype(np.int32)
+            shift = first[owner[prints]]
+            marks = gone.astype(np.uint8).tobytes()
             yield pa.record_batch({
                 "key": batch.column("key").slice(a, b - a), "doc_id": batch.column("doc_id").slice(a, b - a),
                 "n_lines": pa.array(n_lines.astype(np.int32)),
                 "at": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32))),
-                "hashes": pa.array([whole[8 * x:8 * y] for x, y in zip(first[:-1], first[1:])], pa.binary()),
                 "gone": pa.array([marks[x:y] for x, y in zip(first[:-1], first[1:])], pa.binary()),
-                "prints": pa.ListArray.from_arrays(pa.array(print_first.astype(np.int32)), pa.array(signed(gram[prints]))),
-                "places": pa.ListArray.from_arrays(pa.array(print_first.astype(np.int32)), pa.array(inner[prints].astype(np.int32)))})
-
-
-def _extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each row's matches on one diagonal: the runs of equal lines around them, in the later document."""
-    for batch in batches:
-        keys, begins, stops = [], [], []
-        for i, (key, shift, places) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("key", "shift", "places")))):
-            later = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
-            earlier = np.frombuffer(batch.column("first_hashes")[i].as_buffer(), np.uint64)
-            low, high = max(0, shift), min(len(later), len(earlier) + shift)
-            equal = np.concatenate([[False], later[low:high] == earlier[low - shift:high - shift], [False]])
-            edges = np.flatnonzero(equal[1:] != equal[:-1]) + low
-            runs = np.unique(np.searchsorted(edges[::2], np.array(places), side="right") - 1)
-            runs = runs[runs >= 0]
-            keys += [key] * len(runs)
-            begins += edges[::2][runs].tolist()
-            stops += edges[1::2][runs].tolist()
-        yield pa.record_batch({"key": pa.array(keys, pa.int64()), "begin": pa.array(begins, pa.int32()), "stop": pa.array(stops, pa.int32())})
+                "prints": pa.ListArray.from_arrays(pa.array(print_first), pa.array(signed(gram[prints]))),
+                "begins": pa.ListArray.from_arrays(pa.array(print_first), pa.array((begins[prints] - shift).astype(np.int32))),
+                "stops": pa.ListArray.from_arrays(pa.array(print_first), pa.array((ends[prints] - shift).astype(np.int32)))})
 
 
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,17 +138,12 @@ def repeated_lines(keyed: DataFrame) -> DataFrame:
     """``(key, n_removed, n_left, mask)`` of the rows of ``keyed`` (key, doc_id, text) that lose a line."""
     lined = written(python_ready(keyed).select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                     .mapInArrow(tidy(_lined), _LINED))
-    prints = lined.where(F.size("prints") > 0).select("key", "doc_id", F.explode(F.arrays_zip("prints", "places")).alias("p")).select(
+    prints = lined.where(F.size("prints") > 0).select("key", "doc_id", F.explode(F.arrays_zip("prints", "begins", "stops")).alias("p")).select(
         "key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key").alias("who"), F.col("p.prints").alias("print"),
-        F.col("p.places").alias("place"))
-    firsts = prints.groupBy("print").agg(F.min(F.struct("who", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
-    firsts = firsts.select("print", F.col("first.who.key").alias("first_key"), F.col("first.place").alias("first_place"))
-    matches = prints.join(firsts, "print").where("key <> first_key")
-    diagonals = matches.groupBy("key", "first_key", (F.col("place") - F.col("first_place")).alias("shift")).agg(
-        F.collect_set("place").alias("places"))
-    sides = diagonals.join(lined.select(F.col("key").alias("first_key"), F.col("hashes").alias("first_hashes")), "first_key")
-    sides = sides.join(lined.select("key", "hashes"), "key")
-    runs = sides.mapInArrow(tidy(_extend), "key long, begin int, stop int").groupBy("key").agg(F.collect_set(F.struct("begin", "stop")).alias("runs"))
+        F.col("p.begins").alias("begin"), F.col("p.stops").alias("stop"))
+    firsts = prints.groupBy("print").agg(F.min("who").alias("first"), F.count("*").alias("n")).where("n > 1")
+    matches = prints.select("key", "print", "begin", "stop").join(firsts.select("print", F.col("first.key").alias("first_key")), "print")
+    runs = matches.where("key <> first_key").groupBy("key").agg(F.collect_list(F.struct("begin", "stop")).alias("runs"))
     marked = lined.select("key", "n_lines", "at", "gone").join(runs, "key", "left").where(
         F.col("runs").isNotNull() | F.col("gone").contains(F.lit(b"\x01")))
     masks = written(marked.mapInArrow(_masks, "key long, n_removed int, n_left int, mask array<boolean>"))
@@ -198,7 +157,8 @@ def _without_lines(docs: DataFrame) -> tuple[DataFrame, str, str, str]:
     keyed = written(docs.withColumn(key, F.monotonically_increasing_id()))
     found = repeated_lines(keyed.select(F.col(key).alias("key"), "doc_id", "text")).select(
         F.col("key").alias(key), F.col("n_removed").alias(removed), F.col("n_left").alias(left), F.col("mask").alias(mask))
-    joined = keyed.join(found, key, "left")
+    # One plan for all sizes: the masks grow with the table, so that a broadcast of them would hold for small tables only.
+    joined = keyed.join(found.hint("merge"), key, "left")
     lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.get(F.col(mask), i))
     return joined.withColumn("text", F.when(F.col(mask).isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))).drop(mask), key, removed, left
 

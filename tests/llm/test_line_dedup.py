@@ -126,3 +126,23 @@ def test_stage_keeps_columns(spark):
 def test_empty_table(spark):
     assert dedup_lines(empty_frame(spark)).collect() == []
     assert keep_first_lines(empty_frame(spark)).collect() == []
+
+
+def line(name, n=30):
+    return " ".join(f"{name}{j}" for j in range(n))
+
+
+def test_passage_whose_lines_stand_earlier_in_its_text(spark):
+    """Frequent and doubled lines: each line of a window that stands in an earlier row goes, whatever stands elsewhere."""
+    rng = random.Random(4)
+    g, x, y, z = (line(c) for c in "gxyz")
+    for m in (line(f"m{k}") for k in range(8)):
+        assert run(spark, [(0, "\n".join([g, x, g, m])), (1, "\n".join([y, g, m, z]))])[1] == "\n".join([y, z])
+        assert run(spark, [(0, "\n".join([g, g, m])), (1, "\n".join([y, g, g, m, z]))])[1] == "\n".join([y, z])
+    pool = [line(f"l{k}w", rng.randrange(5, 40)) for k in range(9)]
+    rows = [(i, "\n".join([f"own {i}", *rng.choices(pool, [8, 4, *[1] * 7], k=rng.randrange(4, 12))])) for i in range(25)]
+    must = guaranteed(rows)
+    for r, ((_, text), left) in enumerate(zip(rows, run(spark, rows))):
+        keeps = Counter(left.split("\n"))
+        stays = Counter(x for i, x in enumerate(text.split("\n")) if not any(q == r and k == i for q, k, _ in must))
+        assert keeps <= stays
