@@ -146,3 +146,10 @@ def test_passage_whose_lines_stand_earlier_in_its_text(spark):
         keeps = Counter(left.split("\n"))
         stays = Counter(x for i, x in enumerate(text.split("\n")) if not any(q == r and k == i for q, k, _ in must))
         assert keeps <= stays
+
+
+def test_passage_goes_whole_where_an_earlier_text_holds_a_part(spark):
+    """The first occurrence of some lines has only those; a text between holds the whole passage."""
+    for m in (line(f"m{k}") for k in range(8)):
+        texts = [line("g") + "\n" + line("x"), "\n".join([line("y"), line("g"), m]), "\n".join([line("z"), line("g"), m, line("u")])]
+        assert run(spark, list(enumerate(texts)))[2] == line("z") + "\n" + line("u")
