@@ -50,7 +50,7 @@ HEAVY = 1 << 18
 HEAVY_PER_TASK = 1 << 14
 #: Postings of a heavy gram in one block, about.
 LIST_BLOCK = 1 << 14
-#: Short lists that two linked documents share at least. Sets of six grams, the smallest that can link, need six.
+#: Short lists that two linked documents share at least, or fewer where ``enough`` says that the smallest that can link have fewer.
 OFTEN = 4
 #: Members from which a list is long enough for a proposal of round one to need no second list.
 LONG_LIST = 16
@@ -95,7 +95,7 @@ def needed(n, percent: int):
     return -(-n * percent // 100)
 
 
-def _counts(m, n, pos_m, pos_n, percent: int, often: int = OFTEN):
+def _counts(m, n, pos_m, pos_n, percent: int, often: int):
     """Whether a list, at these places in the orders of two sets of sizes m and n, is among the short ones of the pair.
 
     With ``often`` 1: among those of which two linked sets share at least one.
@@ -109,6 +109,12 @@ def needed_by(m, n, percent: int):
     return -(-(m + n) * percent // (100 + percent))
 
 
+def enough(percent: int) -> int:
+    """``OFTEN``, or the grams that the smallest different sets that can link have in common, if these are fewer."""
+    least = max(1, -(-percent // (100 - percent))) if percent < 100 else OFTEN
+    return min(OFTEN, max(1, needed_by(least, least, percent)))
+
+
 def _scan(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted, totals = np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -169,7 +175,7 @@ def _postings(size: int, percent: int, heavy):
                     continue
                 if len(seen) < 1 << 17:
                     seen.add(node)
-                parts.append(_short_lists(grams, node, n - needed(n, percent) + OFTEN, known, weight))
+                parts.append(_short_lists(grams, node, n - needed(n, percent) + enough(percent), known, weight))
                 held += len(parts[-1][0])
                 if held > 1 << 18:
                     yield _posting_batch(parts)
@@ -262,10 +268,10 @@ def _neighbours(percent: int):
                 near = (gram[k:] == gram[:-k]) & (block[k:] == block[:-k])
                 near &= (n[:-k] * 100 >= n[k:] * percent) & (n[k:] * 100 >= n[:-k] * percent)
                 if not in_long:
-                    near &= _counts(n[:-k], n[k:], pos[:-k], pos[k:], percent)
+                    near &= _counts(n[:-k], n[k:], pos[:-k], pos[k:], percent, enough(percent))
                 left.append(node[:-k][near])
                 right.append(node[k:][near])
-                weight.append(np.full(len(left[-1]), OFTEN if in_long else 1))
+                weight.append(np.full(len(left[-1]), enough(percent) if in_long else 1))
 
         propose({c: v[~long] for c, v in rows.items()}, False)
         rows = {c: v[long] for c, v in rows.items()}
@@ -301,16 +307,16 @@ def _attach(percent: int, seed: int):
                 right.append(node[drawn[fits]])
         if left:
             left, right = np.concatenate(left), np.concatenate(right)
-            yield _pair_batch(left, right, np.full(len(left), OFTEN))
+            yield _pair_batch(left, right, np.full(len(left), enough(percent)))
     return run
 
 
 def _across(percent: int):
     """Pairs of a list's members that are in different components and of fitting size, and what the list counts for.
 
-    A long list is worth ``OFTEN`` to pairs that need it among their first lists, and nothing to
+    A long list is worth ``enough`` to pairs that need it among their first lists, and nothing to
     others. In a short list a pair is worth one, and one for each long list that both may share.
-    The lists of linked sets add up to ``OFTEN``: either their first common list is long, or a
+    The lists of linked sets add up to ``enough``: either their first common list is long, or a
     short one makes up for the long ones.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -328,13 +334,13 @@ def _across(percent: int):
             stop = np.searchsorted(n, n * 100 // percent, side="right")
             for i in range(b - a - 1):
                 later = slice(i + 1, stop[i])
-                fits = (component[later] != component[i]) & _counts(n[i], n[later], pos[i], pos[later], percent, 1 if is_long else OFTEN)
+                fits = (component[later] != component[i]) & _counts(n[i], n[later], pos[i], pos[later], percent, 1 if is_long else enough(percent))
                 fits &= ~(copied[later] & copied[i])
                 partners = node[later][fits]
                 if len(partners):
                     left.append(np.full(len(partners), node[i]))
                     right.append(partners)
-                    weight.append(np.full(len(partners), OFTEN) if is_long else 1 + np.minimum(longs[i], longs[later][fits]))
+                    weight.append(np.full(len(partners), enough(percent)) if is_long else 1 + np.minimum(longs[i], longs[later][fits]))
                     held += len(partners)
             if held > 1 << 20:
                 yield _pair_batch(*map(np.concatenate, (left, right, weight)))
@@ -402,13 +408,13 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     # One text of each node stands for it where its set is needed.
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")).alias("r"))
     shared = lists.groupBy("node").agg(F.count("*").alias("c"), F.sum("is_long").alias("longs"))
-    wanted = nodes.join(shared.where(F.col("c") >= OFTEN), "node", "left_semi").select("r.doc_id", "r.tkey")
+    wanted = nodes.join(shared.where(F.col("c") >= enough(percent)), "node", "left_semi").select("r.doc_id", "r.tkey")
     chosen = texts.alias("t").join(wanted.alias("w"), F.expr("t.tkey = w.tkey AND t.doc_id <=> w.doc_id"), "left_semi")
     # Bucketed by node: the joins below move pairs and never the table of sets.
     sets = bucketed(chosen.select("text").mapInArrow(tidy(_sets(size)), "node long, grams binary"), "node")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        often = pairs.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= OFTEN).drop("met")
+        often = pairs.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= enough(percent)).drop("met")
         sides = often.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
         sides = sides.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         return written(sides.mapInArrow(tidy(_probe(percent)), "a long, b long"))

@@ -97,3 +97,12 @@ def test_given_documents(spark):
 def test_components(spark, links, expected):
     frame = spark.createDataFrame(links, "a long, b long")
     assert {r.node: r.component for r in components(frame, "a", "b").collect()} == expected
+
+
+@pytest.mark.parametrize("percent", [70, 50])
+def test_small_sets_at_lower_percents(spark, percent):
+    """Sets that link with fewer than ``OFTEN`` grams in common."""
+    rows = [(i, " ".join(f"g{i // 2}w{j}" for j in range(4 + i // 2 % 4 + i % 2))) for i in range(24)]
+    got = [tuple(r) for r in ngram_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), percent=percent).collect()]
+    assert Counter(got) == Counter(brute_force(rows, percent=percent))
+    assert len({c for _, _, c in got}) < len(rows)
