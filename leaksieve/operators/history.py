@@ -30,11 +30,11 @@ def cut_offs(commits: DataFrame, depth: int) -> DataFrame:
     large_cut = _holding_cut(larger.withColumn("need", F.lit(depth).cast("long")))
     cut = _holding_cut(blocks.alias("b").join(
         large_cut.alias("c"),
-        (F.col("b.repo") == F.col("c.repo")) & (F.shiftright("b.block", _BLOCK_BITS) == F.col("c.block"))
+        F.col("b.repo").eqNullSafe(F.col("c.repo")) & (F.shiftright("b.block", _BLOCK_BITS) == F.col("c.block"))
     ).select("b.repo", "b.block", "b.n", "c.need"))
     near = commits.alias("b").join(
         cut.alias("c"),
-        (F.col("b.repo") == F.col("c.repo")) & (F.shiftright("b.seq", _BLOCK_BITS) == F.col("c.block")))
+        F.col("b.repo").eqNullSafe(F.col("c.repo")) & (F.shiftright("b.seq", _BLOCK_BITS) == F.col("c.block")))
     last = _holding_cut(near.select("b.repo", F.col("b.seq").alias("block"), F.lit(1).alias("n"), "c.need"))
     return last.select("repo", F.col("block").alias("last"))
 
@@ -42,7 +42,8 @@ def cut_offs(commits: DataFrame, depth: int) -> DataFrame:
 def newest_commits(patches: DataFrame, depth: int | None) -> DataFrame:
     """The patches of the ``depth`` newest commits of every repository.
 
-    ``seq`` is an integer, unique per commit of a repository and ascending from the newest. One lazy
+    ``seq`` is an integer, unique per commit of a repository and ascending from the newest. Patches without a
+    repository are one repository's; those without a ``seq`` stay and count for no depth. One lazy
     plan: the commits to keep are joined by repository and commit, so that a large repository
     spreads over many tasks; Spark broadcasts them if they turn out to be few.
     """
@@ -51,8 +52,11 @@ def newest_commits(patches: DataFrame, depth: int | None) -> DataFrame:
     if depth <= 0:
         return patches.limit(0)
     commits = patches.select("repo", F.col("seq").cast("long").alias("seq")).distinct()
-    kept = commits.join(cut_offs(commits, depth), "repo", "left").where("last IS NULL OR seq <= last")
-    return patches.join(kept.select("repo", "seq"), ["repo", "seq"], "left_semi")
+    last = cut_offs(commits.where("seq IS NOT NULL"), depth).alias("l")
+    kept = commits.alias("c").join(last, F.col("c.repo").eqNullSafe(F.col("l.repo")), "left").where("last IS NULL OR seq IS NULL OR seq <= last")
+    kept = kept.select("c.repo", "seq").alias("k")
+    return patches.alias("p").join(
+        kept, F.col("p.repo").eqNullSafe(F.col("k.repo")) & F.col("p.seq").eqNullSafe(F.col("k.seq")), "left_semi")
 
 
 def first_occurrences(findings: DataFrame, order: tuple[str, ...] = ("patch_pos", "line_pos"),

@@ -152,3 +152,11 @@ def test_rules_of_one_id_are_deduplicated_together(spark):
     rules = RuleSet((Rule("twin", "One", r"tok-\d+", "low"), Rule("twin", "Two", r"tok-[0-9]+", "high")))
     frame = patches(spark, [("r", "a", 0, "A", "d", "x", 0, "+line with tok-123\n+again with tok-123")])
     assert [(r.rule_name, r.snippet) for r in scan_history(frame, rules).findings.collect()] == [("One", "line with tok-123")]
+
+
+def test_depth_keeps_patches_without_repository_or_seq(spark):
+    rows = [(None, 5), (None, 3), (None, 8), ("r", None), ("r", 1), ("r", 2), ("r", 2), (None, None)]
+    frame = spark.createDataFrame(rows, "repo string, seq long")
+    for depth, expected in ((10, rows), (1, [(None, 3), ("r", None), ("r", 1), (None, None)])):
+        got = [tuple(r) for r in newest_commits(frame, depth).collect()]
+        assert sorted(map(str, got)) == sorted(map(str, expected))
