@@ -49,3 +49,40 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT base_failed AND NOT coalesce(rejected, false) AS kept
 FROM failed LEFT JOIN verdicts USING (source)
 """
+
+FILTER_AUDIT = r"""
+WITH w AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+firsts AS (SELECT text, min(doc_id) AS least FROM w GROUP BY text),
+marks AS (
+    SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic
+    FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+judged AS (
+    SELECT part, [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws),
+        100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 2 * length(text),
+        regexp_matches(text, '[#$%&*|]'), coalesce(w.doc_id > least, false)] AS fails,
+        coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+    FROM w JOIN firsts USING (text) LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails),
+letters AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+orders AS (
+    SELECT [a.f, b.f, c.f, d.f, e.f] AS fs FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+walked AS (
+    SELECT part, fs, n, good, toxic, fails, len(list_filter(fails, lambda x: x)) AS k,
+        coalesce(list_position(list_transform(fs, lambda f: fails[f]), true), 6) AS falls FROM counts, orders),
+steps AS (
+    SELECT part, fs, step, fs[step] AS f, sum(CASE WHEN falls > step THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN falls = step THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN falls < step AND fails[fs[step]] THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN k = 1 AND fails[fs[step]] THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN falls = step THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN falls = step THEN toxic ELSE 0 END) AS toxic_lost
+    FROM walked, (SELECT unnest([1, 2, 3, 4, 5]) AS step) GROUP BY part, fs, step)
+SELECT part, array_to_string(list_transform(fs, lambda f: substr('ABCDE', f, 1)), '') AS filter_order, CAST(step AS INTEGER) AS step,
+    CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+    CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM steps
+"""

@@ -1,0 +1,147 @@
+import random
+import re
+from collections import Counter
+from itertools import permutations
+
+from leaksieve.llm import filter_audit
+from leaksieve.llm.filter_audit import failure_masks, filter_interactions, with_adaptive_prefix
+from leaksieve.llm.tries import Trie
+from tests.llm.data import ODD_SCHEMA, empty_frame, odd_documents, odd_frame, words
+
+COLUMNS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+def fails(rows):
+    """Per row (part, set of letters), by the plain conditions."""
+    texts = {}
+    for doc_id, text, _ in rows:
+        if doc_id is not None:
+            texts[text or ""] = min(doc_id, texts.get(text or "", doc_id))
+    out = []
+    for doc_id, text, source in rows:
+        text = text or ""
+        ws = words(text)
+        found = {"A"} if len(ws) < 200 else set()
+        found |= {"B"} if 100 * len(set(ws)) < 50 * len(ws) else set()
+        found |= {"C"} if 100 * len(re.findall("[A-Z]", text)) > 2 * len(text) else set()
+        found |= {"D"} if re.search("[#$%&*|]", text) else set()
+        found |= {"E"} if doc_id is not None and texts[text] < doc_id else set()
+        out.append((source or "", found))
+    return out
+
+
+def brute_force(rows, labels):
+    judged = [(part, found, doc_id) for (part, found), (doc_id, _, _) in zip(fails(rows), rows)]
+    good = {i for i, q, _ in labels if i is not None and q == 1}
+    toxic = {i for i, _, t in labels if i is not None and t == 1}
+    out, shapley = {}, Counter()
+    for order in permutations("ABCDE"):
+        for part in {p for p, _, _ in judged}:
+            left, gone = [(f, i) for p, f, i in judged if p == part], []
+            for step, letter in enumerate(order, 1):
+                hit = [(f, i) for f, i in left if letter in f]
+                everyone = left + gone
+                shapley[part, letter] += len(hit)
+                out[part, "".join(order), step] = [
+                    len(left) - len(hit), len(hit), sum(letter in f for f, _ in gone), sum(f == {letter} for f, _ in everyone),
+                    sum(i in good for _, i in hit), sum(i in toxic for _, i in hit)]
+                left, gone = [x for x in left if letter not in x[0]], gone + hit
+    return {k: (*v, shapley[k[0], k[1][k[2] - 1]]) for k, v in out.items()}
+
+
+def result(frame):
+    rows = frame.collect()
+    found = {(r.part, r.filter_order, r.step): tuple(r[c] for c in COLUMNS) for r in rows}
+    assert len(found) == len(rows)
+    return found
+
+
+def labels_frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
+
+
+LABELS = [(i, i % 2, int(i % 3 == 0)) for i in range(0, 40, 2)] + [(4, 1, 0), (6, None, None), (None, 1, 1)]
+
+
+def test_odd_rows(spark):
+    rows = [(r[0], r[1], r[3]) for r in odd_documents()]
+    labels = labels_frame(spark, LABELS)
+    clashing = odd_frame(spark).selectExpr("*", "7 AS mask", "1 AS part", "2 AS node", "3 AS least", "'x' AS n", "8 AS prefix")
+    expected = brute_force(rows, LABELS)
+    assert result(filter_interactions(odd_frame(spark), labels)) == expected
+    assert result(filter_interactions(clashing, labels.selectExpr("*", "1 AS good", "2 AS n"))) == expected
+    assert len(expected) == 600 * len({s or "" for _, _, s in rows})
+
+
+def test_empty_table(spark):
+    assert filter_interactions(empty_frame(spark), labels_frame(spark, LABELS)).collect() == []
+    assert result(filter_interactions(odd_frame(spark), labels_frame(spark, []))) == brute_force(
+        [(r[0], r[1], r[3]) for r in odd_documents()], [])
+
+
+def random_rows(n, seed):
+    rng = random.Random(seed)
+    starts = ["", "same start " * 60, "Shared Start " * 300 + "#"]
+    texts = [rng.choice(starts) + " ".join(rng.choice(["a", "b", "Cc", "d%", "e"]) + str(rng.randrange(rng.choice([9, 500])))
+                                           for _ in range(rng.choice([3, 150, 260]))) for _ in range(n // 2)]
+    return [(rng.randrange(2 * n), rng.choice(texts[:1] if rng.random() < 0.3 else texts), rng.choice(["x", "x", "y", None])) for _ in range(n)]
+
+
+def test_random_documents_in_small_shares(spark, monkeypatch):
+    monkeypatch.setattr(filter_audit, "TARGET_BYTES", 2000)
+    rows = random_rows(400, 5)
+    labels = [(i, i % 2, int(i % 5 == 0)) for i in range(0, 800, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    assert result(filter_interactions(docs, labels_frame(spark, labels))) == brute_force(rows, labels)
+    expected = Counter((d, p, sum(1 << "ABCDE".index(c) for c in f)) for (p, f), (d, _, _) in zip(fails(rows), rows))
+    assert Counter((r.doc_id, r.part, r.mask) for r in failure_masks(docs).collect()) == expected
+
+
+def test_shares_are_bounded():
+    """Equal texts of different shares have nodes of their own; each share writes a text once."""
+    import pyarrow as pa
+
+    class Context:
+        def partitionId(self):
+            return 3
+
+    rows = [(i, f"text {i % 7} ".encode() * 50, "p") for i in range(300)]
+    before = filter_audit.SHARE_ROWS, filter_audit.TaskContext
+    filter_audit.SHARE_ROWS, filter_audit.TaskContext = 64, type("T", (), {"get": staticmethod(Context)})
+    try:
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(3)], names=["doc_id", "text", "part"])
+        out = pa.Table.from_batches(filter_audit._note(iter([batch]))).to_pylist()
+    finally:
+        filter_audit.SHARE_ROWS, filter_audit.TaskContext = before
+    assert [r["doc_id"] for r in out] == list(range(300))
+    assert len({r["node"] for r in out}) == sum(r["text"] is not None for r in out) == 7 * 5
+    texts = {r["node"]: r["text"] for r in out if r["text"]}
+    assert all(texts[r["node"]] == rows[r["doc_id"]][1] for r in out)
+
+
+def test_prefixes_adapt(spark):
+    same, long = b"z" * 500, [b"boilerplate " * 40 + str(i).encode() * 30 for i in range(50)]
+    texts = [same] * 30 + long + [f"{i} other".encode() for i in range(50)]
+    frame = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "node long, text binary, least long")
+    found, total = with_adaptive_prefix(frame, target=4000)
+    rows = found.collect()
+    assert total == sum(map(len, texts)) and sorted(r.node for r in rows) == list(range(len(texts)))
+    weights = Counter()
+    for r in rows:
+        assert bytes(r.text).startswith(bytes(r.prefix))
+        weights[bytes(r.prefix)] += len(r.text)
+    assert all(n <= 4000 or p == same for p, n in weights.items())
+
+
+def test_trie_holds_what_was_put_in():
+    rng = random.Random(1)
+    texts = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(9))) for _ in range(500)] + [b"abab" * 400, b"abab" * 399 + b"abaa"]
+    trie, least = Trie(), {}
+    numbers = {}
+    for i, text in enumerate(texts):
+        key = None if i % 11 == 0 else rng.randrange(1000)
+        if key is not None:
+            least[text] = min(key, least.get(text, key))
+        assert numbers.setdefault(text, trie.put(text, key)) == trie.put(text, None)
+    assert list(trie) == [(t, least.get(t)) for t in sorted(set(texts))]
+    assert trie.size <= sum(map(len, set(texts)))

@@ -15,4 +15,4 @@ def test_query_equals_its_sql(spark, name):
 def test_registered():
     names = set(registered.queries())
     assert set(QUERIES) <= names and "pipeline" in names
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
