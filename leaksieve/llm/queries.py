@@ -12,6 +12,7 @@ from leaksieve.llm import sql
 from leaksieve.llm.bpe import encoding_digests
 from leaksieve.llm.conversation_repair import repair_conversations
 from leaksieve.llm.filter_audit import filter_interactions
+from leaksieve.llm.html_text import extract_text
 from leaksieve.llm.line_dedup import dedup_lines
 from leaksieve.llm.nearest import nearest
 from leaksieve.llm.ngram_join import ngram_groups
@@ -74,6 +75,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_read(spark, sf_dir, "documents"))
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(_read(spark, sf_dir, "pages"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair_conversations(_read(spark, sf_dir, "conversations"))
 
@@ -85,7 +90,7 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_ngram_jaccard_join, op2_quality_rules, op3_bpe, op4_nearest_neighbours, op5_sharding, op6_token_files,
     op7_best_fit_packing, op8_toxicity, op9_quality_classifier, op10_line_dedup,
-    op12_conversation_repair, op13_filter_audit)}
+    op11_html_extraction, op12_conversation_repair, op13_filter_audit)}
 ORACLES: dict[str, str] = {
     "op1_ngram_jaccard_join": sql.NGRAM_GROUPS,
     "op2_quality_rules": sql.QUALITY_RULES,
