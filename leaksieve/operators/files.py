@@ -53,6 +53,10 @@ class ScanConfig:
     ignore_patterns: tuple[str, ...] = ()
     ignore_file: str = ".leaksieveignore"
     max_file_bytes: int = MAX_FILE_BYTES
+    #: Bytes that one task reads of a target that is a single file.
+    range_bytes: int = 64 << 20
+    #: ``module:function`` of a paged store's lister (``sources.stores.Lister``); None chooses by the target.
+    lister: str | None = None
 
     @property
     def effective_extensions(self) -> tuple[str, ...]:

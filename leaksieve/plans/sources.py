@@ -11,39 +11,69 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from leaksieve.functions.text import decode_lenient
 from leaksieve.operators.files import ScanConfig
 from leaksieve.operators.history import first_occurrences, newest_commits
-from leaksieve.operators.merge import ERROR_SCHEMA, LOG_SCHEMA, canonical, union_all
+from leaksieve.operators.merge import ERROR_SCHEMA, FINDING_COLUMNS, LOG_SCHEMA, canonical, union_all
 from leaksieve.plans.scan import attach_rules, find_hits
 from leaksieve.rules import RuleSet
 from leaksieve.sources.payloads import decode_payloads, on_branch, select_payloads
-from leaksieve.sources.tree import ignore_patterns, list_tree, read_files, select_files, tree_exists
+from leaksieve.sources.ranges import read_ranges
+from leaksieve.sources.tree import ignore_patterns, list_tree, listed_files, read_files, select_files, tree_found, tree_kind
+
+
+_FINDINGS = ", ".join(f"{name} {kind}" for name, kind in FINDING_COLUMNS)
+# What a scan gives, by the ``kind`` of a tagged row.
+_KINDS = {"finding": _FINDINGS, "log": LOG_SCHEMA, "error": ERROR_SCHEMA}
+TAGGED_SCHEMA = f"{_FINDINGS}, stage string, message string, kind string"
+
+
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
 
 
 @dataclass(frozen=True)
 class Scan:
     """Results of a scan: lazy ones, or the tables that ``written`` made of them and the seconds that took.
 
-    Write a scan before feeding several sinks from it.
+    Write a scan before feeding several sinks from it. ``tagged`` has findings, log and error rows together, by ``kind``, where one
+    read of the sources gives them all.
     """
 
     findings: DataFrame
     scan_log: DataFrame
     errors: DataFrame
     duration_seconds: float = 0.0
+    tagged: DataFrame | None = None
+
+    @classmethod
+    def of_tagged(cls, tagged: DataFrame, duration_seconds: float = 0.0) -> Scan:
+        parts = [tagged.where(F.col("kind") == kind).select(*_names(schema)) for kind, schema in _KINDS.items()]
+        return cls(*parts, duration_seconds, tagged)
+
+    def _together(self) -> DataFrame:
+        if self.tagged is not None:
+            return self.tagged.select(*_names(TAGGED_SCHEMA))
+        parts = zip((self.findings, self.scan_log, self.errors), _KINDS)
+        whole = self.findings.sparkSession.createDataFrame([], TAGGED_SCHEMA)
+        for frame, kind in parts:
+            whole = whole.unionByName(frame.withColumn("kind", F.lit(kind)), allowMissingColumns=True)
+        return whole
 
     def merge(self, *others: Scan) -> Scan:
         """All findings, log and error rows; durations add up."""
         scans = (self, *others)
         return Scan(union_all(s.findings for s in scans), union_all(s.scan_log for s in scans),
-                    union_all(s.errors for s in scans), sum(s.duration_seconds for s in scans))
+                    union_all(s.errors for s in scans), sum(s.duration_seconds for s in scans),
+                    union_all(s._together() for s in scans))
 
     def written(self, folder: str) -> Scan:
-        """Runs the scan into three tables below ``folder``; the scan over these tables knows its duration."""
+        """Runs the scan into a table below ``folder``, divided by kind; the scan over it knows its duration.
+
+        Every source that can is read once, so that findings, log and errors agree even if it changes meanwhile.
+        """
         start = time.perf_counter()
-        tables = []
-        for name, frame in (("findings", self.findings), ("log", self.scan_log), ("errors", self.errors)):
-            frame.write.parquet(f"{folder}/{name}")
-            tables.append(frame.sparkSession.read.schema(frame.schema).parquet(f"{folder}/{name}"))
-        return Scan(*tables, self.duration_seconds + time.perf_counter() - start)
+        whole = self._together()
+        whole.write.partitionBy("kind").parquet(folder)
+        table = whole.sparkSession.read.schema(TAGGED_SCHEMA).parquet(folder)
+        return Scan.of_tagged(table, self.duration_seconds + time.perf_counter() - start)
 
     def summary(self) -> DataFrame:
         """One row: files_scanned (files, rows or commits), error_count and duration_seconds."""
@@ -73,35 +103,70 @@ def _log(rows: DataFrame, source_type: str, target) -> DataFrame:
 
 def scan_tree(spark: SparkSession, path: str, rules: RuleSet | None = None,
               config: ScanConfig = ScanConfig()) -> Scan:
-    """A scan of the files below ``path``, or of ``path`` itself if it is a file."""
-    if not tree_exists(path):
-        error = F.lit(f"Path not found: {path}")
-        row = spark.range(1).select(
-            F.lit("tree").alias("source_type"), F.lit(path).alias("target"),
-            F.lit(None).cast("string").alias("source_id"), F.lit("list").alias("stage"), error.alias("message"))
-        return Scan(canonical(row.limit(0).select()), spark.createDataFrame([], LOG_SCHEMA), row)
-    selected = select_files(list_tree(spark, path, config), ignore_patterns(path, config), config)
-    return scan_files(read_files(selected, root=path), path, rules, checked=read_files(selected, contents=False, root=path))
-
-
-def scan_files(files: DataFrame, target: str, rules: RuleSet | None = None,
-               checked: DataFrame | None = None) -> Scan:
-    """A scan of files as ``read_files`` returns them: rel_path, single, content, status.
-
-    ``checked`` are the same files without contents, from which log and errors are cheaper to get.
+    """A scan of the files below ``path``, or of ``path`` itself if it is a file. A directory is listed when called.
+
+    A single file is read in ranges of ``config.range_bytes``, each by a task of its own. Directories that cannot be
+    listed are error rows of stage ``list``, files that cannot be read of stage ``read``.
+    """
+    kind = tree_kind(path, config.lister)
+    if kind is None:
+        return Scan.of_tagged(_error_rows(spark.range(1), path, "list", None, F.lit(f"Path not found: {path}")))
+    if kind == "file":
+        name = list_tree(spark, path, config).select("rel_path").first().rel_path
+        return _scan_single(read_ranges(spark, path, config.range_bytes, config.lister), path, name, config.range_bytes, rules)
+    found = tree_found(spark, path, config)
+    selected = select_files(listed_files(found), ignore_patterns(path, config), config)
+    scan = scan_files(read_files(selected, root=path, lister=config.lister), path, rules)
+    refused = _error_rows(found.where("kind = 'error'"), path, "list", F.col("rel_path"), F.col("message"))
+    return Scan.of_tagged(scan.tagged.unionByName(refused))
+
+
+def _error_rows(rows: DataFrame, target: str, stage: str, source_id, message) -> DataFrame:
+    """Tagged rows of errors of a tree."""
+    return _tagged(rows.select(F.lit("error").alias("kind"), F.lit(stage).alias("stage"), message.alias("message"),
+                               (F.lit(None) if source_id is None else source_id).cast("string").alias("source_id")), target)
+
+
+def _tagged(rows: DataFrame, target: str) -> DataFrame:
+    """Rows with a ``kind`` and some of the columns of findings, in the form of ``TAGGED_SCHEMA``."""
+    pick = {"source_type": F.lit("tree"), "target": F.lit(target)}
+    columns = [(pick[c] if c in pick else F.col(c) if c in rows.columns else F.lit(None)).cast(kind).alias(c)
+               for c, kind in (*FINDING_COLUMNS, ("stage", "string"), ("message", "string"), ("kind", "string"))]
+    return rows.select(*columns)
+
+
+def scan_files(files: DataFrame, target: str, rules: RuleSet | None = None) -> Scan:
+    """A scan of files as ``read_files`` returns them: rel_path, single, content, status. Each is read once.
+
     A file of a tree that cannot be opened is left out like a binary one, and becomes an error row.
     """
+    kinds = F.when(F.col("status") == "ok", F.array(F.lit("finding"), F.lit("log"))).when(
+        F.col("status") == "unreadable", F.when(F.col("single"), F.array(F.lit("error"), F.lit("log"))).otherwise(F.array(F.lit("error"))))
+    rows = files.select(F.col("rel_path").alias("file_path"), "content", F.explode(kinds).alias("kind"), F.lit(0).cast("long").alias("lines_before"))
+    failed = F.concat(F.lit("Error scanning "), F.col("file_path"))
+    return _scan_rows(rows, failed, target, rules)
+
+
+def _scan_single(pieces: DataFrame, target: str, name: str, range_bytes: int, rules: RuleSet | None) -> Scan:
+    """A scan of the pieces of one file (``read_ranges``)."""
+    log = F.when(F.col("first"), F.array(F.lit("log"))).otherwise(F.array().cast("array<string>"))
+    kinds = F.concat(F.array(F.when(F.col("status") == "ok", "finding").otherwise("error")), log)
+    rows = pieces.select(F.lit(name).alias("file_path"), "range", "content", F.explode(kinds).alias("kind"), "lines_before")
+    failed = F.concat(F.lit(f"Error scanning {name}"), F.when(F.col("range") > 0, F.concat(
+        F.lit(" from byte "), (F.col("range") * range_bytes).cast("string"))).otherwise(""))
+    return _scan_rows(rows, failed, target, rules)
+
+
+def _scan_rows(rows: DataFrame, failed, target: str, rules: RuleSet | None) -> Scan:
+    """Tagged rows from (file_path, content, kind, lines_before): only rows of kind ``finding`` are searched."""
     rules = rules or RuleSet.builtin()
-    checked = files if checked is None else checked
-    readable = files.where(F.col("status") == "ok")
-    texts = readable.select(F.col("rel_path").alias("file_path"), decode_lenient(F.col("content")).alias("text"))
-    found = attach_rules(find_hits(texts, "text", rules), rules)
-    findings = canonical(found, source_type=F.lit("tree"), target=F.lit(target), source_id=F.col("file_path"))
-    scanned = checked.where((F.col("status") == "ok") | (F.col("single") & (F.col("status") == "unreadable")))
-    errors = checked.where(F.col("status") == "unreadable").select(
-        F.lit("tree").alias("source_type"), F.lit(target).alias("target"), F.col("rel_path").alias("source_id"),
-        F.lit("read").alias("stage"), F.concat(F.lit("Error scanning "), F.col("rel_path")).alias("message"))
-    return Scan(findings, _log(scanned.withColumnRenamed("rel_path", "source_id"), "tree", F.lit(target)), errors)
+    searched = F.col("kind") == "finding"
+    texts = rows.select(
+        "file_path", "kind", "lines_before", (~searched).alias("passing"), F.when(searched, decode_lenient(F.col("content"))).alias("text"),
+        F.when(F.col("kind") == "error", "read").alias("stage"), F.when(F.col("kind") == "error", failed).alias("message"))
+    found = attach_rules(find_hits(texts, "text", rules, passing="passing"), rules, "left")
+    found = found.withColumn("source_id", F.col("file_path")).withColumn("line_number", (F.col("lines_before") + F.col("line_number")).cast("int"))
+    return Scan.of_tagged(_tagged(found, target))
 
 
 def scan_history(patches: DataFrame, rules: RuleSet | None = None, *, depth: int | None = None,

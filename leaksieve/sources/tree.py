@@ -1,27 +1,19 @@
-"""Source trees: a listing data source, and a reader for the files that survive the filters.
+"""Source trees: the files below a folder or URI, chosen by filters, and read by tasks.
 
 Spark's own file sources hide names that start with a dot or an underscore, among them the
 ``.env`` files a secret scan is after. Trees on mounted folders are listed by the operating system, trees under
-a URI (``s3://``, ``gs://``, ``hdfs://``) through pyarrow's file systems; tasks list and read either.
+a URI (``s3://``, ``gs://``, ``hdfs://``) by their store; tasks list (``listing``) and read either.
 """
 
 from __future__ import annotations
 
-import json
 import os
 import posixpath
-import zlib
-from collections import deque
 from collections.abc import Iterator
 from functools import partial
-from itertools import islice
-from typing import NamedTuple
-from urllib.parse import unquote, urlparse
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from leaksieve.deploy import ship_package
 from leaksieve.operators.files import (
@@ -32,186 +24,45 @@ from leaksieve.operators.files import (
     size_in_bounds,
 )
 from leaksieve.operators.ignore import is_ignored, parse_ignore_lines
+from leaksieve.sources.listing import REFUSALS, attempts, last_attempt, list_shares, readable
+from leaksieve.sources.stores import Tree, open_tree
 
-# Paths are bytes as the file system has them; names in them need not be UTF-8.
-LISTING_SCHEMA = "path binary, rel_path string, name string, length long, single boolean"
 CONTENT_SCHEMA = "path binary, rel_path string, length long, single boolean, content binary, status string"
 
 # A batch handed back to Spark holds at most about this many bytes of file content.
 _BATCH_BYTES = 32 * 1024 * 1024
 LISTING_TASKS = 256
-WIDE_DIRECTORY = 4096
 
 
-class _LocalTree:
-    """A tree on a mounted folder."""
+def tree_kind(root: str, lister: str | None = None) -> str | None:
+    """``file``, ``directory`` or, where there is nothing, None."""
+    return open_tree(root, lister).kind()
 
-    def __init__(self, root: str):
-        self.root = os.path.abspath(root)
 
-    def kind(self) -> str | None:
-        return "file" if os.path.isfile(self.root) else "directory" if os.path.isdir(self.root) else None
+def tree_found(spark: SparkSession, path: str, config: ScanConfig = ScanConfig(), *, tasks: int = LISTING_TASKS) -> DataFrame:
+    """Rows of kind ``file`` and ``error`` (``listing.FOUND_SCHEMA``) for all below a directory. Listed when called."""
+    return list_shares(spark, path, frozenset(config.effective_excluded_dirs), tasks, config.lister)
 
-    def children(self, directory: str) -> Iterator[tuple[str, str, bool, int | None]]:
-        """(name, path, whether it is a directory to enter, size) of each entry."""
-        try:
-            with os.scandir(directory) as entries:
-                for entry in entries:
-                    below = entry.is_dir(follow_symlinks=False)
-                    # Links to directories are neither entered nor files.
-                    if below or not entry.is_dir():
-                        yield entry.name, entry.path, below, None if below else _size(entry.path)
-        except OSError:
-            return
 
-    def open(self, path: str):
-        return open(path, "rb")
+def listed_files(found: DataFrame) -> DataFrame:
+    """(path, rel_path, name, length, single) of the files among the rows of ``tree_found``."""
+    return found.where("kind = 'file'").select("path", "rel_path", "name", "length", F.lit(False).alias("single"))
 
 
-class _StoreTree:
-    """A tree in a store that pyarrow reaches."""
-
-    def __init__(self, root: str):
-        self.store, path = fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
-        self.root = path.rstrip("/")
-
-    def kind(self) -> str | None:
-        found = self.store.get_file_info(self.root).type
-        return {fs.FileType.File: "file", fs.FileType.Directory: "directory"}.get(found)
-
-    def children(self, directory: str) -> Iterator[tuple[str, str, bool, int | None]]:
-        try:
-            entries = self.store.get_file_info(fs.FileSelector(directory))
-        except OSError:
-            return
-        for entry in entries:
-            below = entry.type == fs.FileType.Directory
-            yield entry.base_name, entry.path, below, None if below else entry.size
-
-    def open(self, path: str):
-        return self.store.open_input_file(path)
-
-
-def _tree(root: str) -> _LocalTree | _StoreTree:
-    parts = urlparse(root)
-    if parts.scheme == "file":
-        return _LocalTree(unquote(parts.path))
-    return _StoreTree(root) if "://" in root else _LocalTree(root)
-
-
-def tree_exists(root: str) -> bool:
-    return _tree(root).kind() is not None
-
-
-class _Share(NamedTuple):
-    """What one task lists of a directory: its own files only, or everything below the entries whose
-    name hashes to ``index`` of ``of``."""
-
-    directory: str
-    below: bool
-    index: int = 0
-    of: int = 1
-
-    def holds(self, name: str) -> bool:
-        return zlib.crc32(os.fsencode(name)) % self.of == self.index
-
-
-class _Shares(InputPartition):
-    def __init__(self, shares: list[_Share]):
-        self.shares = shares
-
-
-class TreeListing(DataSource):
-    """``spark.read.format("tree_listing")``: one row per file below ``path``, contents not read.
-
-    Options: ``path``; ``excluded_dirs``, a JSON list of directory names never entered; ``tasks`` that list at most,
-    and ``wide``, the subdirectories from which a directory is listed by all tasks together.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "tree_listing"
-
-    def schema(self) -> str:
-        return LISTING_SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options["path"], frozenset(json.loads(self.options.get("excluded_dirs", "[]"))),
-                           int(self.options.get("tasks", LISTING_TASKS)), int(self.options.get("wide", WIDE_DIRECTORY)))
-
-
-class _TreeReader(DataSourceReader):
-    def __init__(self, root: str, excluded: frozenset[str], tasks: int, wide: int):
-        self.root, self.excluded, self.tasks, self.wide = root, excluded, tasks, wide
-
-    def partitions(self) -> list[InputPartition]:
-        """Opens the top of the tree only, until there are enough subtrees for the listing tasks.
-
-        A directory with very many subdirectories is not opened here but shared by all tasks.
-        """
-        tree = _tree(self.root)
-        shares, frontier = [], deque([tree.root])
-        while frontier and len(frontier) < self.tasks and len(shares) < self.tasks:
-            directory = frontier.popleft()
-            below = list(islice((path for name, path, is_dir, _ in tree.children(directory) if is_dir and name not in self.excluded),
-                                self.wide + 1)) if tree.kind() == "directory" else []
-            if len(below) > self.wide:
-                shares += [_Share(directory, True, i, self.tasks) for i in range(self.tasks)]
-            else:
-                shares.append(_Share(directory, False))
-                frontier.extend(sorted(below))
-        shares += [_Share(directory, True) for directory in frontier]
-        return [_Shares(shares[i::self.tasks]) for i in range(min(self.tasks, len(shares)))]
-
-    def read(self, partition: _Shares) -> Iterator[tuple]:
-        tree = _tree(self.root)
-        single = tree.kind() == "file"
-        for share in partition.shares:
-            if single:
-                name = _readable(posixpath.basename(tree.root))
-                size = _size(tree.root) if isinstance(tree, _LocalTree) else tree.store.get_file_info(tree.root).size
-                yield os.fsencode(tree.root), name, name, size, True
-                continue
-            stack = [share.directory]
-            while stack:
-                directory = stack.pop()
-                for name, path, is_dir, size in tree.children(directory):
-                    if directory == share.directory and not share.holds(name):
-                        continue
-                    if not is_dir:
-                        relative = _readable(path[len(tree.root):].lstrip("/"))
-                        yield os.fsencode(path), relative, _readable(name), size, False
-                    elif share.below and name not in self.excluded:
-                        stack.append(path)
-
-
-def _readable(name: str) -> str:
-    """The name with replacement characters for bytes that are no UTF-8."""
-    return os.fsencode(name).decode("utf-8", "replace")
-
-
-def _size(path: str) -> int | None:
-    try:
-        return os.stat(path).st_size
-    except OSError:
-        return None
-
-
-def list_tree(spark: SparkSession, path: str, config: ScanConfig = ScanConfig(), *, tasks: int = LISTING_TASKS,
-              wide: int = WIDE_DIRECTORY) -> DataFrame:
+def list_tree(spark: SparkSession, path: str, config: ScanConfig = ScanConfig(), *, tasks: int = LISTING_TASKS) -> DataFrame:
     """Every file below ``path`` (a folder or a URI) outside the excluded directories, or ``path`` itself if it is a file."""
-    ship_package(spark)
-    spark.dataSource.register(TreeListing)
-    return (spark.read.format("tree_listing")
-            .option("path", path).option("tasks", tasks).option("wide", wide)
-            .option("excluded_dirs", json.dumps(list(config.effective_excluded_dirs)))
-            .load())
+    tree = open_tree(path, config.lister)
+    if tree.kind() != "file":
+        return listed_files(tree_found(spark, path, config, tasks=tasks))
+    name = readable(posixpath.basename(tree.root))
+    return spark.createDataFrame([(os.fsencode(tree.root), name, name, tree.size(), True)],
+                                 "path binary, rel_path string, name string, length long, single boolean")
 
 
 def ignore_patterns(path: str, config: ScanConfig = ScanConfig()) -> list[str]:
     """The patterns of the root's ignore files, then those of the configuration."""
     patterns: list[str] = []
-    tree = _tree(path)
+    tree = open_tree(path, config.lister)
     if tree.kind() == "directory":
         for name in (".gitignore", config.ignore_file):
             try:
@@ -233,12 +84,11 @@ def select_files(listing: DataFrame, patterns: list[str] | tuple[str, ...] = (),
     return listing.where(F.col("single") | chosen)
 
 
-def read_files(files: DataFrame, tasks: int | None = None, contents: bool = True, root: str = "") -> DataFrame:
+def read_files(files: DataFrame, tasks: int | None = None, root: str = "", lister: str | None = None) -> DataFrame:
     """Adds ``content`` and ``status`` (``ok``, ``binary`` or ``unreadable``) to the selected files of the tree ``root``.
 
     The paths are hashed over ``tasks`` tasks first, as listing tasks follow directories and may
-    be uneven; only paths and sizes are shuffled. Without ``contents`` only the first bytes are
-    read, for the status. ``root`` matters only if it is a URI.
+    be uneven; only paths and sizes are shuffled. ``root`` matters only if it is a URI.
     """
     spark = files.sparkSession
     ship_package(spark)
@@ -246,16 +96,16 @@ def read_files(files: DataFrame, tasks: int | None = None, contents: bool = True
         tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
                     2 * spark.sparkContext.defaultParallelism)
     columns = files.select("path", "rel_path", "length", "single").repartition(tasks, "path")
-    return columns.mapInArrow(partial(_read_batches, contents=contents, root=root), CONTENT_SCHEMA)
+    return columns.mapInArrow(partial(_read_batches, root=root, lister=lister, tries=attempts(spark)), CONTENT_SCHEMA)
 
 
-def _read_batches(batches: Iterator[pa.RecordBatch], contents: bool, root: str) -> Iterator[pa.RecordBatch]:
+def _read_batches(batches: Iterator[pa.RecordBatch], root: str, lister: str | None, tries: int) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("path", pa.binary()), ("rel_path", pa.string()), ("length", pa.int64()),
                         ("single", pa.bool_()), ("content", pa.binary()), ("status", pa.string())])
-    tree, rows, held = _tree(root), [], 0
+    tree, rows, held = open_tree(root, lister), [], 0
     for batch in batches:
         for row in batch.to_pylist():
-            row["content"], row["status"] = _read_file(tree, os.fsdecode(row["path"]), not row["single"], contents)
+            row["content"], row["status"] = _read_file(tree, os.fsdecode(row["path"]), not row["single"], tries)
             rows.append(row)
             held += len(row["content"] or b"")
             if held >= _BATCH_BYTES:
@@ -265,12 +115,15 @@ def _read_batches(batches: Iterator[pa.RecordBatch], contents: bool, root: str)
         yield pa.RecordBatch.from_pylist(rows, schema)
 
 
-def _read_file(tree: _LocalTree | _StoreTree, path: str, sniff: bool, contents: bool) -> tuple[bytes | None, str]:
+def _read_file(tree: Tree, path: str, sniff: bool, tries: int) -> tuple[bytes | None, str]:
     try:
         with tree.open(path) as file:
             head = file.read(SNIFF_BYTES)
             if sniff and b"\x00" in head:
                 return None, "binary"
-            return (head + file.read() if contents else None), "ok"
-    except OSError:
+            return head + file.read(), "ok"
+    except OSError as problem:
+        # What may pass is left to Spark, which runs the task again.
+        if not isinstance(problem, REFUSALS) and not last_attempt(tries):
+            raise
         return None, "unreadable"

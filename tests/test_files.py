@@ -8,6 +8,8 @@ from leaksieve.operators.files import ScanConfig, is_binary, outside_excluded_di
 from leaksieve.operators.ignore import ignore_regex, is_ignored, parse_ignore_lines
 from leaksieve.plans.sources import scan_files, scan_tree, scan_trees
 from leaksieve.sources.patterns import load_patterns, rules_with_file
+from leaksieve.sources.listing import Share, _entries, list_shares
+from leaksieve.sources.stores import LocalTree, StoreTree
 from leaksieve.sources.tree import list_tree, read_files, select_files
 
 SECRET = "pwd = 'abcdefghij'\n"
@@ -104,11 +106,13 @@ def test_empty_settings_mean_defaults(spark, project):
 
 
 def test_many_directories(spark, tmp_path):
+    """Rounds hand directories on, whatever the budget, and find each file once."""
     for i in range(300):
         write(tmp_path, f"d{i % 20}/e{i}/f{i}.py", SECRET)
-    listed = list_tree(spark, str(tmp_path))
-    assert listed.count() == 300
-    assert listed.rdd.getNumPartitions() > 100
+    expected = sorted(f"d{i % 20}/e{i}/f{i}.py" for i in range(300))
+    for budgets in ((1, 1), (7, 40), (256, 65536)):
+        found = list_shares(spark, str(tmp_path), frozenset(), 8, None, *budgets)
+        assert sorted(r.rel_path for r in found.collect()) == expected
 
 
 def test_names_that_are_not_utf8(spark, tmp_path):
@@ -125,37 +129,33 @@ def test_uris(spark, project):
     assert scan_tree(spark, (project / "nope").as_uri()).errors.count() == 1
 
 
-def test_stores_list_and_read_as_folders_do(project):
-    from leaksieve.sources.tree import _LocalTree, _StoreTree
-
-    local, store = _LocalTree(str(project)), _StoreTree(project.as_uri())
-    assert (local.kind(), store.kind()) == ("directory", "directory") and _StoreTree(project.as_uri() + "/nope").kind() is None
-
-    def listed(tree):
-        rows, stack = set(), [tree.root]
-        while stack:
-            for name, path, is_dir, size in tree.children(stack.pop()):
-                if is_dir:
+def walked(tree):
+    rows, stack = set(), [tree.root]
+    while stack:
+        for page in tree.pages(stack.pop()):
+            for name, path, below, size in page:
+                if below:
                     stack.append(path)
                 else:
                     with tree.open(path) as file:
                         rows.add((name, path, size, bytes(file.read())))
-        return rows
+    return rows
 
-    assert listed(local) == listed(store) and len(listed(store)) > 5
+
+def test_stores_list_and_read_as_folders_do(project):
+    local, store = LocalTree(str(project)), StoreTree(project.as_uri())
+    assert (local.kind(), store.kind()) == ("directory", "directory") and StoreTree(project.as_uri() + "/nope").kind() is None
+    assert walked(local) == walked(store) and len(walked(store)) > 5
 
 
-def test_wide_directories_are_shared(spark, tmp_path):
-    from leaksieve.sources import tree
-    for i in range(120):
-        write(tmp_path, f"wide/d{i}/f.py", SECRET)
+def test_wide_directories_are_listed_in_pages(tmp_path):
+    for i in range(1500):
+        write(tmp_path, f"wide/d{i % 700}/f{i}.py", SECRET)
         write(tmp_path, f"wide/f{i}.py", SECRET)
-    reader = tree._TreeReader(str(tmp_path), frozenset({"d7"}), 256, 50)
-    partitions = reader.partitions()
-    assert len(partitions) == 256
-    rows = [row for p in partitions for row in reader.read(p)]
-    assert sorted(r[1] for r in rows) == sorted([f"wide/f{i}.py" for i in range(120)]
-                                                + [f"wide/d{i}/f.py" for i in range(120) if i != 7])
+    rows = list(_entries(LocalTree(str(tmp_path)), [Share(str(tmp_path / "wide"))], frozenset({"d7"}), 100))
+    assert sorted(r[3] for r in rows if r[0] == "file") == sorted(f"f{i}.py" for i in range(1500))
+    assert {os.path.basename(r[1]) for r in rows if r[0] == "share"} == {b"d%d" % i for i in range(700)} - {b"d7"}
+    assert all(len(page) <= 1000 for page in LocalTree(str(tmp_path)).pages(str(tmp_path / "wide")))
 
 
 def test_symlinked_directories_are_not_followed(spark, project):

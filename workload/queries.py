@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from leaksieve.operators import files, order, rollup
 from leaksieve.operators.ignore import is_ignored
 from leaksieve.operators.merge import files_scanned
 from leaksieve.plans.scan import attach_rules, find_hits, scan_text
-from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_table, scan_tree
+from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_table, scan_tree, scan_trees
 from leaksieve.plans.views import register_views
 from leaksieve.rules import Rule, RuleSet
 from leaksieve.sources.patterns import rules_with_file
@@ -275,6 +276,34 @@ def tree_scan(spark, sf_dir):
     return scan.findings.select("file_path", "line_number", "rule_id", "matched_text")
 
 
+_ONE_FILE = "(SELECT 1 AS id, string_agg(text, chr(10) ORDER BY doc_id) AS text FROM documents)"
+_BENCH_FILES = "(SELECT item_id, concat(text, chr(10), 'pwd = ', chr(39), 'bench-', cast(item_id AS string), chr(39)) AS text FROM benchmark)"
+
+
+@query("SELECT * FROM (" + scan_sql(_ONE_FILE, ["id"], "SELECT 'file' AS target, line_number, rule_id, matched_text, CAST(NULL AS VARCHAR) "
+                                    "AS message FROM found")
+       + ") UNION ALL SELECT * FROM (" + scan_sql(_BENCH_FILES, ["item_id"], "SELECT 'tree', CAST(NULL AS INTEGER), rule_id, matched_text, "
+                                                  "CAST(NULL AS VARCHAR) FROM found")
+       + ") UNION ALL SELECT 'missing', NULL, NULL, NULL, 'Path not found: missing'")
+def file_and_targets_scan(spark, sf_dir):
+    """All documents in one file, read in ranges by many tasks; a tree; and a target that does not exist."""
+    folder = scratch_dir(spark).removeprefix("file://")
+    table(spark, sf_dir, "documents").orderBy("doc_id").select("text").write.text(f"{folder}/parts")
+    with open(f"{folder}/all.txt", "wb") as whole:
+        for name in sorted(n for n in os.listdir(f"{folder}/parts") if n.startswith("part-")):
+            with open(f"{folder}/parts/{name}", "rb") as part:
+                shutil.copyfileobj(part, whole)
+    secret = F.concat("text", F.lit("\npwd = 'bench-"), "item_id", F.lit("'"))
+    table(spark, sf_dir, "benchmark").select(secret).write.text(f"{folder}/tree")
+    targets = {f"{folder}/all.txt": "file", f"{folder}/tree": "tree", f"{folder}/missing": "missing"}
+    scan = scan_trees(spark, list(targets), config=files.ScanConfig(range_bytes=1 << 18)).written(f"{folder}/scan")
+    named = F.create_map(*[F.lit(v) for pair in targets.items() for v in pair])[F.col("target")]
+    found = scan.findings.select(
+        named.alias("target"), F.when(named == "file", F.col("line_number")).alias("line_number"), "rule_id", "matched_text")
+    errors = scan.errors.select(named.alias("target"), F.replace("message", F.lit(f"{folder}/")).alias("message"))
+    return found.unionByName(errors, allowMissingColumns=True)
+
+
 # --- hosted repositories -------------------------------------------------------------------
 
 _HOSTED_SQL = (
