@@ -7,7 +7,7 @@ import shutil
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from leaksieve.functions import labels, redact, text as texts
 from leaksieve.functions.entropy import is_high_entropy, shannon_entropy
@@ -15,6 +15,7 @@ from leaksieve.functions.paths import file_name
 from leaksieve.operators import files, order, rollup
 from leaksieve.operators.ignore import is_ignored
 from leaksieve.operators.merge import files_scanned
+from leaksieve.operators.rule_index import RuleIndex, python_rule_rows, scan_with_index
 from leaksieve.plans.scan import attach_rules, find_hits, scan_text
 from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_table, scan_tree, scan_trees
 from leaksieve.plans.views import register_views
@@ -162,6 +163,26 @@ def pattern_file_scan(spark, sf_dir):
     return found.where("ord > 78").select("doc_id", "line_number", "rule_id", "matched_text")
 
 
+_WORD_RULES = ("(SELECT CAST(row_number() OVER (ORDER BY word) AS INTEGER) AS ord, word FROM (SELECT DISTINCT unnest("
+               "regexp_extract_all(lower(text), '[a-z]{11,}')) AS word FROM documents))")
+
+
+@query(f"WITH rules AS {_WORD_RULES}, pieces AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), "
+       "raw_lines AS (SELECT doc_id, unnest(parts) AS line, CAST(unnest(range(1, len(parts) + 1)) AS INTEGER) AS line_number FROM pieces) "
+       "SELECT doc_id, line_number, ord, concat('word-', word) AS rule_id, regexp_extract(line, concat(word, '[a-z]*,? [A-Za-z]'), 0) AS matched_text "
+       f"FROM raw_lines JOIN rules ON contains(lower(line), word) WHERE length(trim(line, {WHITESPACE_SQL})) >= 8 "
+       "AND regexp_matches(line, concat(word, '[a-z]*,? [A-Za-z]'))")
+def indexed_rules_scan(spark, sf_dir):
+    """A rule for every long word of the documents, thousands of them, found through the index of keywords."""
+    docs = table(spark, sf_dir, "documents")
+    words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{11,}"), F.lit(0))).alias("word")).distinct()
+    rules = words.select(
+        F.row_number().over(Window.orderBy("word")).alias("ord"), F.concat(F.lit("word-"), "word").alias("rule_id"),
+        F.concat("word", F.lit("[a-z]*,? [A-Za-z]")).alias("pattern"), F.array("word").alias("keywords"))
+    found = scan_with_index(docs.select("doc_id", "text"), "text", RuleIndex(python_rule_rows(rules)), partitions=input_partitions(spark))
+    return found.select("doc_id", "line_number", "ord", "rule_id", "matched_text")
+
+
 @query(f"SELECT file_path, count(*) AS n FROM (SELECT concat_ws('/', role, conv_id, turn) AS file_path FROM ("
        + scan_sql(duckdb_sql("planted_conversations"), ["role", "conv_id", "turn"], "SELECT role, conv_id, turn FROM found")
        + ")) GROUP BY file_path")
