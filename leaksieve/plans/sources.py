@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leaksieve.functions.text import decode_lenient
+from leaksieve.operators.branches import reachable_commits
 from leaksieve.operators.files import ScanConfig
 from leaksieve.operators.history import first_occurrences, newest_commits
 from leaksieve.operators.merge import ERROR_SCHEMA, FINDING_COLUMNS, LOG_SCHEMA, canonical, union_all
@@ -170,14 +171,23 @@ def _scan_rows(rows: DataFrame, failed, target: str, rules: RuleSet | None) -> S
 
 
 def scan_history(patches: DataFrame, rules: RuleSet | None = None, *, depth: int | None = None,
-                 branch: str | None = None, keep_plus_plus: bool = False, partitions: int | None = None) -> Scan:
+                 branch: str | None = None, heads: DataFrame | None = None, keep_plus_plus: bool = False,
+                 partitions: int | None = None) -> Scan:
     """A scan of the lines that commits added. ``patches`` has the columns of ``PATCH_COLUMNS``, ``problem`` if it likes.
 
+    With ``heads`` (repo, branch, commit_sha) and the column ``parent_shas``, only commits that the heads of ``branch``, or all
+    heads, can reach are scanned, and ``depth`` counts these. Without heads ``branch`` filters a column ``branch``, if there is one.
+
     A secret found repeatedly in one file of one commit is reported once. Records and changes that
     could not be parsed are error rows.
     """
     rules = rules or RuleSet.builtin()
-    if branch is not None and "branch" in patches.columns:
+    if heads is not None:
+        wanted = heads if branch is None else heads.where(F.col("branch") == branch)
+        held = reachable_commits(patches.select("repo", "commit_sha", "parent_shas"), wanted).alias("r")
+        # Rows that could not be parsed belong to no branch.
+        patches = patches.alias("p").join(held, F.col("p.repo").eqNullSafe(F.col("r.repo")) & (F.col("p.commit_sha") == F.col("r.commit_sha")), "left_semi")
+    elif branch is not None and "branch" in patches.columns:
         patches = patches.where(F.col("branch") == branch)
     if "patch_pos" not in patches.columns:
         patches = patches.withColumn("patch_pos", F.lit(0))

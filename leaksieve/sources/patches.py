@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from leaksieve.functions.text import decode_lenient
 
 PATCH_COLUMNS = ("repo", "commit_sha", "parent_sha", "seq", "author", "committed_at", "file_path",
-                 "patch_pos", "patch", "problem")
+                 "patch_pos", "patch", "problem", "parent_shas")
 
 
 def read_git_log(spark: SparkSession, path: str, repo: Column | str) -> DataFrame:
@@ -39,7 +39,7 @@ def parse_commits(commits: DataFrame) -> DataFrame:
     commits = commits.select(
         "repo", "__block", "__row",
         ids[0].alias("commit_sha"),
-        F.get(F.filter(ids, _is_sha), F.lit(1)).alias("parent_sha"),
+        F.slice(F.filter(ids, _is_sha), 2, 2**30).alias("parent_shas"),
         _header(head, "Author").alias("__author"),
         F.coalesce(_header(head, "CommitDate"), _header(head, "Date")).alias("committed_at"),
         F.split(text, r"\ndiff --(?=(?:git|cc|combined) )").alias("__files"), F.length(F.trim(value)).alias("__length"))
@@ -47,7 +47,7 @@ def parse_commits(commits: DataFrame) -> DataFrame:
         "commit_sha", F.when(_is_sha(F.col("commit_sha")), F.col("commit_sha")))
     changes = F.when(F.col("commit_sha").isNotNull(), F.slice("__files", 2, F.greatest(F.size("__files") - 1, F.lit(0))))
     files = commits.select(
-        "repo", "commit_sha", "parent_sha", "__block", "__row", "committed_at",
+        "repo", "commit_sha", "parent_shas", "__block", "__row", "committed_at",
         F.trim(F.regexp_replace("__author", r"\s*<[^>]*>\s*$", "")).alias("author"),
         F.posexplode_outer(changes).alias("patch_pos", "__file"))
     plain = F.startswith("__file", F.lit("git "))
@@ -55,11 +55,11 @@ def parse_commits(commits: DataFrame) -> DataFrame:
     problem = F.when(F.col("commit_sha").isNull(), F.lit("Cannot parse record")).when(
         ~plain, F.concat(F.lit("Cannot parse change: diff --"), F.substring_index("__file", "\n", 1)))
     return files.select(
-        "repo", "commit_sha", "parent_sha",
+        "repo", "commit_sha", F.get("parent_shas", F.lit(0)).alias("parent_sha"),
         # Block offset and row within the task, in file order: a row takes far more than 2^-20 bytes.
         (F.shiftleft(F.col("__block"), 20) + F.col("__row").bitwiseAND(F.lit((1 << 33) - 1))).alias("seq"),
         "author", "committed_at", new_path(header).alias("file_path"), "patch_pos",
-        F.substring("__file", F.length(header) + 6, F.length("__file")).alias("patch"), problem.alias("problem"))
+        F.substring("__file", F.length(header) + 6, F.length("__file")).alias("patch"), problem.alias("problem"), "parent_shas")
 
 
 _HUNK = "\n@@ "

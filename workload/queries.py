@@ -16,6 +16,7 @@ from leaksieve.operators import files, order, rollup
 from leaksieve.operators.ignore import is_ignored
 from leaksieve.operators.merge import files_scanned
 from leaksieve.operators.rule_index import RuleIndex, python_rule_rows, scan_with_index
+from leaksieve.plans.copies import scan_copies
 from leaksieve.plans.scan import attach_rules, find_hits, scan_text
 from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_table, scan_tree, scan_trees
 from leaksieve.plans.views import register_views
@@ -92,6 +93,17 @@ def planted_all_rules(spark, sf_dir):
         F.max("high").alias("last_text"))
 
 
+_SHARED = "concat(text, chr(10), 'pwd = ', chr(39), 'shared-', source, chr(39))"
+
+
+@query(scan_sql(f"(SELECT doc_id, unnest(range(10)) AS copy, {_SHARED} AS text FROM documents)", ["doc_id", "copy"],
+                "SELECT doc_id, CAST(copy AS INTEGER) AS copy, line_number, rule_id, matched_text FROM found"))
+def copies_scan(spark, sf_dir):
+    """Ten copies of every document with a secret: each distinct text is matched once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.expr(_SHARED).alias("text"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("copy"))
+    return scan_copies(docs, "text", partitions=input_partitions(spark)).select("doc_id", "copy", "line_number", "rule_id", "matched_text")
+
+
 CUSTOM_PATTERNS = (
     ("Mail Address", r"[0-9a-z.]+@mail[0-9]\.example\.com"),
     ("Phone Number", r"\+1 \([0-9]{3}\) 555-[0-9]{4}"),
@@ -387,6 +399,21 @@ def history_depth(spark, sf_dir):
     return scan_history(table(spark, sf_dir, "patches"), depth=7).findings.select(*_HISTORY_COLUMNS)
 
 
+_EDGES = ("(SELECT repo, commit_sha, rn, unnest([first_sha, merged_sha]) AS parent FROM " + duckdb_sql("branched_patches") + ")")
+
+
+@query("WITH RECURSIVE reach AS (SELECT repo, commit_sha FROM " + duckdb_sql("branched_patches") + " WHERE rn = 1 "
+       f"UNION SELECT e.repo, e.parent FROM reach r JOIN {_EDGES} e ON e.repo = r.repo AND e.commit_sha = r.commit_sha WHERE e.parent IS NOT NULL), "
+       + scan_ctes(_PATCHES, _PATCH_IDS, added=True)
+       + f" SELECT * FROM ({_HISTORY_SELECT}) WHERE (target, commit_sha) IN (SELECT (repo, commit_sha) FROM reach)")
+def branch_scan(spark, sf_dir):
+    """The commits that the newest one of each repository reaches, by first parents and merges."""
+    rows = table(spark, sf_dir, "branched_patches")
+    heads = rows.where("rn IN (1, 10)").select("repo", F.when(F.col("rn") == 1, "main").otherwise("topic").alias("branch"), "commit_sha")
+    patches = rows.withColumn("parent_shas", F.array_compact(F.array("first_sha", "merged_sha"))).drop("rn", "first_sha", "merged_sha")
+    return scan_history(patches, branch="main", heads=heads).findings.select(*_HISTORY_COLUMNS)
+
+
 _LOGGED = ("(SELECT doc_id, source, lang, concat('+', replace(text, chr(10), concat(chr(10), '+')), chr(10), "
            "'+pwd = ', chr(39), 'pass-', cast(doc_id AS string), chr(39)) AS text FROM documents)")
 

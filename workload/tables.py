@@ -45,6 +45,13 @@ DERIVED = {
         "'+again pwd = ', chr(39), 'shared-', source, chr(39), chr(10), "
         "'+++ pwd = ', chr(39), 'plusplus', cast(doc_id AS string), chr(39), chr(10), "
         "' pwd = ', chr(39), 'context-', cast(doc_id AS string), chr(39)) AS patch FROM {documents}",
+    # The same commits with parents: every fifth of a repository lies on a side branch, and every second of these is merged.
+    "branched_patches":
+        "SELECT *, CASE WHEN rn % 5 = 4 THEN lead(commit_sha, 2) OVER (PARTITION BY repo ORDER BY seq) "
+        "ELSE lead(commit_sha, 1) OVER (PARTITION BY repo ORDER BY seq) END AS first_sha, "
+        "CASE WHEN rn % 10 = 4 THEN lead(commit_sha, 1) OVER (PARTITION BY repo ORDER BY seq) END AS merged_sha "
+        "FROM (SELECT repo, commit_sha, seq, author, committed_at, file_path, patch_pos, patch, "
+        "row_number() OVER (PARTITION BY repo ORDER BY seq) AS rn FROM {patches}) AS numbered",
     # The same commits as git log -p writes them, one record per commit.
     "log_records":
         "SELECT source AS repo, doc_id, concat(md5(cast(doc_id AS string)), ' ', md5(concat('p', cast(doc_id AS string))), "
