@@ -15,7 +15,7 @@ Duplicates are found with radix tries that hold whole texts and the least id at
    document with the number of its text in that share. A text itself is written once per share: a group of copies
    that holds a third of the table shrinks to a few rows a task before anything is shuffled.
 2. The texts are range-partitioned by prefixes that adapt to them: eight bytes, and four times as many as
-   long as the texts behind a prefix weigh more than ``TARGET_BYTES`` (and a 2**18th of all, so that the list of heavy
+   long as the texts behind a prefix weigh more than ``PREFIX_BYTES`` (and a 2**18th of all, so that the list of heavy
    prefixes is bounded). Equal texts have equal prefixes. Each prefix gets a trie of its own; when it is full of
    the prefix's texts, its ends hold the least id of each text in the table.
 3. The least ids go back to the narrow rows by the numbers, which no group of copies makes frequent, and a row fails
@@ -49,6 +49,8 @@ FILTERS = "ABCDE"
 SHARE_BYTES = 16 << 20
 SHARE_ROWS = 1 << 16
 TARGET_BYTES = 8 << 20
+#: Bytes of texts behind one prefix; the prefixes of a task are dealt by ranges.
+PREFIX_BYTES = 1 << 18
 
 _MASKS = range(1 << len(FILTERS))
 _BIT = {letter: 1 << i for i, letter in enumerate(FILTERS)}
@@ -124,7 +126,7 @@ def _ended(trie: Trie, nodes: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]
             names=["node", "least"])
 
 
-def with_adaptive_prefix(texts: DataFrame, target: int = TARGET_BYTES) -> tuple[DataFrame, int]:
+def with_adaptive_prefix(texts: DataFrame, target: int = PREFIX_BYTES) -> tuple[DataFrame, int]:
     """The rows with a ``prefix`` of their binary ``text``, and the bytes of all texts.
 
     Prefixes behind which more than ``target`` bytes lie are made longer, until there are none but
