@@ -12,10 +12,10 @@ def brute_force(rows, is_query, k):
     ids = np.array([i for i, _ in rows])
     x = np.array([v for _, v in rows], float)
     found = {}
-    for i, v in zip(ids.tolist(), x):
+    for own, (i, v) in enumerate(zip(ids.tolist(), x)):
         if is_query(i):
             score = (x * v).sum(1)
-            order = [j for j in np.lexsort((ids, -score)) if ids[j] != i][:k]
+            order = [j for j in np.lexsort((ids, -score)) if j != own][:k]
             found[i] = [(int(ids[j]), float(score[j])) for j in order]
     return found
 
@@ -79,5 +79,53 @@ def test_scan_drops_pairs_and_keeps_neighbours(spread):
     assert np.mean([(i, j) in kept for i, own in enumerate(true.tolist()) for j in own]) > 0.97
 
 
+def clustered(rng, n, size, groups, spread=0.05):
+    centres = rng.normal(size=(groups, size))
+    return centres[rng.integers(groups, size=n)] + spread * rng.normal(size=(n, size))
+
+
+def heavy_tailed(rng, n, size):
+    return rng.standard_t(2, size=(n, size)) * rng.pareto(1.5, size=(n, 1))
+
+
+@pytest.mark.parametrize("kind, n", [("clusters", 20000), ("tight", 6000), ("tails", 6000), ("random", 6000), ("large", 3000)])
+def test_every_query_has_its_neighbours(spark, kind, n):
+    """The cases in which lists are small or a scan drops much: k rows for each query, and a recall of the whole of 0.9."""
+    rng = np.random.default_rng(7)
+    x = {"clusters": lambda: clustered(rng, n, 64, 200), "tight": lambda: clustered(rng, n, 32, 900, 1e-7), "tails": lambda: heavy_tailed(rng, n, 48),
+         "random": lambda: rng.normal(size=(n, 64)), "large": lambda: 1e8 + clustered(rng, n, 16, 40)}[kind]()
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    found = results(nearest(frame, F.col("vec_id") % 20 == 0))
+    assert set(found) == set(range(0, n, 20)) and all(len(f) == 20 for f in found.values())
+    hits = 0.0
+    for i, own in found.items():
+        score = (x * x[i]).sum(1)
+        score[i] = -np.inf
+        # Neighbours of one score may change places.
+        least = np.partition(score, -20)[-20]
+        hits += sum(s >= least - 1e-9 * abs(least) for _, s in own) / 20
+        assert all(abs(s - score[j]) <= 1e-9 * abs(s) and j != i for j, s in own)
+    assert hits / len(found) >= 0.9
+
+
+def test_rows_of_one_id(spark):
+    """Rows of one id with different vectors are candidates of their own; equal rows are one."""
+    rows = [(0, [1.0, 0.0]), (1, [5.0, 0.0]), (1, [-5.0, 1.0]), (1, [5.0, 0.0]), (2, [3.0, 0.0]), (20, [0.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    different = [r for i, r in enumerate(rows) if i != 3]
+    assert results(nearest(frame, F.col("vec_id") % 20 == 0)) == brute_force(different, lambda i: i % 20 == 0, 20)
+    both = nearest(spark.createDataFrame([(20, [1.0, 0.0]), (20, [0.0, 2.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") == 20, 5)
+    assert sorted(map(tuple, both.collect())) == [(20, 1, 3, 1.0), (20, 1, 3, 2.0), (20, 2, 20, 0.0), (20, 2, 20, 0.0)]
+    one = spark.createDataFrame([(20, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert nearest(one, F.col("vec_id") == 20, 5).collect() == []
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1, 41)], "vec_id long, embedding array<double>")
+    clashing = frame.selectExpr("*", "1 AS key", "2 AS list", "3 AS rank", "4 AS vec", "5 AS query_id", "6 AS score")
+    is_query = F.col("vec_id") % 20 == 0
+    assert results(nearest(clashing, is_query)) == results(nearest(frame, is_query))
+
+
 def test_empty_table(spark):
     assert nearest(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 20 == 0).collect() == []
