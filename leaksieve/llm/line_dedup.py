@@ -1,22 +1,30 @@
-"""Deletes passages of lines that stand in an earlier document, or earlier in the same one.
+"""Deletes passages of lines that stand in an earlier document, or earlier in the same one, by winnowing.
 
-Lines are compared by their words; lines without a word are no part of a passage. A gram is a run of lines
-with at least ``GRAM_WORDS`` words that is the shortest such run from its first line or up to its last one. A line
-goes if a gram that holds it stands in an earlier document or earlier in its own. Every line of a passage of
-``GRAM_WORDS`` words or more lies in a gram within the passage, and whether a run is a gram is decided by its own lines:
-so a passage of that length that stood before goes whole, wherever and however often its parts stand otherwise.
-A passage of ``GUARANTEE`` words, which callers may rely on, is longer than that.
+Lines are compared by their words; lines without a word are no part of a passage. A *gram* is a run of lines
+with at least ``GRAM_WORDS`` words that is the shortest such run from its first line or up to its last one; a *window* is the
+same with ``GUARANTEE`` words. Of the grams within a window the one with the smallest hash is its fingerprint. Whether a run is a
+gram or a window, and which gram is chosen, is decided by the lines of the window alone. So equal windows have one
+fingerprint, and documents that share a window share a fingerprint, although few of all grams are kept.
 
-How it runs: one pass over the texts gives the hash, first and last line of each document's grams, without texts and
-at most two for a line; a gram that repeats within a document is given once, at its first place, and its other places are
-marked at once. A rollup with partial sums gives each gram's first document, which is joined back to the later ones: one
-row per later document that holds the gram, never the pairs of a group.
+How it runs:
+
+1. One pass over the texts gives each document's fingerprints, each once, and its windows with the fingerprint, first and last
+   line of each, without texts. Grams and windows that repeat within a document are marked at once.
+2. A rollup with partial sums counts the documents of each fingerprint; those of more than one are matches, and are joined
+   back to the documents that hold them.
+3. A match is extended both ways, line by line, to all windows that chose the fingerprint: a second rollup gives each
+   window's first document, whichever that is, and the window is joined back to the later ones.
+4. Windows that stand earlier cover the runs that are deleted: as each line of a passage of ``GUARANTEE`` words lies in a window within
+   the passage, such a passage goes whole, wherever and however often its parts stand otherwise.
+
+There is one row per document and shared fingerprint or window, never the pairs of a group; rows of one that very many
+documents hold are joined in parts.
 
 Order: ``doc_id`` (null last), then the row's place in the input; the earliest copy of a line stays.
 
-Defined results: a null text stays null and an empty one empty; a passage of fewer than ``GRAM_WORDS`` words stays
-wherever it repeats; of repeated rows the first keeps its text; blank lines go with the line before
-them; other columns are left as they are.
+Defined results: a null text stays null and an empty one empty; a passage of fewer than ``GUARANTEE`` words stays in each
+document (one of ``GRAM_WORDS`` words goes where it repeats within a document); of repeated rows the first keeps its text;
+blank lines go with the line before them; other columns are left as they are.
 """
 
 from __future__ import annotations
@@ -33,7 +41,10 @@ from leaksieve.llm.shared import discard, free_name, python_ready, tidy, written
 GRAM_WORDS = 25
 GUARANTEE = 50
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_LINED = "key long, doc_id long, n_lines int, at array<int>, gone binary, prints array<long>, begins array<int>, stops array<int>"
+#: Rows of one fingerprint or window that are joined in one part, at least.
+PART_ROWS = 1 << 12
+_WINDOWS = "windows array<long>, chosen array<long>, begins array<int>, stops array<int>"
+_LINED = f"key long, doc_id long, n_lines int, at array<int>, gone binary, prints array<long>, {_WINDOWS}"
 
 
 def _odd_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,13 +72,16 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return line, sizes, number[begins], np.searchsorted(begins, first), n_lines
 
 
-def grams_of(line: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every gram, by its first line: its hash, its first line, and the line behind its last."""
+def runs_of(line: np.ndarray, sizes: np.ndarray, first: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The runs of at least ``n_words`` words that are shortest from their first or up to their last line.
+
+    Of each, ordered by its first line: its hash, its first line, and the line behind its last.
+    """
     n = np.diff(first)
     start, stop = np.repeat(first[:-1], n), np.repeat(first[1:], n)
     total = np.concatenate([[0], np.cumsum(sizes)])
-    end = np.searchsorted(total, total[:-1] + GRAM_WORDS)
-    begin = np.searchsorted(total, total[1:] - GRAM_WORDS, side="right") - 1
+    end = np.searchsorted(total, total[:-1] + n_words)
+    begin = np.searchsorted(total, total[1:] - n_words, side="right") - 1
     at, last = np.flatnonzero(end <= stop), np.flatnonzero(begin >= start)
     # Runs that are the shortest both ways are taken once.
     last = last[end[begin[last]] != last + 1]
@@ -79,6 +93,30 @@ def grams_of(line: np.ndarray, sizes: np.ndarray, first: np.ndarray) -> tuple[np
     return mix((sums[ends] - sums[begins]) * inverse[begins]), begins, ends
 
 
+def winnow(grams: tuple[np.ndarray, np.ndarray, np.ndarray], begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The smallest hash of the grams within each window."""
+    gram, first, stop = grams
+    least = np.full(len(begins), np.uint64(0xFFFFFFFFFFFFFFFF))
+    live, at = np.arange(len(begins)), np.searchsorted(first, begins)
+    while len(live):
+        inside = at < len(gram)
+        live, at = live[inside], at[inside]
+        inside = first[at] < ends[live]
+        live, at = live[inside], at[inside]
+        whole = stop[at] <= ends[live]
+        least[live[whole]] = np.minimum(least[live[whole]], gram[at[whole]])
+        at = at + 1
+    return least
+
+
+def _again(run: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which runs stood earlier in the same text."""
+    order = np.lexsort((run, owner))
+    again = np.zeros(len(order), bool)
+    again[order[1:]] = (run[order][1:] == run[order][:-1]) & (owner[order][1:] == owner[order][:-1])
+    return again
+
+
 def _cover(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n lines a range covers."""
     steps = np.bincount(begins, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
@@ -90,27 +128,32 @@ def _lined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, offsets = buffers(batch.column("text"))
         for a, b in blocks(offsets):
             line, sizes, number, first, n_lines = lines_of(data, offsets[a:b + 1])
-            gram, begins, ends = grams_of(line, sizes, first)
             text = np.repeat(np.arange(b - a), np.diff(first))
-            # Grams that stood earlier in the same text.
+            grams = runs_of(line, sizes, first, GRAM_WORDS)
+            again = _again(grams[0], text[grams[1]])
+            gone = _cover(grams[1][again], grams[2][again], len(line))
+            # A window that repeats within a text is made of repeated grams.
+            window, begins, ends = runs_of(line, sizes, first, GUARANTEE)
+            chosen = winnow(grams, begins, ends)
+            fresh = ~_again(window, text[begins])
+            window, begins, ends, chosen = window[fresh], begins[fresh], ends[fresh], chosen[fresh]
             owner = text[begins]
-            order = np.lexsort((gram, owner))
-            again = np.zeros(len(order), bool)
-            again[1:] = (gram[order][1:] == gram[order][:-1]) & (owner[order][1:] == owner[order][:-1])
-            repeated = order[again]
-            gone = _cover(begins[repeated], ends[repeated], len(line))
-            prints = np.sort(order[~again])
+            order = np.lexsort((chosen, owner))
+            prints = order[~_again(chosen, owner)[order]]
+            window_first = np.searchsorted(owner, np.arange(b - a + 1)).astype(np.int32)
             print_first = np.searchsorted(owner[prints], np.arange(b - a + 1)).astype(np.int32)
-            shift = first[owner[prints]]
             marks = gone.astype(np.uint8).tobytes()
+
+            def lists(begin: np.ndarray, values: np.ndarray) -> pa.ListArray:
+                return pa.ListArray.from_arrays(pa.array(begin), pa.array(values))
+
             yield pa.record_batch({
                 "key": batch.column("key").slice(a, b - a), "doc_id": batch.column("doc_id").slice(a, b - a),
-                "n_lines": pa.array(n_lines.astype(np.int32)),
-                "at": pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(number.astype(np.int32))),
+                "n_lines": pa.array(n_lines.astype(np.int32)), "at": lists(first.astype(np.int32), number.astype(np.int32)),
                 "gone": pa.array([marks[x:y] for x, y in zip(first[:-1], first[1:])], pa.binary()),
-                "prints": pa.ListArray.from_arrays(pa.array(print_first), pa.array(signed(gram[prints]))),
-                "begins": pa.ListArray.from_arrays(pa.array(print_first), pa.array((begins[prints] - shift).astype(np.int32))),
-                "stops": pa.ListArray.from_arrays(pa.array(print_first), pa.array((ends[prints] - shift).astype(np.int32)))})
+                "prints": lists(print_first, signed(chosen[prints])), "windows": lists(window_first, signed(window)),
+                "chosen": lists(window_first, signed(chosen)), "begins": lists(window_first, (begins - first[owner]).astype(np.int32)),
+                "stops": lists(window_first, (ends - first[owner]).astype(np.int32))})
 
 
 def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,20 +177,40 @@ def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "mask": pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.concatenate(found)))})
 
 
+def _join_back(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """``rows`` joined to the written ``table`` (``on``, ``n`` rows with it, more), those of a frequent value in parts.
+
+    Fewer than 1,024 values have more than a 1,024th of all rows; only their numbers are collected. Both sides are shuffled at
+    every size, as either grows with the input.
+    """
+    limit = max(PART_ROWS, (table.agg(F.sum("n")).first()[0] or 0) >> 10)
+    many = table.where(F.col("n") > limit).select(on, F.ceil(F.col("n") / limit).cast("long").alias("parts")).collect()
+    many = F.broadcast(table.sparkSession.createDataFrame(many, f"{on} long, parts long"))
+    parts = F.coalesce("parts", F.lit(1))
+    rows = rows.join(many, on, "left").withColumn("part", F.pmod("key", parts)).drop("parts")
+    table = table.join(many, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("parts", "n")
+    return rows.join(table.hint("merge"), [on, "part"]).drop("part")
+
+
 def repeated_lines(keyed: DataFrame) -> DataFrame:
     """``(key, n_removed, n_left, mask)`` of the rows of ``keyed`` (key, doc_id, text) that lose a line."""
     lined = written(python_ready(keyed).select("key", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
                     .mapInArrow(tidy(_lined), _LINED))
-    prints = lined.where(F.size("prints") > 0).select("key", "doc_id", F.explode(F.arrays_zip("prints", "begins", "stops")).alias("p")).select(
-        "key", F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key").alias("who"), F.col("p.prints").alias("print"),
-        F.col("p.begins").alias("begin"), F.col("p.stops").alias("stop"))
-    firsts = prints.groupBy("print").agg(F.min("who").alias("first"), F.count("*").alias("n")).where("n > 1")
-    matches = prints.select("key", "print", "begin", "stop").join(firsts.select("print", F.col("first.key").alias("first_key")), "print")
+    prints = lined.select("key", F.explode("prints").alias("print"))
+    shared = written(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"))
+    matched = _join_back(prints, shared, "print").groupBy("key").agg(F.collect_list("print").alias("matched"))
+    holders = lined.select("key", "doc_id", "windows", "chosen", "begins", "stops").join(matched.hint("merge"), "key")
+    windows = written(holders.select("key", "doc_id", "matched", F.explode(F.arrays_zip("windows", "chosen", "begins", "stops")).alias("w")).where(
+        F.array_contains("matched", F.col("w.chosen"))).select(
+        "key", "doc_id", F.col("w.windows").alias("window"), F.col("w.begins").alias("begin"), F.col("w.stops").alias("stop")))
+    who = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "key")
+    firsts = written(windows.groupBy("window").agg(F.min(who)["key"].alias("first_key"), F.count("*").alias("n")).where("n > 1"))
+    matches = _join_back(windows.select("key", "window", "begin", "stop"), firsts, "window")
     runs = matches.where("key <> first_key").groupBy("key").agg(F.collect_list(F.struct("begin", "stop")).alias("runs"))
     marked = lined.select("key", "n_lines", "at", "gone").join(runs, "key", "left").where(
         F.col("runs").isNotNull() | F.col("gone").contains(F.lit(b"\x01")))
     masks = written(marked.mapInArrow(_masks, "key long, n_removed int, n_left int, mask array<boolean>"))
-    discard(lined)
+    discard(lined, shared, windows, firsts)
     return masks
 
 

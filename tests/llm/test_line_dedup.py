@@ -3,6 +3,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from leaksieve.llm import line_dedup
 from leaksieve.llm.line_dedup import GRAM_WORDS, GUARANTEE, dedup_lines, keep_first_lines
 from tests.llm.data import PASSAGE, empty_frame, odd_frame, words
 
@@ -13,36 +14,40 @@ def spoken(text):
     return [(i, tuple(words(line))) for i, line in enumerate((text or "").split("\n")) if words(line)]
 
 
-def guaranteed(rows):
-    """(row, line) of every line of a window of GUARANTEE words that stands in an earlier row."""
-    seen, found = set(), set()
-    for r, (_, text) in enumerate(rows):
-        lines, own = spoken(text), []
-        for i in range(len(lines)):
-            j, n = i, 0
-            while j < len(lines) and n < GUARANTEE:
-                n += len(lines[j][1])
-                j += 1
-            if n >= GUARANTEE:
-                own.append((tuple(x for _, x in lines[i:j]), lines[i:j]))
-        for window, at in own:
-            if window in seen:
-                found |= {(r, k, x) for k, x in at}
-        seen |= {window for window, _ in own}
+def runs(lines, n_words):
+    """Places (begin, end) of the runs of lines that are the shortest with so many words from their first or up to their last line."""
+    found = set()
+    for i in range(len(lines)):
+        for j in range(i + 1, len(lines) + 1):
+            count = sum(len(x) for _, x in lines[i:j])
+            if count >= n_words and (count - len(lines[j - 1][1]) < n_words or count - len(lines[i][1]) < n_words):
+                found.add((i, j))
     return found
 
 
-def in_gram(rows):
-    """(row, line number) of every line of a gram that stands earlier: nothing else may go."""
-    seen, allowed = set(), set()
-    for r, (_, text) in enumerate(rows):
-        lines, own = spoken(text), set()
-        pairs = {x for _, x in lines}
-        for i, x in lines:
-            if x in seen or sum(y == x for _, y in lines) > 1:
-                allowed.add((r, i))
-        seen |= pairs
-    return allowed
+def brute_force(rows):
+    """The kept lines of each row: lines of windows that stand in an earlier row go, and of grams that repeat in their own."""
+    seen, out = set(), []
+    for _, text in rows:
+        lines = spoken(text)
+        content = lambda r: tuple(x for _, x in lines[r[0]:r[1]])
+        windows, own, gone = runs(lines, GUARANTEE), set(), set()
+        for r in sorted(runs(lines, GRAM_WORDS)):
+            if content(r) in own:
+                gone |= set(range(*r))
+            own.add(content(r))
+        for r in windows:
+            if content(r) in seen:
+                gone |= set(range(*r))
+        seen |= {content(r) for r in windows}
+        numbers, kept = [n for n, _ in lines], []
+        for n, line in enumerate(text.split("\n")):
+            # A blank line goes with the line before it.
+            before = [k for k, m in enumerate(numbers) if m <= n]
+            if not before or before[-1] not in gone:
+                kept.append(line)
+        out.append("\n".join(kept))
+    return out
 
 
 def run(spark, rows):
@@ -81,24 +86,9 @@ def test_random_documents(spark):
     for i in range(60):
         at = rng.randrange(30)
         rows.append((i, "\n".join([f"own {i}", *pool[at:at + rng.randrange(3, 10)], "", f"more {i}", *rng.sample(pool, 2)])))
+    rows += [rows[3], rows[17]]
     kept = run(spark, rows)
-    must, may = guaranteed(rows), in_gram(rows)
-    for r, ((_, text), left) in enumerate(zip(rows, kept)):
-        before, after = text.split("\n"), left.split("\n")
-        # What is kept is the text's lines in order; what went stood earlier.
-        gone, k = set(), 0
-        for i, line in enumerate(before):
-            if k < len(after) and after[k] == line:
-                k += 1
-            else:
-                gone.add(i)
-        assert k == len(after)
-        assert all((r, i) in may or not words(before[i]) for i in gone)
-        # Every window of a guaranteed passage has lost a gram at least.
-        for line in {x for q, _, x in must if q == r}:
-            assert (r, spoken(text)[[x for _, x in spoken(text)].index(line)][0]) in may
-        lost = sum(len(words(before[i])) for i in gone)
-        assert lost >= GRAM_WORDS or not any(q == r for q, _, _ in must)
+    assert kept == brute_force(rows) and sum(len(words(t)) for t in kept) < sum(len(words(t)) for _, t in rows) * 0.7
 
 
 def test_odd_rows(spark):
@@ -141,11 +131,14 @@ def test_passage_whose_lines_stand_earlier_in_its_text(spark):
         assert run(spark, [(0, "\n".join([g, g, m])), (1, "\n".join([y, g, g, m, z]))])[1] == "\n".join([y, z])
     pool = [line(f"l{k}w", rng.randrange(5, 40)) for k in range(9)]
     rows = [(i, "\n".join([f"own {i}", *rng.choices(pool, [8, 4, *[1] * 7], k=rng.randrange(4, 12))])) for i in range(25)]
-    must = guaranteed(rows)
-    for r, ((_, text), left) in enumerate(zip(rows, run(spark, rows))):
-        keeps = Counter(left.split("\n"))
-        stays = Counter(x for i, x in enumerate(text.split("\n")) if not any(q == r and k == i for q, k, _ in must))
-        assert keeps <= stays
+    assert run(spark, rows) == brute_force(rows)
+
+
+def test_frequent_windows_are_joined_in_parts(spark, monkeypatch):
+    """A passage that most documents hold, and one in fewer."""
+    monkeypatch.setattr(line_dedup, "PART_ROWS", 5)
+    rows = [(i, "\n".join([f"own {i}", PASSAGE if i % 4 else line(f"p{i % 8}", 60), f"more {i}"])) for i in range(80)]
+    assert run(spark, rows) == brute_force(rows)
 
 
 def test_passage_goes_whole_where_an_earlier_text_holds_a_part(spark):
