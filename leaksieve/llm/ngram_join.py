@@ -21,7 +21,8 @@ How it runs:
    in two random orders: pairs in proportion to the postings. Those that share ``OFTEN`` lists, or a long
    one, are probed; the ones that reach T become links, and the links components.
    Twice more, members of a long list outside its largest component are proposed to a few members of that.
-   Lists with the same first member go to one task, so that lists of one group propose a pair once.
+   Lists with the same first member go to one task, so that lists of one group propose a pair once; where these have
+   very many members, to several.
 4. Round two is exact: members of a list that are in different components and of fitting size are
    all counted, those with enough common lists probed. A large group of near copies is one component by then and proposes nothing.
 
@@ -35,6 +36,7 @@ id belong to the components they link with, but a component's id is its smallest
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -57,6 +59,13 @@ LONG_LIST = 16
 #: Neighbours in an order that round one proposes for a member of a list.
 NEIGHBOURS = 2
 
+#: Members of lists with one first member that go to one task, at least, and members of all lists that do, about.
+HEAD_ROWS, TASK_ROWS = 1 << 11, 1 << 16
+#: Bytes of sets in one bucket, about.
+BUCKET_BYTES = 128 << 20
+#: Bits of the filter by which the texts whose sets are needed are found: 16 for each, and at most so many.
+FILTER_BITS = 1 << 27
+
 _PASS_ONE = "kind int, doc_id long, tkey long, node long, n_shingles long, gram long, cnt long"
 #: Members of a list's largest component that a member outside it is proposed to, and how often that is done.
 ATTACHED, ATTACH_ROUNDS = 8, 2
@@ -350,19 +359,54 @@ def _across(percent: int):
     return run
 
 
-def _sets(size: int):
-    """The set of each node of a task, once: repeated rows meet in one task."""
+def _bits(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The bits that a task's keys set in a filter of ``size`` bits, as pieces of 64 KiB."""
+    bits = np.zeros(size, bool)
+    for batch in batches:
+        for places in _places(batch.column("id").to_numpy(), size):
+            bits[places] = True
+    packed, piece = np.packbits(bits), 1 << 16
+    used = [i for i in range(0, len(packed), piece) if packed[i:i + piece].any()]
+    yield pa.record_batch({"at": pa.array(used, pa.int64()), "bits": pa.array([packed[i:i + piece].tobytes() for i in used], pa.binary())})
+
+
+def _places(ids: np.ndarray, size: int) -> list[np.ndarray]:
+    ids = ids.astype(np.int64).view(np.uint64)
+    return [(mix(ids ^ np.uint64(seed)) % np.uint64(size)).astype(np.int64) for seed in (11, 12, 13, 14)]
+
+
+def _either(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pieces of one place, put together."""
+    found: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for at, bits in zip(batch.column("at").to_pylist(), batch.column("bits").to_pylist()):
+            bits = np.frombuffer(bits, np.uint8)
+            found[at] = found[at] | bits if at in found else bits
+    yield pa.record_batch({"at": pa.array(list(found), pa.int64()), "bits": pa.array([b.tobytes() for b in found.values()], pa.binary())})
+
+
+def _filter_of(ids: DataFrame) -> np.ndarray:
+    """A filter that lets the ``id`` of all rows pass, and few others while there are not very many: at most ``FILTER_BITS``."""
+    size = 1 << 16
+    while size < min(FILTER_BITS, 16 * ids.count()):
+        size *= 2
+    pieces = ids.mapInArrow(partial(_bits, size=size), "at long, bits binary").repartition("at").mapInArrow(_either, "at long, bits binary").collect()
+    packed = np.zeros(size // 8, np.uint8)
+    for r in pieces:
+        packed[r.at:r.at + len(r.bits)] = np.frombuffer(r.bits, np.uint8)
+    return packed
+
+
+def _sets(size: int, wanted):
+    """The sets of the texts that the filter lets pass."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        bits = np.unpackbits(wanted.value).view(bool)
         for batch in batches:
-            data, offsets = buffers(batch.column("text"))
+            passes = np.logical_and.reduce([bits[p] for p in _places(batch.column("id").to_numpy(), len(bits))])
+            data, offsets = buffers(batch.column("text").filter(pa.array(passes)))
             nodes, held, total = [], [], 0
             for grams in gram_sets(data, offsets, size):
-                node = node_of(grams)
-                if node in seen:
-                    continue
-                seen.add(node)
-                nodes.append(node)
+                nodes.append(node_of(grams))
                 held.append(grams.tobytes())
                 total += len(held[-1])
                 if total > 1 << 23:
@@ -373,6 +417,14 @@ def _sets(size: int):
     return run
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of a bucket once: repeated rows have one set."""
+    seen: set[int] = set()
+    for batch in batches:
+        fresh = [node not in seen and not seen.add(node) for node in batch.column("node").to_pylist()]
+        yield batch.filter(pa.array(fresh, pa.bool_()))
+
+
 def _probe(percent: int):
     """Keeps pairs that share enough grams: each gram of the smaller set is looked up in the larger by binary search."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -394,6 +446,7 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     """``(doc_id, n_shingles, component_id)`` for every row of ``docs`` (doc_id, text); see the module."""
     spark = python_ready(docs).sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), F.col("text").cast("string").alias("text"))
+    row_id = F.xxhash64("doc_id", "tkey").alias("id")
     scanned = written(texts.mapInArrow(tidy(_scan(size)), _PASS_ONE))
     rows = scanned.where("kind = 0").select("doc_id", "tkey", "node", "n_shingles")
 
@@ -408,10 +461,24 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     # One text of each node stands for it where its set is needed.
     nodes = rows.where("n_shingles > 0").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")).alias("r"))
     shared = lists.groupBy("node").agg(F.count("*").alias("c"), F.sum("is_long").alias("longs"))
-    wanted = nodes.join(shared.where(F.col("c") >= enough(percent)), "node", "left_semi").select("r.doc_id", "r.tkey")
-    chosen = texts.alias("t").join(wanted.alias("w"), F.expr("t.tkey = w.tkey AND t.doc_id <=> w.doc_id"), "left_semi")
+    wanted = nodes.join(shared.where(F.col("c") >= enough(percent)), "node", "left_semi").select("r.doc_id", "r.tkey").select(row_id)
+    # The texts are not moved to find them: a filter of bounded size lets them pass, and some more whose sets nobody asks for.
+    passing = spark.sparkContext.broadcast(_filter_of(written(wanted)))
     # Bucketed by node: the joins below move pairs and never the table of sets.
-    sets = bucketed(chosen.select("text").mapInArrow(tidy(_sets(size)), "node long, grams binary"), "node")
+    held = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * held // BUCKET_BYTES)
+    sets = bucketed(texts.select(row_id, "text").mapInArrow(tidy(_sets(size, passing)), "node long, grams binary"), "node", buckets, _once)
+
+    # Lists of one first member go to one task, but for those of very many members: fewer than 1,024 have more than a 1,024th of all.
+    total = lists.count()
+    limit = max(HEAD_ROWS, total >> 10)
+    many = lists.groupBy("head").count().where(F.col("count") > limit).select("head", F.ceil(F.col("count") / limit).cast("long").alias("shares")).collect()
+    many = F.broadcast(spark.createDataFrame(many, "head long, shares long"))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // TASK_ROWS)
+
+    def by_head(frame: DataFrame) -> DataFrame:
+        shared_out = frame.join(many, "head", "left").withColumn("share", F.pmod(F.xxhash64("gram"), F.coalesce("shares", F.lit(1))))
+        return shared_out.repartition(tasks, "head", "share").drop("share", "shares")
 
     def linked(pairs: DataFrame) -> DataFrame:
         often = pairs.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= enough(percent)).drop("met")
@@ -422,14 +489,14 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     near = _neighbours(percent)
     # Lists in blocks are dealt out a second time by another hash, which joins what the blocks keep apart.
     dealt_again = lists.where("parts > 1").withColumn("block", F.expr("cast(pmod(xxhash64(node), parts) AS int)"))
-    links = linked(lists.repartition("head").mapInArrow(near, _PAIRS).unionByName(
+    links = linked(by_head(lists).mapInArrow(near, _PAIRS).unionByName(
         dealt_again.repartition("gram", "block").mapInArrow(near, _PAIRS)))
 
     def labelled() -> DataFrame:
         return lists.join(components(links, "a", "b"), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
     for seed in range(1, ATTACH_ROUNDS + 1):
-        links = links.unionByName(linked(labelled().repartition("head").mapInArrow(_attach(percent, seed), _PAIRS)))
+        links = links.unionByName(linked(by_head(labelled().where("is_long = 1")).mapInArrow(_attach(percent, seed), _PAIRS)))
 
     members = written(labelled().join(shared.select("node", "longs"), "node"))
     whole = members.where("parts = 1").withColumn("copied", F.lit(False))
@@ -441,7 +508,7 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
         "to", F.when(F.col("component") == F.col("largest"), F.array("block")).otherwise(F.sequence(F.lit(0), F.col("parts") - 1)))
     placed = placed.withColumn("to", F.explode("to")).withColumn("copied", (F.col("component") != F.col("largest")) & (F.col("to") > 0))
     placed = placed.drop("block", "largest").withColumnRenamed("to", "block")
-    across = whole.repartition("head").mapInArrow(_across(percent), _PAIRS).unionByName(
+    across = by_head(whole).mapInArrow(_across(percent), _PAIRS).unionByName(
         placed.repartition("gram", "block").mapInArrow(_across(percent), _PAIRS))
     links = links.unionByName(linked(across))
 

@@ -86,20 +86,30 @@ def written(frame: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes tables of ``written`` or ``bucketed`` that no plan still to run reads."""
+    """Deletes tables of ``written`` or ``bucketed`` that no plan still to run reads, and their names in the catalogue."""
     for table in tables:
         delete_folders(table.sparkSession, [table._llm_folder])
+        if name := getattr(table, "_llm_table", None):
+            table.sparkSession.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def bucketed(frame: DataFrame, column: str) -> DataFrame:
-    """The frame as a table in the shared folder, bucketed and sorted by ``column``: joins on it do not shuffle it."""
+def bucketed(frame: DataFrame, column: str, buckets: int | None = None,
+             each: Callable[[Iterator], Iterator] | None = None) -> DataFrame:
+    """The frame as a table in the shared folder, bucketed and sorted by ``column``: joins on it do not shuffle it.
+
+    There are ``buckets`` of them, or as many as shuffles have partitions. ``each`` is run over the batches of a bucket, and leaves
+    the columns as they are.
+    """
     spark = frame.sparkSession
-    name, folder, buckets = f"llm_{uuid.uuid4().hex}", shared_folder(spark), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, folder = f"llm_{uuid.uuid4().hex}", shared_folder(spark)
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = frame.repartition(buckets, column)
+    if each is not None:
+        dealt = dealt.mapInArrow(tidy(each), frame.schema)
     with _small_batches(spark):
         dealt.write.bucketBy(buckets, column).sortBy(column).option("path", folder).saveAsTable(name)
     table = spark.table(name)
-    table._llm_folder = folder
+    table._llm_folder, table._llm_table = folder, name
     return table
 
 

@@ -1,10 +1,13 @@
+import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from leaksieve.llm import ngram_join
 from leaksieve.llm.components import components
 from leaksieve.llm.ngram_join import ngram_groups
+from leaksieve.llm.shared import written
 from tests.llm.data import empty_frame, odd_frame, words
 
 SCHEMA = "doc_id long, text string"
@@ -106,3 +109,35 @@ def test_small_sets_at_lower_percents(spark, percent):
     got = [tuple(r) for r in ngram_groups(spark.createDataFrame(rows, SCHEMA).repartition(3), percent=percent).collect()]
     assert Counter(got) == Counter(brute_force(rows, percent=percent))
     assert len({c for _, _, c in got}) < len(rows)
+
+
+def test_no_table_stays_in_the_catalogue(spark):
+    ngram_groups(odd_frame(spark), 4, 85).collect()
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("llm_")]
+
+
+def test_filter_lets_wanted_rows_pass(spark):
+    """Bits of all wanted rows are set, and few others'; a small limit of bits only lets more pass."""
+    ids = written(spark.range(0, 40000, 3).selectExpr("xxhash64(id) AS id"))
+    others = np.array([r.id for r in spark.range(1, 40000, 3).selectExpr("xxhash64(id) AS id").collect()])
+    wanted = np.array([r.id for r in ids.collect()])
+    for limit, most in ((1 << 27, 0.02), (1 << 12, 1.0)):
+        old, ngram_join.FILTER_BITS = ngram_join.FILTER_BITS, limit
+        try:
+            bits = np.unpackbits(ngram_join._filter_of(ids)).view(bool)
+        finally:
+            ngram_join.FILTER_BITS = old
+
+        def passing(x):
+            return np.logical_and.reduce([bits[p] for p in ngram_join._places(x, len(bits))])
+        assert passing(wanted).all() and passing(others).mean() <= most
+
+
+def test_lists_of_one_head_in_shares(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HEAD_ROWS", 8)
+    monkeypatch.setattr(ngram_join, "TASK_ROWS", 64)
+    rng = random.Random(6)
+    body = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(w if rng.random() > 0.02 else f"x{i}y{j}" for j, w in enumerate(body))) for i in range(70)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_groups(frame, 4, 85).collect()} == set(brute_force(rows, 4, 85))
