@@ -22,7 +22,7 @@ from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_tabl
 from leaksieve.plans.views import register_views
 from leaksieve.rules import Rule, RuleSet
 from leaksieve.sources.patterns import rules_with_file
-from leaksieve.sinks.documents import report_documents, sarif_documents, sarif_results
+from leaksieve.sinks.documents import report_documents, sarif_documents, sarif_results, write_report_file, write_sarif_file
 from leaksieve.sinks.tables import json_findings, report_rows, write_table
 from leaksieve.sources.patches import parse_commits, read_git_log
 from leaksieve.sources.tree import select_files
@@ -615,6 +615,84 @@ def json_report_contents(spark, sf_dir):
     return rows.groupBy("severity", "total", "files_scanned").agg(F.count("*").alias("n"))
 
 
+def _mixed_findings(spark, sf_dir) -> DataFrame:
+    """Planted findings, some without a line and some of a commit, written."""
+    found = _planted_findings(spark, sf_dir).withColumns({
+        "line_number": F.when(F.col("ord") % 2 == 0, 0).otherwise(F.col("line_number")).cast("int"),
+        "commit_sha": F.when(F.col("ord") % 3 == 0, F.md5("file_path")), "commit_author": F.when(F.col("ord") % 6 == 0, "dev")})
+    return write_table(found, f"{scratch_dir(spark)}/findings")
+
+
+def _unreadable(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("Cannot read \""), "item_id", F.lit("\"")).alias("message"))
+
+
+def _whole(spark, path: str, schema: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+
+
+_MIXED = (_MASKED.replace("{'rule_id'", "{'ord': ord, 'rule_id'")
+          + ", mixed AS (SELECT f.ord AS ord, f.rule_id AS rule_id, f.rule_name AS rule_name, f.severity AS severity, "
+          "f.description AS description, f.matched_text AS matched_text, file_path, "
+          "CASE WHEN f.ord % 2 = 0 THEN 0 ELSE line_number END AS line_number, "
+          f"trim(line_masked, {WHITESPACE_SQL}) AS masked, CASE WHEN f.ord % 3 = 0 THEN md5(file_path) END AS commit_sha, "
+          "CASE WHEN f.ord % 6 = 0 THEN 'dev' END AS commit_author FROM each)")
+
+
+@query(_planted(
+    f"SELECT 'result' AS kind, rule_id AS id, {_LEVEL} AS level, concat('Potential secret detected: ', rule_name, '. ', description) AS text, "
+    "file_path AS uri, CAST(CASE WHEN line_number > 0 THEN line_number END AS BIGINT) AS line, CASE WHEN line_number > 0 THEN masked END AS snippet, "
+    "commit_sha, CASE WHEN commit_sha IS NOT NULL THEN coalesce(commit_author, '') END AS commit_author FROM mixed "
+    f"UNION ALL SELECT 'rule', rule_id, any_value({_LEVEL}), any_value(description), any_value(rule_name), NULL, any_value({_SCORE}), NULL, NULL "
+    "FROM mixed GROUP BY rule_id UNION ALL SELECT 'note', NULL, 'error', concat('Cannot read \"', item_id, '\"'), NULL, NULL, 'false', NULL, NULL FROM benchmark",
+    _MIXED))
+def sarif_file(spark, sf_dir):
+    """One SARIF document of a scan with errors, of findings without a line and of commits; parsed again in full."""
+    path = f"{scratch_dir(spark)}/scan.sarif"
+    write_sarif_file(_mixed_findings(spark, sf_dir), path, _unreadable(spark, sf_dir))
+    runs = _whole(spark, path, "runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string, name: string, "
+        "fullDescription: struct<text: string>, defaultConfiguration: struct<level: string>, properties: struct<`security-severity`: string>>>>>, "
+        "results: array<struct<ruleId: string, level: string, message: struct<text: string>, locations: array<struct<physicalLocation: struct<"
+        "artifactLocation: struct<uri: string>, region: struct<startLine: bigint, snippet: struct<text: string>>>>>, "
+        "properties: struct<commit_sha: string, commit_author: string, commit_date: string>>>, invocations: array<struct<executionSuccessful: boolean, "
+        "toolExecutionNotifications: array<struct<message: struct<text: string>, level: string>>>>>>").select(F.explode("d.runs").alias("run"))
+    none = F.lit(None).cast("string")
+    place = F.col("r.locations")[0]["physicalLocation"]
+    results = runs.select(F.explode("run.results").alias("r")).select(
+        F.lit("result").alias("kind"), F.col("r.ruleId").alias("id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("text"),
+        place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("line"), place["region"]["snippet"]["text"].alias("snippet"),
+        F.col("r.properties.commit_sha").alias("commit_sha"), F.col("r.properties.commit_author").alias("commit_author"))
+    rules = runs.select(F.explode("run.tool.driver.rules").alias("r")).select(
+        F.lit("rule").alias("kind"), "r.id", F.col("r.defaultConfiguration.level").alias("level"), F.col("r.fullDescription.text").alias("text"),
+        F.col("r.name").alias("uri"), F.lit(None).cast("long").alias("line"), F.col("r.properties")["security-severity"].alias("snippet"),
+        none.alias("commit_sha"), none.alias("commit_author"))
+    notes = runs.select(F.col("run.invocations")[0].alias("i")).select("i", F.explode("i.toolExecutionNotifications").alias("n")).select(
+        F.lit("note").alias("kind"), none.alias("id"), F.col("n.level").alias("level"), F.col("n.message.text").alias("text"), none.alias("uri"),
+        F.lit(None).cast("long").alias("line"), F.col("i.executionSuccessful").cast("string").alias("snippet"), none.alias("commit_sha"), none.alias("commit_author"))
+    return results.unionByName(rules).unionByName(notes)
+
+
+@query(_planted(
+    "SELECT file_path, CAST(line_number AS BIGINT) AS line_number, rule_id AS detector_id, rule_name AS detector_name, severity, masked AS snippet, "
+    f"{_redact_sql('matched_text')} AS matched_text, commit_sha, commit_author, description, CAST(NULL AS VARCHAR) AS error, "
+    "(SELECT count(*) FROM found) AS total, (SELECT count(*) FROM found WHERE severity = 'critical') AS critical, "
+    "(SELECT count(*) FROM conversations) AS files_scanned FROM mixed UNION ALL "
+    "SELECT NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, concat('Cannot read \"', item_id, '\"'), (SELECT count(*) FROM found), "
+    "(SELECT count(*) FROM found WHERE severity = 'critical'), (SELECT count(*) FROM conversations) FROM benchmark", _MIXED))
+def json_report_file(spark, sf_dir):
+    """One JSON report of the same scan, parsed again in full."""
+    path = f"{scratch_dir(spark)}/report.json"
+    log = table(spark, sf_dir, "conversations").select("conv_id")
+    write_report_file(_mixed_findings(spark, sf_dir), log, path, _unreadable(spark, sf_dir), target="conversations", scan_type="table")
+    fields = ("file_path", "line_number", "detector_id", "detector_name", "severity", "snippet", "matched_text", "commit_sha", "commit_author", "description")
+    parsed = _whole(spark, path, "scan struct<files_scanned: bigint>, summary struct<total_findings: bigint, critical: bigint>, errors array<string>, "
+        "findings array<struct<" + ", ".join(f"{f}: {'bigint' if f == 'line_number' else 'string'}" for f in fields) + ">>")
+    parsed = parsed.select("d.findings", "d.errors", F.col("d.summary.total_findings").alias("total"), F.col("d.summary.critical").alias("critical"),
+                           F.col("d.scan.files_scanned").alias("files_scanned"))
+    found = parsed.select(F.explode("findings").alias("f"), "total", "critical", "files_scanned").select("f.*", "total", "critical", "files_scanned")
+    return found.unionByName(parsed.select(F.explode("errors").alias("error"), "total", "critical", "files_scanned"), allowMissingColumns=True)
+
+
 @query(scan_sql(duckdb_sql("planted_conversations"), ["role"],
                 "SELECT role, rules.category, count(*) AS n FROM found JOIN (VALUES "
                 + ", ".join(f"({i}, {quote(r.category)})" for i, r in RuleSet.builtin().numbered())
