@@ -1,9 +1,19 @@
-"""Scans of streams. Up to the findings a scan keeps no state, so the batch plan runs unchanged."""
+"""Scans of streams. Up to the findings a scan keeps no state, so the batch plan runs unchanged.
+
+Two ways to drop repeats: ``drop_repeats`` passes on whichever row of a key arrives first, at once. ``keep_first`` gives what the
+batch dedup gives, the first row of a key by its place, however rows arrive, as soon as the watermark says that none is missing.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from leaksieve.deploy import ship_package
 
 from leaksieve.plans.scan import scan_text
 from leaksieve.rules import RuleSet
@@ -22,6 +32,63 @@ def drop_repeats(findings: DataFrame, event_time: str, delay: str,
     return findings.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
+class _FirstByPlace(StatefulProcessor):
+    """Keeps a key's row of the smallest place until the watermark has passed the key's newest row."""
+
+    def __init__(self, order: tuple[str, ...], schema: StructType):
+        self.order, self.schema = order, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.first = handle.getValueState("first", self.schema)
+        self.due = handle.getValueState("due", "at long")
+
+    def _place(self, row) -> tuple:
+        # As in SQL, nulls come first.
+        return tuple((row[c] is not None, row[c] if row[c] is not None else 0) for c in self.order)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        rows = list(rows) if not self.first.exists() else [Row(*self.schema.names)(*self.first.get()), *rows]
+        newest = max(row["__at"] for row in rows)
+        best = min(rows, key=self._place)
+        self.first.update(tuple(best[c] for c in self.schema.names[:-1]) + (newest,))
+        before = self.due.get()[0] if self.due.exists() else None
+        if before != newest:
+            if before is not None:
+                self.handle.deleteTimer(before)
+            self.handle.registerTimer(newest)
+            self.due.update((newest,))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        row = self.first.get()
+        self.first.clear()
+        self.due.clear()
+        yield Row(*self.schema.names[:-1])(*row[:-1])
+
+    def close(self) -> None:
+        pass
+
+
+def keep_first(findings: DataFrame, event_time: str, delay: str, order: tuple[str, ...] = ("patch_pos", "line_pos"),
+               key: tuple[str, ...] = HISTORY_KEY) -> DataFrame:
+    """First row per key by ``order``, with nulls first, in append mode; a key's state is one row.
+
+    A key is settled once the watermark passes its newest row: equal to the batch dedup as long as a key's rows are not further apart
+    than ``delay``. A row that comes later begins the key anew, and one behind the watermark is dropped. Needs the state store that
+    Spark's transformWithState does: ``spark.sql.streaming.stateStore.providerClass`` is set to RocksDB if it is not set.
+    """
+    spark = findings.sparkSession
+    ship_package(spark)
+    setting = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in spark.conf.get(setting, ""):
+        spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = findings.withWatermark(event_time, delay).withColumn("__at", F.unix_millis(event_time))
+    schema = StructType(rows.schema.fields)
+    return rows.groupBy(*key).transformWithState(
+        _FirstByPlace(order, schema), StructType(findings.schema.fields), "Append", "EventTime")
+
+
 def write_findings(findings: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:
     """Starts writing findings to parquet files; without ``trigger`` it processes what is there and ends."""
     writer = (findings.writeStream.format("parquet").outputMode("append")

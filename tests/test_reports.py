@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from leaksieve.operators import rollup
 from leaksieve.operators.merge import files_scanned
-from leaksieve.operators.order import report_order, severity_order
+from leaksieve.operators.order import report_order, severity_order, with_position
 from leaksieve.plans.sources import scan_history, scan_table
 from leaksieve.sinks.documents import report_documents, sarif_documents, write_report, write_sarif
 from leaksieve.sinks.tables import JSON_COLUMNS, report_rows, write_json, write_table
@@ -38,6 +38,14 @@ def test_orders(findings):
     assert ranks == sorted(ranks, reverse=True)
 
 
+def test_positions(spark, findings):
+    rows = with_position(report_order(findings)).orderBy("position").collect()
+    assert [(r.file_path, r.line_number, r.ord) for r in rows] == expected_order() and [r.position for r in rows] == [1, 2, 3, 4, 5, 6]
+    many = with_position(spark.range(0, 5000, 1, 7).withColumn("x", F.col("id") * 3))
+    assert many.where("position <> id + 1").count() == 0 and many.columns == ["id", "x", "position"]
+    assert with_position(findings.limit(0)).collect() == []
+
+
 def test_rollups(scan, findings):
     total = rollup.totals(findings).first()
     assert (total.finding_count, total.has_findings, total.critical_count, total.high_count) == (6, True, 2, 2)

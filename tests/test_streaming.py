@@ -1,7 +1,12 @@
+import datetime
+import os
+import random
+
 from pyspark.sql import functions as F
 
 from leaksieve.plans.scan import scan_text
-from leaksieve.streaming.scans import drop_repeats, scan_stream, write_findings
+from leaksieve.operators.history import first_occurrences
+from leaksieve.streaming.scans import drop_repeats, keep_first, scan_stream, write_findings
 from tests.conftest import SF_DIR
 from workload.tables import table
 
@@ -28,3 +33,36 @@ def test_repeats_are_dropped_within_the_watermark(spark, tmp_path):
     found = drop_repeats(scan_stream(stream, "text"), "at", "10 minutes")
     write_findings(found, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     assert sorted(r.commit_sha for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["c1", "c2"]
+
+
+SCHEMA = "target string, file_path string, rule_id string, matched_text string, commit_sha string, patch_pos int, line_pos int, at timestamp, snippet string"
+
+
+def test_first_by_place_equals_batch_for_late_rows(spark, tmp_path):
+    """Rows in any order over many batches, some before the watermark by less than the delay: the first by place wins."""
+    rng = random.Random(3)
+    start = datetime.datetime(2024, 1, 1)
+    rows = []
+    for k in range(60):
+        begun = start + datetime.timedelta(minutes=rng.randrange(600))
+        for i in range(rng.randrange(1, 8)):
+            rows.append(("t", f"f{k % 7}", "r", "secret", f"c{k}", rng.choice([0, 1, None]), rng.randrange(9) * 10 + i, begun + datetime.timedelta(minutes=rng.randrange(25)), f"s{k}-{i}"))
+    # They arrive by time, but up to half an hour late.
+    rows.sort(key=lambda r: r[7] + datetime.timedelta(minutes=rng.randrange(30)))
+    end = ("end", "", "", "", "", 0, 0, start + datetime.timedelta(days=2), "")
+    for n, part in enumerate([rows[i:i + 30] for i in range(0, len(rows), 30)] + [[end]]):
+        spark.createDataFrame(part, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / f"{n:03d}"))
+    for n, folder in enumerate(sorted((tmp_path / "in").iterdir())):
+        for file in folder.glob("*.parquet"):
+            os.utime(file, (1_700_000_000 + 10 * n,) * 2)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    found = keep_first(stream, "at", "60 minutes")
+    assert found.columns == stream.columns
+    write_findings(found, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
+    got = spark.read.schema(SCHEMA).parquet(str(tmp_path / "out"))
+    expected = first_occurrences(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(map(repr, got.where("target <> 'end'").select(*expected.columns).collect())) == sorted(map(repr, expected.collect()))
+    arrived = {}
+    for r in rows:
+        arrived.setdefault(r[4], r[8])
+    assert sum(arrived[r.commit_sha] != r.snippet for r in expected.collect()) > 20

@@ -17,6 +17,7 @@ from leaksieve.operators.ignore import is_ignored
 from leaksieve.operators.merge import files_scanned
 from leaksieve.operators.rule_index import RuleIndex, python_rule_rows, scan_with_index
 from leaksieve.plans.copies import scan_copies
+from leaksieve.plans.functions import register_functions
 from leaksieve.plans.scan import attach_rules, find_hits, scan_text
 from leaksieve.plans.sources import Scan, scan_history, scan_payloads, scan_table, scan_tree, scan_trees
 from leaksieve.plans.views import register_views
@@ -544,19 +545,20 @@ def redact_snippet(spark, sf_dir):
 
 @query(_planted(
     "SELECT 'conversations' AS target, file_path, line_number, ord, upper(severity) AS badge, rule_name, "
-    f"concat('Line ', line_number) AS label, {_FIRST_MASKED} AS snippet, description FROM found"))
+    f"concat('Line ', line_number) AS label, {_FIRST_MASKED} AS snippet, description, "
+    "row_number() OVER (ORDER BY file_path, line_number, ord) AS position FROM found"))
 def report_order(spark, sf_dir):
-    return report_rows(_planted_findings(spark, sf_dir))
+    return order.with_position(report_rows(_planted_findings(spark, sf_dir)))
 
 
 @query(_planted(
-    "SELECT file_path, line_number, ord, severity_rank, concat(file_path, ':', line_number) AS location FROM found "
-    "ORDER BY severity_rank DESC, file_path, line_number, ord"))
+    "SELECT file_path, line_number, ord, severity_rank, concat(file_path, ':', line_number) AS location, "
+    "row_number() OVER (ORDER BY severity_rank DESC, file_path, line_number, ord) AS position FROM found"))
 def severity_order(spark, sf_dir):
     place = labels.location(F.col("file_path"), F.col("line_number"), F.col("commit_sha"))
-    return order.severity_order(_planted_findings(spark, sf_dir)).select(
+    return order.with_position(order.severity_order(_planted_findings(spark, sf_dir)).select(
         "file_path", "line_number", "ord", labels.severity_rank(F.col("severity")).alias("severity_rank"),
-        place.alias("location"))
+        place.alias("location")))
 
 
 @query(scan_sql(_PATCHES, _PATCH_IDS,
@@ -705,6 +707,16 @@ def sql_views(spark, sf_dir):
                      "GROUP BY role, category")
 
 
+@query(scan_sql(duckdb_sql("planted_conversations"), ["conv_id", "turn"],
+                "SELECT conv_id, turn, line_number, rule_id, snippet, matched_text FROM found WHERE severity = 'critical'"))
+def table_function_scan(spark, sf_dir):
+    """The table function over a query's rows."""
+    table(spark, sf_dir, "planted_conversations").createOrReplaceTempView("planted_conversations")
+    register_functions(spark)
+    return spark.sql("SELECT conv_id, turn, line_number, rule_id, snippet, matched_text "
+                     "FROM scan_text(TABLE(SELECT conv_id, turn, text FROM planted_conversations), 'text') WHERE severity = 'critical'")
+
+
 @query(_planted(
     f"SELECT rule_id, any_value(rule_name) AS rule_name, any_value(severity) AS severity, any_value(description) AS "
     f"full_description, any_value({_LEVEL}) AS level, any_value({_SCORE}) AS security_severity, min(file_path) AS first_file "
