@@ -3,8 +3,8 @@
 The first pass scatters records into buckets of about ``bucket_bytes`` of text by seeded hashes: the
 shard is decided by ``doc_id`` and the number of shards alone, the shard whose hash with the id is largest (one
 more shard takes rows only into itself), the bucket within the shard by the id and the row's number, so that
-an id on very many rows is spread over its shard's buckets. The second pass gathers a bucket, shuffles it
-(``shuffle`` is Fisher-Yates over an array) and writes it. A bucket is the largest thing in memory.
+an id on very many rows is spread over its shard's buckets. The second pass has a task for every bucket, which gathers it,
+shuffles it (``shuffle`` is Fisher-Yates over an array) and writes it. A bucket is the largest thing in memory.
 
 A record's slot is its place in its shard: the records of the shard's earlier buckets, and its place in
 its bucket. The counts of buckets are summed, not the records.
@@ -39,14 +39,16 @@ def write_shards(docs: DataFrame, shards: int = SHARDS, seed: int = 1, bucket_by
     them where ``docs`` has columns of these names.
     """
     spark = docs.sparkSession
-    shard, bucket, place, row, rows = (free_name(docs, x) for x in ("shard", "bucket", "place", "_row", "_rows"))
+    shard, bucket, place, row, rows, part = (free_name(docs, x) for x in ("shard", "bucket", "place", "_row", "_rows", "_part"))
     total = docs.agg(F.sum(text_bytes()).alias("b")).first().b or 0
     buckets = max(1, -(-total // (shards * bucket_bytes)))
-    placed = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(shard, shard_of(F.col("doc_id"), shards, seed)).withColumn(
-        bucket, F.pmod(F.xxhash64("doc_id", row, F.lit(seed + 1)), F.lit(buckets)).cast("int"))
-    # About two buckets to a task, as the rollup below holds all buckets of a task at once.
-    dealt = placed.repartition(max(1, shards * buckets // 2), shard, bucket)
-    gathered = dealt.groupBy(shard, bucket).agg(F.sort_array(F.collect_list(F.struct(row, *docs.columns))).alias(rows))
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    in_shard = F.pmod(F.xxhash64("doc_id", row, F.lit(seed + 1)), F.lit(buckets)).cast("int")
+    placed = numbered.withColumn(part, shard_of(F.col("doc_id"), shards, seed) * buckets + in_shard)
+    # The number of the bucket is that of the task.
+    dealt = placed.repartitionById(shards * buckets, part)
+    gathered = dealt.groupBy(part).agg(F.sort_array(F.collect_list(F.struct(row, *docs.columns))).alias(rows)).select(
+        F.floor(F.col(part) / buckets).cast("int").alias(shard), (F.col(part) % buckets).cast("int").alias(bucket), rows)
     shuffled = gathered.select(shard, bucket, F.posexplode(F.shuffle(rows, seed)).alias(place, rows)).select(
         *(F.col(rows)[c].alias(c) for c in docs.columns), bucket, place, shard)
     folder = folder or shared_folder(spark)

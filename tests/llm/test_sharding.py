@@ -46,6 +46,16 @@ def test_shards_keep_columns(spark):
     assert Counter(tuple(r)[:len(frame.columns)] for r in stored.collect()) == Counter(tuple(r) for r in frame.collect())
 
 
+def test_every_bucket_has_its_task(spark):
+    """No task gathers two buckets."""
+    frame = spark.range(4000).selectExpr("id AS doc_id", "repeat('x', 50 + cast(id % 7 AS int)) AS text").repartition(5)
+    stored = write_shards(frame, 4, bucket_bytes=4000)
+    tasks = stored.select("shard", "bucket", F.regexp_extract(F.input_file_name(), r"part-(\d+)", 1).alias("task")).distinct().collect()
+    assert len(tasks) == len({(r.shard, r.bucket) for r in tasks}) == len({r.task for r in tasks}) > 40
+    sizes = Counter((r.shard, r.bucket) for r in stored.collect())
+    assert max(sizes.values()) < 3 * min(sizes.values())
+
+
 def test_law_needs_the_id_only(spark):
     a = spark.range(1000).select("id", shard_of(F.col("id"), 8).alias("s")).collect()
     b = spark.range(1000).repartition(7).select("id", shard_of(F.col("id"), 8).alias("s")).collect()
