@@ -4,12 +4,13 @@ A sequence is begun by the largest piece left; its completions are searched dept
 pieces, fullest first, and only those that no other dominates (a filling to which a further piece could be
 added, or whose pieces are no larger than another's place by place, is dominated). The search backtracks
 over completions as long as the waste so far leaves room for fewer sequences than the incumbent's;
-the first incumbent is the best-fit decreasing packing. It ends at the lower bound
-``ceil(total / capacity)``, or after ``NODES`` completions.
+the first incumbent is the best-fit decreasing packing. It ends at the lower bound (``least_bins``), when all
+completions have been tried, or after ``NODES`` of them. A sequence's completions are cut off after some at first, the
+largest pieces first; as long as nodes are left and something was cut off, the search begins anew with ``WIDER`` times as many.
 
-Pieces are dealt out evenly, whatever their keys, to tasks of about ``GROUP`` pieces; each task packs its own. A
-task leaves at most one sequence more than the bound of its pieces would, some hundredths of a per cent. Only lengths
-and ids go to the packing; the texts are read once, by the encoder.
+Pieces are dealt out evenly, whatever their keys, to tasks of about ``GROUP`` pieces; each task packs its own. Only lengths
+and ids go to the packing; the texts are read once, by the encoder. How far from the bound a packing may end depends on the
+lengths: with many short ones it reaches it, with lengths about a third of the capacity it may not.
 
 Defined results: a null or empty text is its end id alone; a text of more ids than the capacity is cut into
 pieces of exactly the capacity and a rest; repeated rows are packed as often as they occur.
@@ -31,8 +32,8 @@ from leaksieve.llm.shared import tidy, written
 
 #: Pieces that one task packs, about. A piece is one narrow row.
 GROUP = 1 << 14
-#: Completions tried for one sequence, and in all for one task beyond a sequence each.
-FILLINGS, NODES = 64, 20000
+#: Completions tried for one sequence at first, by how many times more in each further search, and in all searches of one task.
+FILLINGS, WIDER, NODES = 64, 8, 40000
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -79,13 +80,37 @@ class Stock:
         self.left += len(lengths)
 
 
-def fillings(stock: Stock, room: int) -> list[tuple[int, ...]]:
-    """Undominated sets of pieces for ``room``, the fullest first; the search ends at one that leaves nothing."""
+def least_bins(lengths: list[int], capacity: int) -> int:
+    """A lower bound on the bins that descending ``lengths`` need.
+
+    The whole content; and for each smallest length that counts, the pieces above half, which need a bin each, with what the
+    others overflow the room beside those that leave some (Martello and Toth).
+    """
+    sizes = np.array(lengths[::-1], np.int64)
+    if not len(sizes):
+        return 0
+    total = np.concatenate([[0], np.cumsum(sizes)])
+    bound = -(-int(total[-1]) // capacity)
+    half = int(np.searchsorted(sizes, capacity // 2, side="right"))
+    least = np.unique(np.concatenate([[0], sizes[:half]]))
+    at = np.searchsorted(sizes, least)
+    # Pieces beside which not even the smallest that counts fits.
+    alone = np.maximum(np.searchsorted(sizes, capacity - least, side="right"), half)
+    beside = (alone - half) * capacity - (total[alone] - total[half])
+    over = np.maximum(0, -(-(total[half] - total[at] - beside) // capacity))
+    return max(bound, int((len(sizes) - half + over).max()))
+
+
+def fillings(stock: Stock, room: int, most: int) -> tuple[list[tuple[int, ...]], bool]:
+    """Undominated sets of pieces for ``room``, the fullest first, and whether some were cut off after ``most``.
+
+    One that leaves nothing ends the search: it dominates all others.
+    """
     found: list[tuple[int, tuple[int, ...]]] = []
-    tries, chosen = 0, []
+    tries, chosen, cut = 0, [], False
 
     def search(left: int, top: int) -> bool:
-        nonlocal tries
+        nonlocal tries, cut
         fits = False
         for at in range(bisect_right(stock.sizes, left, 0, top) - 1, -1, -1):
             size = stock.sizes[at]
@@ -102,7 +127,8 @@ def fillings(stock: Stock, room: int) -> list[tuple[int, ...]]:
         # With nothing smaller that fits, the set is dominated only if something larger still does.
         if not any(stock.counts[s] > chosen.count(s) for s in stock.sizes[:bisect_right(stock.sizes, left)]):
             found.append((left, tuple(chosen)))
-        return not left or tries >= FILLINGS
+        cut = cut or (left > 0 and tries >= most)
+        return not left or tries >= most
 
     search(room, len(stock.sizes))
     found.sort(key=lambda f: f[0])
@@ -110,16 +136,26 @@ def fillings(stock: Stock, room: int) -> list[tuple[int, ...]]:
     for _, filling in found:
         if not any(len(o) == len(filling) and all(x >= y for x, y in zip(o, filling)) for o in kept):
             kept.append(filling)
-    return kept
+    return kept, cut
 
 
 def complete_bins(lengths: list[int], capacity: int) -> list[list[int]]:
     """A packing of ``lengths`` (each at most ``capacity``) into few bins."""
     lengths = sorted(lengths, reverse=True)
     best = best_fit_decreasing(lengths, capacity)
+    bound, most, nodes = least_bins(lengths, capacity), FILLINGS, 0
+    while len(best) > bound and nodes < NODES + len(lengths):
+        best, nodes, cut = _search(lengths, capacity, best, bound, most, nodes)
+        if not cut:
+            break
+        most *= WIDER
+    return best
+
+
+def _search(lengths: list[int], capacity: int, best: list[list[int]], bound: int, most: int, nodes: int) -> tuple[list[list[int]], int, bool]:
+    """The best packing that a search with ``most`` completions of a sequence finds, the nodes used, and whether it was not exhaustive."""
     total = sum(lengths)
-    bound = -(-total // capacity)
-    stock, waste, nodes = Stock(lengths), 0, 0
+    stock, waste, cut = Stock(lengths), 0, False
     # The bins so far: first piece, completion in place, completions not yet tried.
     bins: list[tuple[int, tuple[int, ...], list[tuple[int, ...]]]] = []
 
@@ -141,7 +177,10 @@ def complete_bins(lengths: list[int], capacity: int) -> list[list[int]]:
         if stock.left:
             first = stock.sizes[-1]
             stock.take(first)
-            options = fillings(stock, capacity - first)
+            options, some = fillings(stock, capacity - first, most)
+            cut = cut or some
+            # Completions of wider searches cost as many nodes more.
+            nodes += most // FILLINGS - 1
             stock.put_back(first)
             if place(first, options):
                 continue
@@ -155,8 +194,8 @@ def complete_bins(lengths: list[int], capacity: int) -> list[list[int]]:
             if place(first, options):
                 break
         else:
-            break
-    return best
+            return best, nodes, cut
+    return best, nodes, cut
 
 
 def _pieces(vocabulary, end_id: int | None, capacity: int):

@@ -1,15 +1,18 @@
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from leaksieve.llm import packing, token_files
 from leaksieve.llm.bpe import decode_column, encode_column, encoding_digests
-from leaksieve.llm.packing import best_fit_decreasing, complete_bins, pack_documents
+from leaksieve.llm.packing import best_fit_decreasing, complete_bins, least_bins, pack_documents
+from leaksieve.llm.samples import labelled_sample
 from leaksieve.llm.token_files import TokenFile, bits_for, pack, read_token_files, unpack, write_token_files
 from tests.llm.data import empty_frame, odd_frame
 
@@ -74,27 +77,29 @@ def test_token_files(spark, frame, monkeypatch):
         assert len(file.document(last)) > 0
 
 
+def fewest(items, capacity):
+    """The fewest bins that an exhaustive search finds."""
+    best = len(items)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + items[i] <= capacity and bins[k] not in bins[:k]:
+                put(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1:]])
+        put(i + 1, [*bins, items[i]])
+    put(0, [])
+    return best
+
+
 def test_small_bins_are_optimal():
     """Against the fewest bins that an exhaustive search finds."""
     rng = np.random.default_rng(1)
 
-    def fewest(items, capacity):
-        best = len(items)
-
-        def put(i, bins):
-            nonlocal best
-            if len(bins) >= best:
-                return
-            if i == len(items):
-                best = len(bins)
-                return
-            for k in range(len(bins)):
-                if bins[k] + items[i] <= capacity and bins[k] not in bins[:k]:
-                    put(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1:]])
-            put(i + 1, [*bins, items[i]])
-        put(0, [])
-        return best
-
     for _ in range(60):
         capacity = int(rng.integers(20, 60))
         items = sorted(rng.integers(1, capacity + 1, 11).tolist(), reverse=True)
@@ -132,3 +137,29 @@ def test_empty_table(spark):
     assert encoding_digests(empty, PATH).collect() == []
     assert read_token_files(write_token_files(empty, PATH, 49408, 2)).collect() == []
     assert pack_documents(empty, PATH).collect() == []
+
+
+def test_packings_are_the_best_ones(monkeypatch):
+    """Small cases, also where completions are cut off at first; and the bound is one."""
+    rng = random.Random(5)
+    for first in (64, 1):
+        monkeypatch.setattr(packing, "FILLINGS", first)
+        for _ in range(150):
+            capacity = rng.choice([20, 50, 100])
+            lengths = [rng.randrange(1, capacity + 1) if rng.random() < 0.5 else rng.randrange(capacity // 4, capacity // 2 + 1)
+                       for _ in range(rng.randrange(0, 11))]
+            bins = complete_bins(lengths, capacity)
+            assert sorted(x for b in bins for x in b) == sorted(lengths) and all(sum(b) <= capacity for b in bins)
+            least = least_bins(sorted(lengths, reverse=True), capacity)
+            assert least <= fewest(lengths, capacity) == len(bins)
+    assert least_bins([60, 60, 60], 100) == 3 and least_bins([70, 70, 35, 35], 100) == 3
+
+
+def test_sample_is_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(200)] + [(500, None), (501, "y" * 70000)], "doc_id long, text string")
+    labels = docs.where("doc_id < 200").selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic")
+    whole = labelled_sample(docs, labels, "toxic", F.lit(True), 150)
+    assert whole.num_rows == 150
+    part = labelled_sample(docs, labels, "toxic", F.lit(True), 150, max_bytes=20_500)
+    assert part.num_rows == 20 and part.column("key").to_pylist() == whole.column("key").to_pylist()[:20]
+    assert labelled_sample(docs, labels, "toxic", F.lit(True), 150, max_bytes=10).num_rows == 0
