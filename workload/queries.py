@@ -27,7 +27,7 @@ from leaksieve.sinks.documents import report_documents, sarif_documents, sarif_r
 from leaksieve.sinks.tables import json_findings, report_rows, write_table
 from leaksieve.sources.patches import parse_commits, read_git_log
 from leaksieve.sources.tree import select_files
-from leaksieve.streaming.scans import drop_repeats, scan_stream, write_findings
+from leaksieve.streaming.scans import drop_repeats, keep_first, scan_stream, write_findings
 from workload.oracle import WHITESPACE_SQL, quote, rules_values, scan_ctes, scan_sql
 from workload.scratch import scratch_dir
 from workload.tables import duckdb_sql, input_partitions, table
@@ -830,3 +830,23 @@ def stream_dedup_events(spark, sf_dir):
     folder = scratch_dir(spark)
     write_findings(found, f"{folder}/findings", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/findings").select("target", "rule_id", "matched_text")
+
+
+@query(scan_sql(_USER_EVENTS.replace("event_type, concat", "event_type, event_id, concat"), ["event_type", "event_id"],
+                "SELECT event_type AS target, rule_id, matched_text, min(event_id) AS event_id FROM found GROUP BY ALL"))
+def stream_first_events(spark, sf_dir):
+    """The smallest event of each user's secret per type of event, from events that come in no order."""
+    folder = scratch_dir(spark)
+    events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props", F.col("ts").cast("timestamp").alias("ts"))
+    events.repartition(8, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    # A last event, long after the others, moves the watermark past them.
+    last = events.agg((F.max("ts") + F.expr("INTERVAL 61 DAYS")).alias("ts")).select(
+        F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("event_type"), F.lit(0).cast("long").alias("user_id"), F.lit("").alias("props"), "ts")
+    last.select(*[F.col(f.name).cast(f.dataType) for f in events.schema]).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in")
+    stream = stream.select("event_id", F.col("event_type").alias("target"), "ts", F.concat(
+        "props", F.lit("\napi_key = \""), F.lpad(F.col("user_id").cast("string"), 12, "k"), F.lit('"')).alias("text"))
+    found = keep_first(scan_stream(stream, "text"), "ts", "60 days", order=("event_id",), key=("target", "rule_id", "matched_text"))
+    write_findings(found, f"{folder}/findings", f"{folder}/checkpoint").awaitTermination()
+    found = spark.read.parquet(f"{folder}/findings").where("target <> 'end'")
+    return found.select("target", "rule_id", "matched_text", "event_id")
