@@ -8,7 +8,8 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
-_shipped: set[str] = set()
+# The folders of the archives, which go when the process ends.
+_shipped: dict[str, tempfile.TemporaryDirectory] = {}
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -17,7 +18,8 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="leaksieve-package-"), "leaksieve.zip")
+    kept = tempfile.TemporaryDirectory(prefix="leaksieve-package-", ignore_cleanup_errors=True)
+    archive = os.path.join(kept.name, "leaksieve.zip")
     with zipfile.ZipFile(archive, "w") as package:
         for folder, _, names in os.walk(root):
             for name in names:
@@ -25,4 +27,4 @@ def ship_package(spark: SparkSession) -> None:
                     path = os.path.join(folder, name)
                     package.write(path, os.path.join("leaksieve", os.path.relpath(path, root)))
     context.addPyFile(archive)
-    _shipped.add(context.applicationId)
+    _shipped[context.applicationId] = kept
