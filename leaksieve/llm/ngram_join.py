@@ -19,7 +19,8 @@ How it runs:
    are dealt out in blocks, so that a gram that a third of all documents hold is no single task.
 3. Round one proposes for each member of a list its neighbours in order of size, in a long list also
    in two random orders: pairs in proportion to the postings. Those that share ``OFTEN`` lists, or a long
-   one, are probed; the ones that reach T become links, and the links components.
+   one, are probed; the ones that reach T become links, and the links components. Before a pair is probed, parities of both
+   sets, a thirtieth of their size, are compared: where more of them differ than grams of a linked pair can, no set is moved.
    Twice more, members of a long list outside its largest component are proposed to a few members of that.
    Lists with the same first member go to one task, so that lists of one group propose a pair once; where these have
    very many members, to several.
@@ -397,8 +398,36 @@ def _filter_of(ids: DataFrame) -> np.ndarray:
     return packed
 
 
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Whether an even or odd number of a set's grams falls on each of some places, two for each gram or more, as packed bits.
+
+    Each gram that only one of two sets holds changes one place: places at which two sketches differ are at most such grams.
+    """
+    size = 1 << max(6, (2 * len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1 == 1)
+
+
+def may_link(x: np.ndarray, y: np.ndarray, m: int, n: int, percent: int) -> bool:
+    """Whether sets of sizes m and n with these sketches can link; true for all that do."""
+    if len(x) < len(y):
+        x, y = y, x
+    while len(x) > len(y):
+        half = len(x) // 2
+        x = x[:half] ^ x[half:]
+    return int(np.bitwise_count(x ^ y).sum()) <= m + n - 2 * needed_by(m, n, percent)
+
+
+def _set_batch(nodes: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+    return pa.record_batch({
+        "node": pa.array(nodes, pa.int64()), "n": pa.array(map(len, sets), pa.int32()),
+        "sketch": pa.array([sketch(g).tobytes() for g in sets], pa.binary()), "grams": pa.array([g.tobytes() for g in sets], pa.binary())})
+
+
+_SETS = "node long, n int, sketch binary, grams binary"
+
+
 def _sets(size: int, wanted):
-    """The sets of the texts that the filter lets pass."""
+    """The sets of the texts that the filter lets pass, and their sketches."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(wanted.value).view(bool)
         for batch in batches:
@@ -407,13 +436,13 @@ def _sets(size: int, wanted):
             nodes, held, total = [], [], 0
             for grams in gram_sets(data, offsets, size):
                 nodes.append(node_of(grams))
-                held.append(grams.tobytes())
-                total += len(held[-1])
+                held.append(grams)
+                total += grams.nbytes
                 if total > 1 << 23:
-                    yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "grams": pa.array(held, pa.binary())})
+                    yield _set_batch(nodes, held)
                     nodes, held, total = [], [], 0
             if nodes:
-                yield pa.record_batch({"node": pa.array(nodes, pa.int64()), "grams": pa.array(held, pa.binary())})
+                yield _set_batch(nodes, held)
     return run
 
 
@@ -425,6 +454,17 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(fresh, pa.bool_()))
 
 
+def _compare(percent: int):
+    """Keeps pairs whose sketches let them link."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = zip(batch.column("sa"), batch.column("sb"), batch.column("na").to_pylist(), batch.column("nb").to_pylist())
+            kept = pa.array([may_link(np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8), m, n, percent)
+                             for x, y, m, n in sides], pa.bool_())
+            yield pa.record_batch({"a": batch.column("a").filter(kept), "b": batch.column("b").filter(kept)})
+    return run
+
+
 def _probe(percent: int):
     """Keeps pairs that share enough grams: each gram of the smaller set is looked up in the larger by binary search."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -467,7 +507,7 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
     # Bucketed by node: the joins below move pairs and never the table of sets.
     held = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 8 * held // BUCKET_BYTES)
-    sets = bucketed(texts.select(row_id, "text").mapInArrow(tidy(_sets(size, passing)), "node long, grams binary"), "node", buckets, _once)
+    sets = bucketed(texts.select(row_id, "text").mapInArrow(tidy(_sets(size, passing)), _SETS), "node", buckets, _once)
 
     # Lists of one first member go to one task, but for those of very many members: fewer than 1,024 have more than a 1,024th of all.
     total = lists.count()
@@ -482,7 +522,11 @@ def ngram_groups(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame
 
     def linked(pairs: DataFrame) -> DataFrame:
         often = pairs.groupBy("a", "b").agg(F.sum("met").alias("met")).where(F.col("met") >= enough(percent)).drop("met")
-        sides = often.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
+        # Most pairs do not link: what moves for these is a sketch of one of their sets.
+        sides = often.join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
+        sides = sides.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+        near = written(sides.mapInArrow(tidy(_compare(percent)), "a long, b long"))
+        sides = near.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
         sides = sides.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
         return written(sides.mapInArrow(tidy(_probe(percent)), "a long, b long"))
 

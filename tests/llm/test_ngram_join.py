@@ -6,7 +6,7 @@ import pytest
 
 from leaksieve.llm import ngram_join
 from leaksieve.llm.components import components
-from leaksieve.llm.ngram_join import ngram_groups
+from leaksieve.llm.ngram_join import may_link, ngram_groups, sketch
 from leaksieve.llm.shared import written
 from tests.llm.data import empty_frame, odd_frame, words
 
@@ -141,3 +141,23 @@ def test_lists_of_one_head_in_shares(spark, monkeypatch):
     rows = [(i, " ".join(w if rng.random() > 0.02 else f"x{i}y{j}" for j, w in enumerate(body))) for i in range(70)]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_groups(frame, 4, 85).collect()} == set(brute_force(rows, 4, 85))
+
+
+def test_sketches_spare_pairs_that_do_not_link():
+    """What two sets share is bounded from their sketches: no pair that links is lost, and few others are left."""
+    draw = np.random.default_rng(5)
+    lost = left = 0
+    for m in (1, 3, 40, 400, 3_000, 20_000):
+        whole = np.unique(draw.integers(0, 1 << 63, 2 * m, dtype=np.uint64))
+        first = whole[:m]
+        for shared in sorted({m, m - 1, m - m // 20, m - m // 14, m - m // 10, m // 2, m // 5}):
+            for extra in (0, m // 12, m // 5):
+                second = np.sort(np.concatenate([first[:shared], whole[m:m + extra]]))
+                if not len(second):
+                    continue
+                links = 100 * shared >= 85 * (m + extra)
+                passes = may_link(sketch(first), sketch(second), len(first), len(second), 85)
+                lost += links and not passes
+                left += passes and shared <= m // 2 and m > 3
+    assert (lost, left) == (0, 0)
+    assert len(sketch(whole)) < whole.nbytes / 10
