@@ -7,7 +7,7 @@ import shutil
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from leaksieve.functions import labels, redact, text as texts
 from leaksieve.functions.entropy import is_high_entropy, shannon_entropy
@@ -189,8 +189,8 @@ def indexed_rules_scan(spark, sf_dir):
     """A rule for every long word of the documents, thousands of them, found through the index of keywords."""
     docs = table(spark, sf_dir, "documents")
     words = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{11,}"), F.lit(0))).alias("word")).distinct()
-    rules = words.select(
-        F.row_number().over(Window.orderBy("word")).alias("ord"), F.concat(F.lit("word-"), "word").alias("rule_id"),
+    rules = order.with_position(words.orderBy("word")).select(
+        F.col("position").cast("int").alias("ord"), F.concat(F.lit("word-"), "word").alias("rule_id"),
         F.concat("word", F.lit("[a-z]*,? [A-Za-z]")).alias("pattern"), F.array("word").alias("keywords"))
     found = scan_with_index(docs.select("doc_id", "text"), "text", RuleIndex(python_rule_rows(rules)), partitions=input_partitions(spark))
     return found.select("doc_id", "line_number", "ord", "rule_id", "matched_text")
