@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from leaksieve.plans.sources import scan_history, scan_table
 from leaksieve.sinks.documents import write_report_file, write_sarif_file
-from leaksieve.sinks.joined import write_joined
+from leaksieve.sinks.joined import read_joined, write_joined
 from leaksieve.sinks.tables import JSON_COLUMNS, write_table
 from tests.test_reports import SECRET, TEXTS
 
@@ -101,3 +101,21 @@ def test_failed_writes_leave_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="stop"):
         write_joined(rows, str(tmp_path / "out"), ["[", "]"])
     assert not (tmp_path / "out").exists()
+
+
+def test_one_file_is_read_back_by_many_tasks(spark, tmp_path):
+    """The entries of a document, each with its array's name, are lines that ranges of the file give in several tasks."""
+    path = str(tmp_path / "out")
+    values = [json.dumps({"id": i, "text": "]   \x85, [" + "x" * (i % 50)}, ensure_ascii=i % 2 == 0) for i in range(3000)]
+    rows = spark.createDataFrame([(0, v) for v in values] + [(2, '"a, ]"')], "section int, value string")
+    write_joined(rows.orderBy("section"), path, ['{"n":1,"things":[', '],"none":[', '],"notes":[', "]}"], lines=True)
+    with open(path, encoding="utf-8") as file:
+        whole = json.load(file)
+    frame, entries = read_joined(spark, path, range_bytes=10_000)
+    assert json.loads(frame) == {"n": 1, "things": [], "none": [], "notes": []}
+    assert entries.rdd.getNumPartitions() > 5
+    found = {}
+    for r in entries.collect():
+        found.setdefault(r.member, []).append(json.loads(r.value))
+    assert sorted(found.pop("things"), key=lambda r: r["id"]) == sorted(whole["things"], key=lambda r: r["id"]) and len(whole["things"]) == 3000
+    assert found == {"notes": ["a, ]"]} == {"notes": whole["notes"]}

@@ -24,6 +24,7 @@ from leaksieve.plans.views import register_views
 from leaksieve.rules import Rule, RuleSet
 from leaksieve.sources.patterns import rules_with_file
 from leaksieve.sinks.documents import report_documents, sarif_documents, sarif_results, write_report_file, write_sarif_file
+from leaksieve.sinks.joined import read_joined
 from leaksieve.sinks.tables import json_findings, report_rows, write_table
 from leaksieve.sources.patches import parse_commits, read_git_log
 from leaksieve.sources.tree import select_files
@@ -629,8 +630,13 @@ def _unreadable(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("Cannot read \""), "item_id", F.lit("\"")).alias("message"))
 
 
-def _whole(spark, path: str, schema: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("d"))
+def _parsed(spark, path: str, schema: str, **members: str) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """What the file ``path`` says, parsed in full: a row of its one document without arrays' entries, and the entries ``e`` of each array."""
+    frame, entries = read_joined(spark, path)
+    document = spark.range(1).select(F.from_json(F.lit(frame), schema).alias("d"))
+    # Texts are no JSON documents by themselves.
+    return document, {name: entries.where(F.col("member") == name).select(F.from_json(F.concat(F.lit("["), "value", F.lit("]")), f"array<{kind}>")[0].alias("e"))
+                      for name, kind in members.items()}
 
 
 _MIXED = (_MASKED.replace("{'rule_id'", "{'ord': ord, 'rule_id'")
@@ -652,25 +658,28 @@ def sarif_file(spark, sf_dir):
     """One SARIF document of a scan with errors, of findings without a line and of commits; parsed again in full."""
     path = f"{scratch_dir(spark)}/scan.sarif"
     write_sarif_file(_mixed_findings(spark, sf_dir), path, _unreadable(spark, sf_dir))
-    runs = _whole(spark, path, "runs array<struct<tool: struct<driver: struct<rules: array<struct<id: string, name: string, "
-        "fullDescription: struct<text: string>, defaultConfiguration: struct<level: string>, properties: struct<`security-severity`: string>>>>>, "
-        "results: array<struct<ruleId: string, level: string, message: struct<text: string>, locations: array<struct<physicalLocation: struct<"
-        "artifactLocation: struct<uri: string>, region: struct<startLine: bigint, snippet: struct<text: string>>>>>, "
-        "properties: struct<commit_sha: string, commit_author: string, commit_date: string>>>, invocations: array<struct<executionSuccessful: boolean, "
-        "toolExecutionNotifications: array<struct<message: struct<text: string>, level: string>>>>>>").select(F.explode("d.runs").alias("run"))
+    document, found = _parsed(
+        spark, path, "runs array<struct<invocations: array<struct<executionSuccessful: boolean>>>>",
+        rules="struct<id: string, name: string, fullDescription: struct<text: string>, defaultConfiguration: struct<level: string>, "
+              "properties: struct<`security-severity`: string>>",
+        results="struct<ruleId: string, level: string, message: struct<text: string>, locations: array<struct<physicalLocation: struct<"
+                "artifactLocation: struct<uri: string>, region: struct<startLine: bigint, snippet: struct<text: string>>>>>, "
+                "properties: struct<commit_sha: string, commit_author: string, commit_date: string>>",
+        toolExecutionNotifications="struct<message: struct<text: string>, level: string>")
     none = F.lit(None).cast("string")
     place = F.col("r.locations")[0]["physicalLocation"]
-    results = runs.select(F.explode("run.results").alias("r")).select(
+    results = found["results"].select(F.col("e").alias("r")).select(
         F.lit("result").alias("kind"), F.col("r.ruleId").alias("id"), F.col("r.level").alias("level"), F.col("r.message.text").alias("text"),
         place["artifactLocation"]["uri"].alias("uri"), place["region"]["startLine"].alias("line"), place["region"]["snippet"]["text"].alias("snippet"),
         F.col("r.properties.commit_sha").alias("commit_sha"), F.col("r.properties.commit_author").alias("commit_author"))
-    rules = runs.select(F.explode("run.tool.driver.rules").alias("r")).select(
+    rules = found["rules"].select(F.col("e").alias("r")).select(
         F.lit("rule").alias("kind"), "r.id", F.col("r.defaultConfiguration.level").alias("level"), F.col("r.fullDescription.text").alias("text"),
         F.col("r.name").alias("uri"), F.lit(None).cast("long").alias("line"), F.col("r.properties")["security-severity"].alias("snippet"),
         none.alias("commit_sha"), none.alias("commit_author"))
-    notes = runs.select(F.col("run.invocations")[0].alias("i")).select("i", F.explode("i.toolExecutionNotifications").alias("n")).select(
+    clean = F.broadcast(document.select(F.col("d.runs")[0]["invocations"][0]["executionSuccessful"].cast("string").alias("clean")))
+    notes = found["toolExecutionNotifications"].crossJoin(clean).select(F.col("e").alias("n"), "clean").select(
         F.lit("note").alias("kind"), none.alias("id"), F.col("n.level").alias("level"), F.col("n.message.text").alias("text"), none.alias("uri"),
-        F.lit(None).cast("long").alias("line"), F.col("i.executionSuccessful").cast("string").alias("snippet"), none.alias("commit_sha"), none.alias("commit_author"))
+        F.lit(None).cast("long").alias("line"), F.col("clean").alias("snippet"), none.alias("commit_sha"), none.alias("commit_author"))
     return results.unionByName(rules).unionByName(notes)
 
 
@@ -687,12 +696,13 @@ def json_report_file(spark, sf_dir):
     log = table(spark, sf_dir, "conversations").select("conv_id")
     write_report_file(_mixed_findings(spark, sf_dir), log, path, _unreadable(spark, sf_dir), target="conversations", scan_type="table")
     fields = ("file_path", "line_number", "detector_id", "detector_name", "severity", "snippet", "matched_text", "commit_sha", "commit_author", "description")
-    parsed = _whole(spark, path, "scan struct<files_scanned: bigint>, summary struct<total_findings: bigint, critical: bigint>, errors array<string>, "
-        "findings array<struct<" + ", ".join(f"{f}: {'bigint' if f == 'line_number' else 'string'}" for f in fields) + ">>")
-    parsed = parsed.select("d.findings", "d.errors", F.col("d.summary.total_findings").alias("total"), F.col("d.summary.critical").alias("critical"),
-                           F.col("d.scan.files_scanned").alias("files_scanned"))
-    found = parsed.select(F.explode("findings").alias("f"), "total", "critical", "files_scanned").select("f.*", "total", "critical", "files_scanned")
-    return found.unionByName(parsed.select(F.explode("errors").alias("error"), "total", "critical", "files_scanned"), allowMissingColumns=True)
+    document, found = _parsed(
+        spark, path, "scan struct<files_scanned: bigint>, summary struct<total_findings: bigint, critical: bigint>", errors="string",
+        findings="struct<" + ", ".join(f"{f}: {'bigint' if f == 'line_number' else 'string'}" for f in fields) + ">")
+    counts = F.broadcast(document.select(
+        F.col("d.summary.total_findings").alias("total"), F.col("d.summary.critical").alias("critical"), F.col("d.scan.files_scanned").alias("files_scanned")))
+    rows = found["findings"].select("e.*").crossJoin(counts)
+    return rows.unionByName(found["errors"].select(F.col("e").alias("error")).crossJoin(counts), allowMissingColumns=True)
 
 
 @query(scan_sql(duckdb_sql("planted_conversations"), ["role"],
