@@ -183,3 +183,14 @@ def test_report_rows(findings):
     rows = report_rows(findings).collect()
     assert [(r.file_path, r.line_number, r.ord) for r in rows] == expected_order()
     assert rows[3].label == "Line 2" and rows[3].badge == "HIGH" and rows[3].snippet == "db_pas" + "*" * 20 + "…"
+
+
+def test_copies_are_counted_by_hash(spark, findings):
+    """Only findings with more copies than one slice holds are moved to be counted; all copies are in the documents."""
+    one = findings.limit(1)
+    copied = findings.unionByName(one.select("*", F.explode(F.sequence(F.lit(1), F.lit(500))).alias("i")).drop("i")).repartition(7).cache()
+    frame = sarif_documents(copied, max_bytes=4_000)
+    documents = [json.loads(r.value)["runs"][0]["results"] for r in frame.collect()]
+    assert sum(map(len, documents)) == 506 and max(map(len, documents)) < 60
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in plan and "LeftSemi" in plan
