@@ -39,8 +39,8 @@ def cut_offs(commits: DataFrame, depth: int) -> DataFrame:
     return last.select("repo", F.col("block").alias("last"))
 
 
-def newest_commits(patches: DataFrame, depth: int | None) -> DataFrame:
-    """The patches of the ``depth`` newest commits of every repository.
+def newest_commits(patches: DataFrame, depth: int | None, counted: DataFrame | None = None) -> DataFrame:
+    """The patches of the ``depth`` newest commits of every repository, or of those that the patches ``counted`` have.
 
     ``seq`` is an integer, unique per commit of a repository and ascending from the newest. Patches without a
     repository are one repository's; those without a ``seq`` stay and count for no depth. One lazy
@@ -51,7 +51,7 @@ def newest_commits(patches: DataFrame, depth: int | None) -> DataFrame:
         return patches
     if depth <= 0:
         return patches.limit(0)
-    commits = patches.select("repo", F.col("seq").cast("long").alias("seq")).distinct()
+    commits = (patches if counted is None else counted).select("repo", F.col("seq").cast("long").alias("seq")).distinct()
     last = cut_offs(commits.where("seq IS NOT NULL"), depth).alias("l")
     kept = commits.alias("c").join(last, F.col("c.repo").eqNullSafe(F.col("l.repo")), "left").where("last IS NULL OR seq IS NULL OR seq <= last")
     kept = kept.select("c.repo", "seq").alias("k")

@@ -14,12 +14,12 @@ Rules without keywords are looked for in every line, as they would be by express
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from leaksieve.functions.regex import to_java
 from leaksieve.functions.text import long_enough, split_lines, strip
+from leaksieve.plans.filters import may_hold
 from leaksieve.plans.partitioning import dealt
 from leaksieve.plans.scratch import scratch_dir
 from leaksieve.rules import SEVERITY_RANK, RuleSet
@@ -27,9 +27,6 @@ from leaksieve.rules import SEVERITY_RANK, RuleSet
 GRAM_LENGTHS = (8, 4, 2, 1)
 #: An index of up to this many bytes is broadcast; larger ones are joined as Spark sees fit.
 BROADCAST_BYTES = 64 << 20
-#: Words of 64 bits in the filter of a larger index's grams: one for two grams, and at most so many.
-FILTER_WORDS = 1 << 22
-_PART_BITS = 10
 
 _RULE = ("ord", "rule_id", "rule_name", "severity", "severity_rank", "description")
 
@@ -82,28 +79,6 @@ class RuleIndex:
         self.lengths: Sequence[int] = sorted(r.length for r in sizes)
         self.bytes = sum(r.bytes for r in sizes)
 
-    def holds(self, gram: str) -> Column:
-        """Whether the index may have the gram in this column: true for all it has, and for few others."""
-        spark = self.table.sparkSession
-        grams = self.table.select("gram").distinct()
-        words = 1 << _PART_BITS
-        while words < min(FILTER_WORDS, grams.count() // 2):
-            words *= 2
-
-        def place(name: str) -> Column:
-            return F.xxhash64(name).bitwiseAND(words - 1)
-
-        def mask(name: str) -> Column:
-            bits = [F.expr(f"shiftleft(1L, cast(shiftright(xxhash64({name}), {shift}) & 63 AS int))") for shift in (32, 38, 44, 50)]
-            return reduce(Column.bitwiseOR, bits)
-
-        taken = grams.groupBy(place("gram").alias("id")).agg(F.bit_or(mask("gram")).alias("bits"))
-        parts = spark.range(words).join(taken, "id", "left").groupBy(F.shiftright("id", _PART_BITS).alias("part")).agg(
-            F.array_sort(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))))["bits"].alias("bits"))
-        parts = parts.agg(F.array_sort(F.collect_list(F.struct("part", "bits")))["bits"].alias("parts")).scalar()
-        held = parts[F.shiftright(place(gram), _PART_BITS).cast("int")][place(gram).bitwiseAND((1 << _PART_BITS) - 1).cast("int")]
-        return held.bitwiseAND(mask(gram)) == mask(gram)
-
     @staticmethod
     def _choices():
         """The substrings of a keyword that may stand for it: of the greatest length it has."""
@@ -125,7 +100,7 @@ def scan_with_index(df: DataFrame, text: str, index: RuleIndex, *, partitions: i
     if index.bytes <= BROADCAST_BYTES:
         table = F.broadcast(table)
     else:
-        rows = rows.where(index.holds("__gram")).drop("__low")
+        rows = rows.where(may_hold(index.table.select(F.col("gram").alias("__gram")), "__gram")).drop("__low")
     found = rows.join(table, F.col("__gram") == F.col("__key")).withColumn("__low", F.lower("__line")).where(
         # A line with several keywords of a rule is taken by the first of them.
         F.contains("__low", F.col("__keyword")) & ~F.exists("__earlier", lambda k: F.contains(F.col("__low"), k)))

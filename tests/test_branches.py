@@ -72,3 +72,26 @@ def test_branch_and_depth(spark):
     assert commits(branch="main") == {"m3", "t1", "m2", "m1"}
     assert commits(branch="topic", depth=2) == {"t2", "t1"}
     assert commits() == {"m3", "t2", "t1", "m2", "m1"}
+
+
+def test_no_text_is_moved_to_find_a_branch(spark):
+    """Where the commits of a branch are too many to be broadcast, findings are joined with them, not patches."""
+    rows = [("r", f"c{i}", [f"c{i + 1}"], i, "A", "d", "x.py", f"+token = 'abcdefgh{i}'\n") for i in range(40)]
+    rows += [("r", "side", ["c3"], 50, "A", "d", "x.py", "+token = 'aside1234'\n")]
+    patches = spark.createDataFrame(rows, "repo string, commit_sha string, parent_shas array<string>, seq long, author string, committed_at string, "
+                                    "file_path string, patch string")
+    heads = spark.createDataFrame([("r", "main", "c5")], "repo string, branch string, commit_sha string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for depth, last in ((None, 40), (3, 8)):
+            scan = scan_history(patches, heads=heads, branch="main", depth=depth)
+            assert sorted(r.commit_sha for r in scan.findings.collect()) == sorted(f"c{i}" for i in range(5, last))
+            assert scan.scan_log.count() == last - 5
+        found = scan_history(patches, heads=heads, branch="main").findings
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "patch#" not in "".join(line for line in plan.splitlines() if "Exchange" in line or "Sort [" in line)
+        joins = found._jdf.queryExecution().optimizedPlan().toString()
+        assert joins.index("LeftSemi") < joins.index("Generate")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
