@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, groupby
+from operator import itemgetter
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
@@ -41,14 +44,45 @@ class _Matcher:
 
     def findings(self, text: str) -> Iterator[tuple]:
         candidates = self.candidates(text, text.lower())
-        for number, line in enumerate(_BOUNDARY.split(text), 1) if candidates else ():
-            snippet = line.strip(WHITESPACE)
-            if len(snippet) < MIN_LINE_LENGTH:
-                continue
-            low = line.lower()
-            for _, rule, pattern, attributes in candidates:
-                if self._may_fire(rule, line, low) and (match := pattern.search(line)):
-                    yield (number, *attributes, snippet, match[0], rule.description)
+        if not candidates:
+            return
+        lines = _BOUNDARY.split(text)
+        plain, low = _Lines(lines), _Lines([line.lower() for line in lines])
+        hits = []
+        for number, rule, pattern, attributes in candidates:
+            held = [(low if rule.ignores_case else plain).holding(need) for need in rule.needs]
+            if rule.keywords:
+                held.append(set().union(*map(low.holding, rule.keywords)))
+            for i in set.intersection(*held) if held else range(len(lines)):
+                if match := pattern.search(lines[i]):
+                    hits.append((i, number, attributes, match[0], rule.description))
+        hits.sort(key=itemgetter(0, 1))
+        for i, same in groupby(hits, itemgetter(0)):
+            snippet = lines[i].strip(WHITESPACE)
+            if len(snippet) >= MIN_LINE_LENGTH:
+                for _, _, attributes, matched, description in same:
+                    yield (i + 1, *attributes, snippet, matched, description)
+
+
+class _Lines:
+    """Which lines hold a literal, found by one search of all lines together and kept for the rules that share it."""
+
+    def __init__(self, lines: list[str]):
+        self.whole = "\n".join(lines)
+        self.starts = list(accumulate((len(line) + 1 for line in lines), initial=0))
+        self.known: dict[str, set[int]] = {}
+
+    def holding(self, literal: str) -> set[int]:
+        found = self.known.get(literal)
+        if found is None:
+            found = self.known[literal] = set()
+            # A line holds no boundary, nor does a literal that it holds.
+            at = -1 if "\n" in literal else self.whole.find(literal)
+            while at >= 0:
+                i = bisect_right(self.starts, at) - 1
+                found.add(i)
+                at = self.whole.find(literal, self.starts[i + 1])
+        return found
 
 
 def scan_function(rules: RuleSet) -> type:
