@@ -3,7 +3,8 @@
 import re
 
 from leaksieve import RuleSet
-from leaksieve.plans.scan import scan_text
+from leaksieve.operators.match import candidate_rules, lowered, sure_candidates
+from leaksieve.plans.scan import find_hits, scan_text
 from leaksieve.plans.sources import scan_history, scan_table
 from leaksieve.sinks.tables import report_rows
 from tests.conftest import SF_DIR
@@ -85,3 +86,25 @@ def test_sorted_findings_are_shuffled_before(spark):
     rows = table(spark, SF_DIR, "documents")
     text = plan(report_rows(scan_table(rows, "text", "doc_id", "t").findings))
     assert "REBALANCE_PARTITIONS_BY_NONE" in text and "rangepartitioning" in text
+
+
+def test_the_rules_of_a_line_are_not_below_a_lambda(spark):
+    """Spark interprets, row by row, all that stands below a function with a lambda."""
+    hits = find_hits(table(spark, SF_DIR, "planted_documents"), "text", RuleSet.builtin())
+    text = hits.select("doc_id", "ord", "matched_text")._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract(" in text
+    for begin in re.finditer(r"(?<![a-z_])filter\(", text):
+        depth, at = 1, begin.end()
+        while depth and at < len(text):
+            depth += {"(": 1, ")": -1}.get(text[at], 0)
+            at += 1
+        assert "regexp_extract(" not in text[begin.end():at]
+
+
+def test_a_distinctive_literal_makes_all_rules_candidates(spark):
+    rules = RuleSet.builtin()
+    texts = spark.createDataFrame([(1, "a text\nsk" + "_live_" + "x" * 24), (2, "a text without")], "id long, t string")
+    low = texts.select("id", "t", lowered("t", rules).alias("low"))
+    sure = low.select("id", "t", "low", sure_candidates("t", "low", rules).alias("sure"))
+    words = dict(sure.select("id", candidate_rules("t", "low", "sure", rules)).collect())
+    assert words == {1: [2**63 - 1, 2**(len(rules) - 63) - 1], 2: [0, 0]}
