@@ -3,6 +3,7 @@
 import io
 import os
 import random
+import re
 import uuid
 from collections import Counter
 
@@ -240,6 +241,22 @@ def test_single_file_in_ranges(spark, tmp_path, range_bytes):
     assert "Exchange hash" not in scan.tagged._jdf.queryExecution().executedPlan().toString()
 
 
+def test_small_ranges_share_tasks(spark, tmp_path):
+    data = odd_lines(random.Random(7), 9000)
+    write(tmp_path, "big.log", data)
+    expected = sorted(i for i, line in enumerate(re.split(LINE_BOUNDARY, data.decode("utf-8", "ignore")), 1) if line.strip() == SECRET.strip())
+    scan = scan_tree(spark, str(tmp_path / "big.log"), config=ScanConfig(range_bytes=200))
+    assert len(data) // 200 > 1800 and scan.tagged.rdd.getNumPartitions() < 300
+    assert sorted(r.line_number for r in scan.findings.collect()) == expected and len(expected) > 1000
+    assert scan.scan_log.count() == 1 and scan.errors.count() == 0
+
+
+def test_a_range_is_not_read_far_beyond_its_end():
+    file = io.BytesIO(b"a line\n" * (1 << 20))
+    assert b"".join(pieces(file, 1 << 18, 1 << 19)) == b"a line\n" * (((1 << 19) + 6) // 7 - ((1 << 18) + 6) // 7)
+    assert file.tell() < 2 << 20
+
+
 def test_odd_single_files(spark, tmp_path):
     write(tmp_path, "empty.py", b"")
     write(tmp_path, "long.py", b"x" * 5000 + SECRET.encode())
