@@ -6,14 +6,8 @@ batch dedup gives, the first row of a key by its place, however rows arrive, as
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-from pyspark.sql import DataFrame, Row, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
-
-from leaksieve.deploy import ship_package
 
 from leaksieve.plans.scan import scan_text
 from leaksieve.rules import RuleSet
@@ -32,42 +26,12 @@ def drop_repeats(findings: DataFrame, event_time: str, delay: str,
     return findings.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(list(key))
 
 
-class _FirstByPlace(StatefulProcessor):
-    """Keeps a key's row of the smallest place until the watermark has passed the key's newest row."""
-
-    def __init__(self, order: tuple[str, ...], schema: StructType):
-        self.order, self.schema = order, schema
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.first = handle.getValueState("first", self.schema)
-        self.due = handle.getValueState("due", "at long")
-
-    def _place(self, row) -> tuple:
-        # As in SQL, nulls come first.
-        return tuple((row[c] is not None, row[c] if row[c] is not None else 0) for c in self.order)
-
-    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        rows = list(rows) if not self.first.exists() else [Row(*self.schema.names)(*self.first.get()), *rows]
-        newest = max(row["__at"] for row in rows)
-        best = min(rows, key=self._place)
-        self.first.update(tuple(best[c] for c in self.schema.names[:-1]) + (newest,))
-        before = self.due.get()[0] if self.due.exists() else None
-        if before != newest:
-            if before is not None:
-                self.handle.deleteTimer(before)
-            self.handle.registerTimer(newest)
-            self.due.update((newest,))
-        return iter([])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        row = self.first.get()
-        self.first.clear()
-        self.due.clear()
-        yield Row(*self.schema.names[:-1])(*row[:-1])
-
-    def close(self) -> None:
-        pass
+def _microseconds(spark: SparkSession, delay: str) -> int:
+    """The length of an interval, with 31 days a month as in a watermark's delay."""
+    part = {name: f"extract({name} FROM CAST('{delay}' AS INTERVAL))" for name in ("YEAR", "MONTH", "DAY", "HOUR", "MINUTE", "SECOND")}
+    days = f"(({part['YEAR']} * 12 + {part['MONTH']}) * 31 + {part['DAY']})"
+    seconds = f"({days} * 86400 + {part['HOUR']} * 3600 + {part['MINUTE']} * 60 + {part['SECOND']})"
+    return spark.sql(f"SELECT CAST({seconds} * 1000000 AS BIGINT)").first()[0]
 
 
 def keep_first(findings: DataFrame, event_time: str, delay: str, order: tuple[str, ...] = ("patch_pos", "line_pos"),
@@ -75,18 +39,28 @@ def keep_first(findings: DataFrame, event_time: str, delay: str, order: tuple[st
     """First row per key by ``order``, with nulls first, in append mode; a key's state is one row.
 
     A key is settled once the watermark passes its newest row: equal to the batch dedup as long as a key's rows are not further apart
-    than ``delay``. A row that comes later begins the key anew, and one behind the watermark is dropped. Needs the state store that
-    Spark's transformWithState does: ``spark.sql.streaming.stateStore.providerClass`` is set to RocksDB if it is not set.
+    than ``delay``. Rows further apart than that begin the key anew, one behind the watermark is dropped, one without a time is an error.
+    ``spark.sql.streaming.stateStore.providerClass`` is set to RocksDB if it is not set, so that the keys are not held in the heap.
     """
     spark = findings.sparkSession
-    ship_package(spark)
     setting = "spark.sql.streaming.stateStore.providerClass"
     if "RocksDB" not in spark.conf.get(setting, ""):
         spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    rows = findings.withWatermark(event_time, delay).withColumn("__at", F.unix_millis(event_time))
-    schema = StructType(rows.schema.fields)
-    return rows.groupBy(*key).transformWithState(
-        _FirstByPlace(order, schema), StructType(findings.schema.fields), "Append", "EventTime")
+    length = _microseconds(spark, delay)
+    if length < 0:
+        raise ValueError(f"The delay is negative: {delay}")
+    # A row's session begins the delay before the row and ends with it. So the sessions of rows no further apart than the delay are
+    # one, which ends with the newest row; and the newest beginning is the watermark that the delay gives. Counted in microseconds,
+    # as a day of an interval is a day of the session's time zone.
+    length = max(length, 1)
+    at = F.coalesce(F.col(f"`{event_time}`"), F.raise_error(F.lit(f"A row has no {event_time}")).cast("timestamp"))
+    names = [f"__key{i}" for i in range(len(key))]
+    rows = findings.select(
+        *[F.col(f"`{c}`").alias(name) for c, name in zip(key, names, strict=True)],
+        F.timestamp_micros(F.unix_micros(at) - length).alias("__begin"),
+        F.struct(*[F.col(f"`{c}`") for c in order]).alias("__place"), F.struct(*[F.col(f"`{c}`") for c in findings.columns]).alias("__row"))
+    sessions = rows.withWatermark("__begin", "0 seconds").groupBy(*names, F.session_window("__begin", f"{length} microseconds"))
+    return sessions.agg(F.min_by("__row", "__place").alias("__first")).select("__first.*")
 
 
 def write_findings(findings: DataFrame, path: str, checkpoint: str, trigger: str | None = None) -> StreamingQuery:

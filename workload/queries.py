@@ -848,7 +848,8 @@ def stream_first_events(spark, sf_dir):
     """The smallest event of each user's secret per type of event, from events that come in no order."""
     folder = scratch_dir(spark)
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id", "props", F.col("ts").cast("timestamp").alias("ts"))
-    events.repartition(8, F.xxhash64("event_id")).write.parquet(f"{folder}/in")
+    # Row groups are small, as one is read by one task only and a trigger takes few files.
+    events.repartition(8, F.xxhash64("event_id")).write.option("parquet.block.size", 1 << 20).parquet(f"{folder}/in")
     # A last event, long after the others, moves the watermark past them.
     last = events.agg((F.max("ts") + F.expr("INTERVAL 61 DAYS")).alias("ts")).select(
         F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("event_type"), F.lit(0).cast("long").alias("user_id"), F.lit("").alias("props"), "ts")
